@@ -18,7 +18,7 @@ from .common import BYTE_BASE, _BYTE_VALUES, mixed, powers
 #: Texts that are split here: ASCII with the common blanks, and letters up to U+017F but the dotted I.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]*")
 #: Encoded pre-tokens that one Python process keeps at the most.
-MAX_CACHED = 400_000
+MAX_CACHED = 120_000
 BLANK, LETTER, DIGIT, SIGN = range(4)
 CLASSES = np.full(256, SIGN, np.uint8)
 CLASSES[[9, 10, 13, 32]] = BLANK
