@@ -3,22 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweir.llm import decontam, packing
+from logweir.llm import decontam, langid, packing, secrets, simjoin
 from logweir.llm.common import table, written
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those whose language stays in doubt, go. The labelled rows train the model."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simjoin.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a benchmark item contaminates go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts give way to a mark; n_chars follows."""
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)), out="secrets_")
+    text = F.when(F.size("secrets_") > 0, secrets.redacted(F.col("text"), F.col("secrets_"))).otherwise(F.col("text"))
+    n_chars = F.when(F.size("secrets_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("text", text).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("packing", pack)]
+STAGES = [("language ID", identify), ("n-gram Jaccard join", deduplicate), ("benchmark decontamination", decontaminate), ("secret scans", redact), ("packing", pack)]
 
 #: The language model, the secret model and the packing have no SQL.
 ORACLE_SQL = None

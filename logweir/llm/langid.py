@@ -143,3 +143,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = rows.select("id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(partial(_predicted, model=held), schema).withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows (all columns) whose language the model tells with at least this confidence."""
+    carried = docs.select(F.struct(*docs.columns).alias("row_"), F.col(text_col).alias("text_"))
+    return predict(carried, model, "row_", "text_").filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row_.*")
