@@ -5,7 +5,7 @@
 2. One pass over the texts gives each document's pre-token frequencies: those of the head are summed at
    once, the others stay as (pre-token, frequency).
 3. The distinct others of all documents are encoded once each, joined to the frequencies and summed per
-   text. Which pre-tokens are in the head changes the work, never a count.
+   document. Which pre-tokens are in the head changes the work, never a count.
 
 Special strings inside a text count as the library's default takes them: one token each.
 
@@ -15,13 +15,13 @@ rows; an empty table gives an empty result. Other input columns are not carried.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ from .tokens import encode_piece, is_plain, specials, split, tokenizer, vocabula
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: The bounds of the head: documents it is taken from, and pre-tokens in it (about 2 MB).
-SAMPLE_DOCS, HEAD_TOKENS = 20_000, 150_000
+#: The bounds of the head: documents it is taken from, and pre-tokens in it (about 6 MB).
+SAMPLE_DOCS, HEAD_TOKENS = 20_000, 400_000
 #: Distinct pre-tokens that a task of the sample holds before it hands them on.
 MAX_HELD = 200_000
 
@@ -101,6 +101,7 @@ def count_pieces(distinct: DataFrame, vocabulary_name: str = VOCABULARY) -> Data
 def _documents(batches: Iterator[pa.RecordBatch], name: str, head) -> Iterator[pa.RecordBatch]:
     splitter = _splitter(name)
     known, pieces = head.value
+    key = TaskContext.get().partitionId() << 33  # of the rows that this task writes: no other task's, and fixed once written
     for batch in slices(batches, "text"):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         plain, joined, (piece, start, end, row) = splitter.plain(texts)
@@ -117,9 +118,10 @@ def _documents(batches: Iterator[pa.RecordBatch], name: str, head) -> Iterator[p
                 total[i] = found
         raw = [x.encode() for x in texts]
         ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-        entry = pa.StructArray.from_arrays([pa.array([k for x in rare for k in x], pa.binary()), pa.array([v for x in rare for v in x.values()], pa.int64())], ["piece", "n"])
-        columns = [batch.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(total), pa.ListArray.from_arrays(ends, entry)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "digest", "head", "rare"])
+        entry = pa.StructArray.from_arrays([pa.array([k for x in rare for k in x], pa.binary()), pa.array([v for x in rare for v in x.values()], pa.int32())], ["piece", "n"])
+        columns = [batch.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(np.arange(key, key + len(raw))), pa.array(total), pa.ListArray.from_arrays(ends, entry)]
+        key += len(raw)
+        yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "key", "head", "rare"])
 
 
 def _hashes(pieces: list[bytes]) -> np.ndarray:
@@ -141,9 +143,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = np.argsort(hashes)
     head = spark.sparkContext.broadcast((hashes[order], np.array([r.pieces for r in rows], np.int64)[order]))
 
-    counted = written(texts.mapInArrow(partial(_documents, name=vocabulary_name, head=head), f"id {kind}, n_bytes long, digest binary, head long, rare array<struct<piece:binary,n:long>>"), "counted")
-    rare = counted.select("digest", F.explode("rare").alias("x")).select("digest", "x.piece", "x.n").distinct()
-    # the sum over a text's rare pre-tokens; equal texts have one digest and so one sum
-    sums = rare.join(count_pieces(rare.select("piece").distinct(), vocabulary_name), "piece").groupBy("digest").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    counted = written(texts.mapInArrow(partial(_documents, name=vocabulary_name, head=head), f"id {kind}, n_bytes long, key long, head long, rare array<struct<piece:binary,n:int>>"), "counted")
+    rare = counted.select("key", F.explode("rare").alias("x")).select("key", "x.piece", "x.n")
+    sums = rare.join(count_pieces(rare.select("piece").distinct(), vocabulary_name), "piece").groupBy("key").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     n_tokens = F.col("head") + F.coalesce("more", F.lit(0))
-    return counted.select("id", "n_bytes", "digest", "head").join(sums, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+    return counted.select("id", "n_bytes", "key", "head").join(sums, "key", "left").select(F.col("id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
