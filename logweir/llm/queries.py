@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, secrets, simjoin, tokencount, urlfilter
-from .common import crc_mod, table
+from . import decontam, langid, packing, secrets, sharding, simjoin, tokencount, urlfilter
+from .common import crc_mod, new_path, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+#: Arrivals that the table comes in, and the size of a finished shard.
+ARRIVALS, SHARD_BYTES = 13, 128 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, new_path(spark, "store"), docs.schema, SHARD_BYTES)
+    store.append(docs.withColumn("arrival", crc_mod(F.col("doc_id"), ARRIVALS)), "arrival")
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -47,6 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
