@@ -79,4 +79,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT = _LOWER.format("text")
+_HOST, _REST = _LOWER.format("regexp_extract(rest, '^[^/?#]*')"), "substr(url, strpos(url, '://') + 3)"
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+#: The oracle: only what SQL can express; the trained and packed results are tested against plain versions.
+ORACLE: dict[str, str] = {
+    "op1_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS n_bytes, md5(COALESCE(text, '')) AS text_md5 FROM documents",
+    "op6_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN {_REST} END AS rest FROM pages),
+p AS (SELECT page_id, COALESCE({_HOST}, '') AS host, COALESCE(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT * FROM (VALUES {_RULES}) AS v(verdict, h, q)),
+m AS (SELECT page_id, host, path, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1, 2, 3)
+SELECT p.page_id, p.host, p.path, m.rule, COALESCE(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id""",
+    "op7_decontamination": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_TEXT}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+i AS (SELECT item_id, least(len(w), 13) AS m, unnest(range(1, CAST(len(w) - least(len(w), 13) + 2 AS BIGINT))) AS p, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS g FROM i),
+g AS (SELECT doc_id, p, x.m, array_to_string(w[p:p + x.m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, CAST(greatest(len(w) - m + 2, 1) AS BIGINT))) AS p FROM d, (SELECT DISTINCT m FROM win)) AS x),
+h AS (SELECT doc_id, item_id, p, g.m FROM g JOIN win USING (m, g)),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op10_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, CAST(len(w) - 2 AS BIGINT)), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT r.doc_id, COALESCE(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1""",
+}
