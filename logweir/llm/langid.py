@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,20 +33,21 @@ SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS = 20_000, 60_000, 20_000
 MAX_GRAM, BACKOFF = 4, math.log(0.4)
 #: Longest word that n-grams are taken of; what is beyond it is scored as a further word.
 MAX_WORD = 40
-MAX_CACHED = 120_000
+MAX_CACHED = 200_000
 WORD = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]  # log frequency in each language
+    words: dict[str, int]  # row in word_logs: log frequency in each language
+    word_logs: np.ndarray
     grams: dict[str, int]  # row in gram_logs
     gram_logs: np.ndarray  # row 0: of a character that no n-gram has
+    key: str = ""  # tells models apart, where scores are kept
 
-    def word_score(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+    def backed_off(self, word: str) -> np.ndarray:
+        """The score of an unseen word, a character's mean."""
         padded, grams, rows, steps = f"<{word}>", self.grams, [], 0
         for i in range(len(padded)):
             n = MAX_GRAM
@@ -57,6 +58,45 @@ class Model:
         return (self.gram_logs[rows].sum(axis=0) + steps * BACKOFF) / len(padded)
 
 
+class Scorer:
+    """Scores of words: the model's, and those of unseen words, MAX_CACHED of them at the most."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known = dict(self.model.words)
+        self.scores = np.zeros((max(1 << 12, 2 * len(self.known)), max(1, len(self.model.languages))))
+        self.scores[: len(self.known)] = self.model.word_logs
+
+    def of(self, words: Counter) -> np.ndarray:
+        numbers = list(map(self.known.get, words))
+        if None in numbers:
+            if len(self.known) > len(self.model.words) + MAX_CACHED:
+                self._reset()
+            known = self.known
+            for word in words:
+                if word not in known:
+                    if len(known) == len(self.scores):
+                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                    self.scores[len(known)] = self.model.backed_off(word)
+                    known[word] = len(known)
+            numbers = [known[x] for x in words]
+        return self.scores[numbers]
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer that this process has for the model; it keeps the last model's alone."""
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = Scorer(model)
+    return _scorers[model.key]
+
+
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -83,30 +123,37 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     languages = sorted(totals)
 
-    def common(df: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        ranked = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(most)
-        return {r[0]: r[1] for r in ranked.select(key, "by").collect()}
-
-    def logs(found: dict[str, dict[str, int]], of: dict[str, int]) -> dict[str, np.ndarray]:
-        size = len(found) + 1
-        return {k: np.array([math.log((by.get(x, 0) + 0.5) / (of[x] + 0.5 * size)) for x in languages]) for k, by in found.items()}
-
-    word_logs = logs(common(counts, "word", MODEL_WORDS), totals)
+    def common(df: DataFrame, key: str, most: int, of: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+        """The most frequent keys and their smoothed log frequencies in each language."""
+        top = df.groupBy(key).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(most).select(key)
+        found = df.join(top, key).select(key, "lang", "n").toPandas()
+        names = sorted(found[key].unique())
+        number = {x: i for i, x in enumerate(names)}
+        counts = np.zeros((len(names), len(languages)))
+        counts[found[key].map(number).to_numpy(int), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] = found["n"].to_numpy(float)
+        return number, np.log((counts + 0.5) / (np.array([of[x] for x in languages]) + 0.5 * (len(names) + 1)))
+
+    words, word_logs = common(counts, "word", MODEL_WORDS, totals)
     padded = counts.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
-    gram_logs: dict[str, np.ndarray] = {"": np.full(len(languages), math.log(1e-7))}
+    grams, gram_logs = {}, [np.full((1, len(languages)), math.log(1e-7))]
     for n in range(1, MAX_GRAM + 1):
-        cut = padded.filter(F.length("padded") >= n).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("padded") - (n - 1)), lambda i, n=n: F.substr("padded", i, F.lit(n)))).alias("gram"))
-        grams = cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-        gram_logs |= logs(common(grams, "gram", MODEL_GRAMS), {r[0]: r[1] for r in grams.groupBy("lang").agg(F.sum("n")).collect()})
-        grams.unpersist()
+        cut = padded.filter(F.length("padded") >= n).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("padded") - (n - 1)), _piece(n))).alias("gram"))
+        cut = cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+        number, logs = common(cut, "gram", MODEL_GRAMS, {r[0]: r[1] for r in cut.groupBy("lang").agg(F.sum("n")).collect()})
+        grams |= {k: v + sum(map(len, gram_logs)) for k, v in number.items()}
+        gram_logs.append(logs)
+        cut.unpersist()
     counts.unpersist()
-    return Model(languages, word_logs, {k: i for i, k in enumerate(gram_logs) if i}, np.array(list(gram_logs.values())))
+    return Model(languages, words, word_logs, grams, np.concatenate(gram_logs), uuid.uuid4().hex)
+
+
+def _piece(n: int):
+    return lambda i: F.substr("padded", i, F.lit(n))
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
-    known: dict[str, int] = {}
-    scores = np.zeros((1 << 12, max(1, len(model.languages))))
+    scores = scorer(model)
     for batch in slices(batches, "text"):
         lang, best = [], []
         for text in batch.column("text").to_pylist():
@@ -115,21 +162,9 @@ def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBa
                 lang.append("und")
                 best.append(0.0)
                 continue
-            numbers = list(map(known.get, found))
-            if None in numbers:
-                if len(known) > MAX_CACHED:
-                    known.clear()
-                for word in found:
-                    if word not in known:
-                        known[word] = len(known)
-                        if len(known) > len(scores):
-                            scores = np.concatenate([scores, np.zeros_like(scores)])
-                        scores[known[word]] = model.word_score(word)
-                numbers = [known[x] for x in found]
             weights = np.fromiter(found.values(), float, len(found))
-            total = weights @ scores[numbers]
             # longer texts are surer, but words are not independent: the root of their number counts
-            total *= 1 / math.sqrt(weights.sum())
+            total = weights @ scores.of(found) / math.sqrt(weights.sum())
             chance = np.exp(total - total.max())
             top = int(chance.argmax())
             lang.append(model.languages[top])
