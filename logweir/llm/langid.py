@@ -47,7 +47,7 @@ class Model:
     key: str = ""  # tells models apart, where scores are kept
 
     def backed_off(self, word: str) -> np.ndarray:
-        """The score of an unseen word, a character's mean."""
+        """The score of an unseen word: its n-grams overlap, so each counts for a part."""
         padded, grams, rows, steps = f"<{word}>", self.grams, [], 0
         for i in range(len(padded)):
             n = MAX_GRAM
@@ -55,7 +55,7 @@ class Model:
                 n -= 1
             rows.append(row if n else 0)
             steps += MAX_GRAM - n
-        return (self.gram_logs[rows].sum(axis=0) + steps * BACKOFF) / len(padded)
+        return (self.gram_logs[rows].sum(axis=0) + steps * BACKOFF) / MAX_GRAM
 
 
 class Scorer:
@@ -67,7 +67,7 @@ class Scorer:
 
     def _reset(self) -> None:
         self.known = dict(self.model.words)
-        self.scores = np.zeros((max(1 << 12, 2 * len(self.known)), max(1, len(self.model.languages))))
+        self.scores = np.zeros((max(1 << 12, 2 * len(self.known)), len(self.model.languages)))
         self.scores[: len(self.known)] = self.model.word_logs
 
     def of(self, words: Counter) -> np.ndarray:
@@ -131,7 +131,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         number = {x: i for i, x in enumerate(names)}
         counts = np.zeros((len(names), len(languages)))
         counts[found[key].map(number).to_numpy(int), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] = found["n"].to_numpy(float)
-        return number, np.log((counts + 0.5) / (np.array([of[x] for x in languages]) + 0.5 * (len(names) + 1)))
+        size = np.array([of[x] for x in languages], float)
+        # the same for an unseen key in each language, so that a rare word speaks for where it was seen
+        return number, np.log(counts / size + 0.5 / size.sum())
 
     words, word_logs = common(counts, "word", MODEL_WORDS, totals)
     padded = counts.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(partial(_predicted, model=held), schema).withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4) -> DataFrame:
     """The rows (all columns) whose language the model tells with at least this confidence."""
     carried = docs.select(F.struct(*docs.columns).alias("row_"), F.col(text_col).alias("text_"))
     return predict(carried, model, "row_", "text_").filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row_.*")

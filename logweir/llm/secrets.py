@@ -6,8 +6,8 @@ characters, of a model of random strings against a model of ordinary identifiers
 labelled samples; a candidate above the threshold that meets no rule's span is a secret of kind
 `markov`.
 
-Defined cases: null text is empty and has no secrets; a pair that no sample holds counts as equally
-likely by the smoothing; without samples every ratio is 0 and the method adds nothing; repeated rows are
+Defined cases: null text is empty and has no secrets; a pair that no sample holds counts by its second
+character; without samples every ratio is 0 and the method adds nothing; repeated rows are
 scanned one by one; null ids are kept. Only the columns asked for are carried.
 """
 
@@ -32,6 +32,8 @@ CANDIDATE, THRESHOLD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0.7
 LEAST_DISTINCT = 8
 #: Codes of the characters that the models know: "+" to "z".
 FIRST_CODE, CODES = 43, 80
+#: Weight of a character's own frequency beside the pairs that are seen.
+PRIOR = 20
 #: Documents that the labelled samples are taken from, at the most.
 SAMPLE_DOCS = 5_000
 
@@ -77,11 +79,11 @@ def train(samples: DataFrame) -> list[float]:
     counts = {(r[0], r[1]): r[2] for r in pairs.filter(F.rlike("pair", F.lit("^[+-z]{2}$"))).groupBy("random", "pair").count().collect()}
 
     def logs(random: bool) -> list[float]:
-        out = []
-        for a in range(CODES):
-            row = [counts.get((random, chr(FIRST_CODE + a) + chr(FIRST_CODE + b)), 0) for b in range(CODES)]
-            out += [math.log((n + 0.1) / (sum(row) + 0.1 * CODES)) for n in row]
-        return out
+        """Of the second character after the first; unseen pairs fall back on how often the second one is."""
+        rows = [[counts.get((random, chr(FIRST_CODE + a) + chr(FIRST_CODE + b)), 0) for b in range(CODES)] for a in range(CODES)]
+        second = [sum(column) for column in zip(*rows, strict=True)]
+        share = [(n + 1) / (sum(second) + CODES) for n in second]
+        return [math.log((n + PRIOR * share[b]) / (sum(row) + PRIOR)) for row in rows for b, n in enumerate(row)]
 
     return [a - b for a, b in zip(logs(True), logs(False), strict=True)]
 
