@@ -300,7 +300,7 @@ def mapped(spark, sf_dir):
 register("m01_m16_options", mapped, f"""SELECT id, upper(level) AS m01_first, '["' || id || '","b"]' AS m02_wild, 'b' AS m02_index, 'd' AS m03_default, level AS m04_output, CASE WHEN level IN ('debug', 'error') THEN upper(level) ELSE 'other' END AS m06_allowed,
 CASE level WHEN 'debug' THEN 5 WHEN 'error' THEN 17 ELSE 1 END AS m07_map, CASE WHEN length(level) <= 6 THEN upper(level) ELSE '' END AS m08_chars, least(status_code, 255) AS m09_uint8, CAST(trunc(value) AS INTEGER) AS m09_int, CAST(status_code AS DOUBLE) AS m09_float,
 '0' AS m09_bad, TRUE AS m09_bool, epoch_us("timestamp") // 1000 AS m10_time, CASE WHEN level = 'debug' THEN 1 WHEN level = 'error' AND status_code > 300 THEN 2 WHEN status_code < 300 OR level = 'info' THEN 3 ELSE 0 END AS m11_enum, CASE WHEN level <> 'info' AND user_id <> 0 THEN 1 ELSE 0 END AS m12_text,
-'{{"a":"p"}}' AS m13_pick, 'code=' || status_code || ',duration=' || user_id || ',kind=SPAN_KIND_SERVER,level=' || upper(level) || ',project=p,value=' || CAST(value AS VARCHAR) AS m14_flat FROM {LOGS}""")
+'{{"a":"p"}}' AS m13_pick, 'code=' || status_code || ',duration=' || user_id || ',kind=SPAN_KIND_SERVER,level=' || upper(level) || ',project=p,value=' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS m14_flat FROM {LOGS}""")
 register("m17_logs", lambda p, d: presets.map_logs(variants(p, d), keep=("id",)).select("id", "project", "severity_text", F.col("severity_number").cast("int").alias("severity_number"), "service_name", "event_message", F.col("resource_attributes.service_name").alias("resource"), "timestamp"), f"SELECT id, 'p' AS project, upper(level) AS severity_text, CASE level WHEN 'debug' THEN 5 WHEN 'info' THEN 9 WHEN 'notice' THEN 11 WHEN 'warning' THEN 13 ELSE 17 END AS severity_number, source AS service_name, event_message, source AS resource, epoch_us(\"timestamp\") * 1000 AS \"timestamp\" FROM {LOGS}")
 register("m18_metrics", lambda p, d: presets.map_metrics(variants(p, d), keep=("id",)).select("id", "metric_name", F.col("metric_type").cast("int").alias("metric_type"), "value", "time_unix", "is_monotonic", F.size("bucket_counts").alias("bars")), f"SELECT id, event_message AS metric_name, 1 AS metric_type, CASE WHEN source = 'error' THEN value ELSE 0 END AS value, epoch_us(\"timestamp\") * 1000 AS time_unix, FALSE AS is_monotonic, 0 AS bars FROM {LOGS}")
 register("m19_traces", lambda p, d: presets.map_traces(variants(p, d), keep=("id",)).select("id", "span_name", "span_kind", F.col("duration").cast("long").alias("duration"), F.to_json("`events.name`").alias("names"), F.col("span_attributes.level").alias("level")), f"""SELECT id, event_message AS span_name, 'Server' AS span_kind, user_id AS duration, '["' || id || '","b"]' AS names, upper(level) AS level FROM {LOGS}""")
