@@ -265,7 +265,7 @@ def merged(spark, sf_dir):
 
 
 register("h02_merge", merged, "SELECT * FROM (VALUES ('event_message', 'string'), ('id', 'string'), ('timestamp', 'datetime'), ('num', 'string'), ('list', 'list<float>'), ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('x', 'float')) AS v(path, type)")
-register("h03_flatten", lambda p, d: h.flatten_schema(p, s.logs_view(p, d).schema), "SELECT * FROM (VALUES ('id', 'string'), ('timestamp', 'datetime'), ('event_message', 'string'), ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.user_id', 'integer'), ('metadata.event_type', 'string'), ('metadata.value', 'float'), ('metadata.status_code', 'integer'), ('source', 'string'), ('body', 'string')) AS v(path, type)")
+register("h03_flatten", lambda p, d: h.variant_paths(bodies(p, d), "id", "body").select("path", "type").distinct(), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('list', 'list<float>'), ('num', 'string')) AS v(path, type)")
 register("h04_conflicts", lambda p, d: h.schema_conflicts(bodies(p, d), HELD, "id", "body"), f"SELECT id, 'num' AS path, 'string' AS type, 'integer' AS expected FROM {LOGS} WHERE source = 'view' UNION ALL SELECT id, 'list', 'list<float>', 'list<integer>' FROM {LOGS} WHERE source = 'click'")
 register("h05_updates", lambda p, d: h.flatten_schema(p, h.schema_updates(bodies(p, d).filter("source = 'error'"), HELD, "body", limit=20)).filter("path like 'metadata%'"), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer')) AS v(path, type)")
 register("h06_counts", lambda p, d: h.field_counts(h.variant_paths(bodies(p, d), "source", "body").withColumnRenamed("key", "source"), limit=3), f"SELECT source, CAST(2 + (source IN ('error', 'click', 'view'))::INT AS BIGINT) AS fields, source IN ('error', 'click', 'view') AS at_limit FROM {LOGS} GROUP BY 1")
