@@ -64,10 +64,10 @@ class Field:
 
 
 def as_variant(df: DataFrame, column: str | None = None, out: str = "event") -> DataFrame:
-    """df with the event as a VARIANT: of a JSON text column, or of all columns."""
-    if column:
-        return df.withColumn(out, F.try_parse_json(column))
-    return df.withColumn(out, F.parse_json(F.to_json(F.struct(*df.columns))))
+    """df with the event as a VARIANT: of a JSON text column, or of all columns. It is made by a generator
+    of one row, as a plain column would be parsed anew for every path that reads it."""
+    event = F.try_parse_json(column) if column else F.parse_json(F.to_json(F.struct(*df.columns)))
+    return df.withColumn(out, F.explode(F.array(event)))
 
 
 # paths
@@ -194,8 +194,10 @@ def flat_entries(value: Column, depth: int = MAX_DEPTH) -> Column:
 
 
 def _first_wins(entries: Column) -> Column:
-    """Entries as a map; of equal keys the first stays."""
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+    """Entries as a map; of equal keys, which are rare, the first stays."""
+    keys = F.transform(entries, lambda e: e["key"])
+    once = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(once))
 
 
 def _flat(event: Column, f: Field) -> Column:
@@ -212,7 +214,7 @@ def _flat(event: Column, f: Field) -> Column:
     for k in f.elevate:
         lifted.append(F.transform(F.filter(own, _under(k)), _without_head(k)))
         own = F.filter(own, _not_under(k))
-    return _first_wins(F.concat(own, *lifted)) if lifted else F.map_from_entries(entries)
+    return _first_wins(F.concat(own, *lifted) if lifted else entries)
 
 
 def _under(key: str):

@@ -254,7 +254,7 @@ register("h01_infer", inferred, "SELECT 'k' AS path, 'integer' AS type")
 def bodies(spark, sf_dir) -> DataFrame:
     """Events as JSON of differing shapes."""
     df = s.logs_view(spark, sf_dir)
-    return df.select("id", "source", F.to_json(F.struct(F.struct(F.col("metadata.level").alias("level"), F.when(F.col("source") == "error", F.col("metadata.status_code")).alias("code")).alias("metadata"), F.when(F.col("source") == "click", F.array("metadata.value")).alias("list"), F.when(F.col("source") == "view", F.lit("5")).alias("num"))).alias("body"))
+    return spread(df).select("id", "source", F.to_json(F.struct(F.struct(F.col("metadata.level").alias("level"), F.when(F.col("source") == "error", F.col("metadata.status_code")).alias("code")).alias("metadata"), F.when(F.col("source") == "click", F.array("metadata.value")).alias("list"), F.when(F.col("source") == "view", F.lit("5")).alias("num"))).alias("body"))
 
 
 HELD = StructType([StructField("num", LongType()), StructField("list", ArrayType(LongType())), StructField("metadata", StructType([StructField("level", StringType())])), StructField("x", DoubleType())])
@@ -274,10 +274,16 @@ register("h06_counts", lambda p, d: h.field_counts(h.variant_paths(bodies(p, d),
 # mapping
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt over them: for work that is long for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def variants(spark, sf_dir) -> DataFrame:
     df = s.logs_view(spark, sf_dir)
     nested = F.to_json(F.struct("id", (F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("timestamp"), "event_message", F.struct(F.upper("metadata.level").alias("level"), F.col("metadata.status_code").alias("code"), F.col("metadata.value").alias("value"), F.lit("p").alias("project")).alias("metadata"), F.struct(F.struct(F.col("source").alias("name")).alias("service")).alias("resource"), F.when(F.col("source") == "error", F.struct(F.col("metadata.value").alias("value"))).alias("gauge"), F.array(F.struct(F.col("id").alias("name"), F.lit(None).alias("x")), F.struct(F.lit("b").alias("name"), F.lit(None).alias("x"))).alias("events"), F.lit("SPAN_KIND_SERVER").alias("kind"), F.col("metadata.user_id").alias("duration")))
-    return m.as_variant(df.select("id", nested.alias("json")), "json")
+    return m.as_variant(spread(df.select("id", nested.alias("json"))), "json")
 
 
 _p = m.Field
