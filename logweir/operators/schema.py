@@ -82,26 +82,24 @@ def flatten_schema(spark: SparkSession, schema: StructType) -> DataFrame:
 
 
 #: Levels of nesting that variant_paths() follows.
-MAX_DEPTH = 8
+MAX_DEPTH = 6
 
 
 def variant_paths(df: DataFrame, key: str, column: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, type) of every node of JSON events: one pass of explodes for each level."""
-    level = df.select(F.col(key).alias("key"), F.lit("").alias("at"), F.try_parse_json(column).alias("v"))
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        inner = level.filter(F.startswith(kind, F.lit("OBJECT")))
-        level = _exploded(inner)
-        typed = level.select("key", F.col("at").alias("path"), _variant_type(F.schema_of_variant("v")).alias("type"))
-        out = typed if out is None else out.unionByName(typed)
-        level = level.select("key", F.concat("at", F.lit(".")).alias("at"), "v")
-    return out.filter("type != 'null'")
-
-
-def _exploded(df: DataFrame) -> DataFrame:
-    found = df.withColumnRenamed("key", "event").selectExpr("event", "at", "inline(transform(map_entries(cast(v as map<string, variant>)), e -> struct(e.key as name, e.value as value)))")
-    return found.select(F.col("event").alias("key"), F.concat("at", "name").alias("at"), F.col("value").alias("v"))
+    """(key, path, type) of every node of JSON events, in one pass: a nest of array functions as deep as
+    the events may be."""
+    def walk(value, prefix, left: int):
+        def one(e):
+            path, kind = F.concat(prefix, e["key"]), F.schema_of_variant(e["value"])
+            own = F.array(F.struct(path.alias("path"), _variant_type(kind).alias("type")))
+            if left <= 1:
+                return own
+            return F.when(F.startswith(kind, F.lit("OBJECT")), F.concat(own, walk(e["value"], F.concat(path, F.lit(".")), left - 1))).otherwise(own)
+
+        return F.flatten(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), one))
+
+    parsed = df.select(F.col(key).alias("key"), F.explode(F.array(F.try_parse_json(column))).alias("v"))
+    return parsed.select("key", F.explode(walk(F.col("v"), F.lit(""), depth)).alias("n")).select("key", "n.path", "n.type").filter("type != 'null'")
 
 
 def _variant_type(kind):
