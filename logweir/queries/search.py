@@ -51,8 +51,7 @@ rules("x07_empty_in", "FALSE", R("m.level", "in", values=()))
 
 def tagged(df: DataFrame) -> DataFrame:
     """Documents with the words of their text, and with a map of their fields."""
-    words = F.slice(F.split("text", " "), 1, 12)
-    return df.select("doc_id", words.alias("words"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("labels"))
+    return df.select("doc_id", F.split("text", " ").alias("words"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("labels"))
 
 
 register("f07_list_includes", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("words", "list_includes", "the")]).select("doc_id"), "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' ')[1:12], 'the')")
