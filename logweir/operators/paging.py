@@ -91,9 +91,9 @@ def ordered(df: DataFrame, *keys: tuple[str, str, str]) -> DataFrame:
     return df.orderBy(*(getattr(F.col(c), f"{way}_nulls_{nulls}")() for c, way, nulls in keys))
 
 
-def cap_rows(df: DataFrame, most: int = MAX_ROWS) -> DataFrame:
-    """No more rows than a stored query may return; a smaller limit of its own holds."""
-    return df.limit(most)
+def cap_rows(df: DataFrame, most: int | None = MAX_ROWS) -> DataFrame:
+    """No more rows than a stored query may return; a smaller limit of its own holds. None: all rows."""
+    return df if most is None else df.limit(most)
 
 
 def ranked(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ORDER, name: str = "rank") -> DataFrame:

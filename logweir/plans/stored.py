@@ -32,14 +32,14 @@ def parameters(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<![\w:]):([A-Za-z_]\w*)", re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`", "", named(sql)))))
 
 
-def run_stored(spark: SparkSession, sql: str, params: dict | None = None, max_rows: int = MAX_ROWS, redact: bool = False) -> DataFrame:
-    """A query's rows, capped; parameters that are not given are null."""
+def run_stored(spark: SparkSession, sql: str, params: dict | None = None, max_rows: int | None = MAX_ROWS, redact: bool = False) -> DataFrame:
+    """A query's rows, capped unless max_rows is None; parameters that are not given are null."""
     given = params or {}
     out = cap_rows(spark.sql(named(sql), args={p: given.get(p) for p in parameters(sql)}), max_rows)
     return redact_ip(out) if redact else out
 
 
-def run_over_views(spark: SparkSession, views: dict[str, DataFrame], consumer: str, params: dict | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+def run_over_views(spark: SparkSession, views: dict[str, DataFrame], consumer: str, params: dict | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """A query that sees these views and none of the session's others."""
     own = spark.newSession()
     for name, df in views.items():

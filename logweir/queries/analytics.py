@@ -198,12 +198,12 @@ register("z02_except", on_logs(lambda df: users(df, "notice").subtract(users(df,
 register("z03_intersect", on_logs(lambda df: users(df, "error").intersect(users(df, "notice"))), f"{_users('error')} INTERSECT {_users('notice')}")
 
 
-def sql(text: str, params: dict | None = None, rows: int = 1_000_000) -> Query:
+def sql(text: str, params: dict | None = None) -> Query:
     """A stored query over views of the tables; the same text is the oracle's, with values for parameters."""
     def query(spark, sf_dir):
         for name in ("orders", "customer", "nation", "lineitem"):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return z.run_stored(spark, text, params, rows)
+        return z.run_stored(spark, text, params, max_rows=None)
 
     return query
 
@@ -218,7 +218,7 @@ def nesting(spark, sf_dir):
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     z.stored_query(spark, "dear_orders", "SELECT * FROM orders WHERE o_totalprice > @least", {"least": 250000})
     z.stored_query(spark, "dear_by_customer", "SELECT o_custkey, count(*) AS n FROM dear_orders GROUP BY o_custkey")
-    return z.run_stored(spark, "SELECT * FROM dear_by_customer WHERE n >= @n", {"n": 2}, 1_000_000)
+    return z.run_stored(spark, "SELECT * FROM dear_by_customer WHERE n >= @n", {"n": 2}, max_rows=None)
 
 
 register("z06_nested_views", nesting, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY 1 HAVING count(*) >= 2")

@@ -1,8 +1,12 @@
 """The registered queries do the whole job: no prefix, cap or window that is not their feature."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from logweir.queries import search
+from logweir.plans import stored
+from logweir.queries import analytics, search
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -21,3 +25,27 @@ def test_lists_hold_every_word(spark, late_words):
     assert sorted(r.doc_id for r in search.QUERIES["f08_list_regexp"](spark, path).collect()) == [1, 2, 4]
     words = sorted(tuple(r) for r in search.QUERIES["p04_unnest"](spark, path).collect())
     assert words == sorted((i, w) for i, t in texts.items() if t is not None for w in t.split(" "))
+
+
+N = 1_000_001
+
+
+@pytest.fixture(scope="module")
+def many_orders(spark, tmp_path_factory):
+    """More customers, each with four dear orders, and more orders of one status, than the old cap of rows."""
+    path = str(tmp_path_factory.mktemp("many"))
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(f"{path}/nation.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{path}/lineitem.parquet")
+    spark.range(1, N + 2).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name"), F.lit(1).alias("c_nationkey"), F.when(F.col("id") <= N, 1.0).otherwise(-1.0).alias("c_acctbal")).write.parquet(f"{path}/customer.parquet")
+    spark.range(4 * N).select("id", F.expr(f"1 + id % {N}").alias("o_custkey"), F.when(F.expr(f"id < {N}"), "F").otherwise("P").alias("o_orderstatus"), F.lit(300000.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")).withColumnRenamed("id", "o_orderkey").write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["z04_cte", "z05_subqueries", "z06_nested_views", "z07_parameters"])
+def test_stored_queries_give_all_rows(spark, many_orders, name):
+    assert analytics.QUERIES[name](spark, many_orders).count() == N
+
+
+def test_the_cap_stays_a_feature(spark):
+    assert stored.run_stored(spark, "SELECT id FROM range(2000)").count() == 1000
+    assert stored.run_stored(spark, "SELECT id FROM range(2000)", max_rows=None).count() == 2000
