@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .charts import fill_missing_by
-
 ALERT_ROWS = 1000
 
 
@@ -16,14 +14,34 @@ def rate_per_second(df: DataFrame, source: str = "source", time: str = "timestam
     return df.groupBy(source, F.date_trunc("second", time).alias("timestamp")).agg(F.count("*").alias("rate"))
 
 
+#: Seconds of a source that one task rolls over, at least.
+BLOCK_SECONDS = 86_400
+
+
 def rolling_rate(df: DataFrame, seconds: int = 60, source: str = "source", time: str = "timestamp") -> DataFrame:
     """Each second between a source's first and last: its rate, sum and average (rounded up) of the last
-    seconds, quiet ones included, and the highest rate so far."""
-    filled = fill_missing_by(rate_per_second(df, source, time), source, "second")
-    order = Window.partitionBy(source).orderBy("timestamp")
-    last = order.rowsBetween(-(seconds - 1), 0)
-    total = F.sum("rate").over(last)
-    return filled.select(source, "timestamp", "rate", total.alias("sum"), F.ceil(total / F.lit(seconds)).alias("average"), F.max("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("max"))
+    seconds, quiet ones included, and the highest rate so far.
+
+    A source is cut into blocks of a day. The seconds before a block that its sums reach back to go with
+    it, and so does the highest rate of the blocks before, so that no source is one task."""
+    span, back = max(BLOCK_SECONDS, seconds), seconds - 1
+    start = F.col("block") * span
+    rates = rate_per_second(df, source, time).filter("timestamp is not null")
+    rates = rates.select(F.col(source).alias("source"), F.unix_seconds("timestamp").alias("second"), "rate").withColumn("block", F.floor(F.col("second") / span))
+    ends = rates.groupBy("source").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    every = ends.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / span), F.floor(F.col("high") / span))))
+    tops = every.withColumn("top", F.lit(0).cast("long")).unionByName(rates.select("source", F.col("rate").alias("top"), "block"), allowMissingColumns=True)
+    blocks = tops.groupBy("source", "block").agg(*(F.max(x).alias(x) for x in ("low", "high", "top")))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    blocks = blocks.withColumn("before", F.coalesce(F.max("top").over(earlier), F.lit(0)))
+    grid = blocks.withColumn("second", F.explode(F.sequence(F.greatest(F.col("low"), start - back), F.least(F.col("high"), start + span - 1))))
+    near = F.when(F.col("second") + back >= start + span, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))
+    rows = grid.select("source", "block", "second", F.lit(0).cast("long").alias("rate"), "before").unionByName(rates.withColumn("block", F.explode(near)).withColumn("before", F.lit(0).cast("long")))
+    filled = rows.repartition("source", "block").groupBy("source", "block", "second").agg(F.sum("rate").alias("rate"), F.max("before").alias("before"))
+    order = Window.partitionBy("source", "block").orderBy("second")
+    total, top = F.sum("rate").over(order.rowsBetween(-back, 0)), F.max("rate").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rolled = filled.withColumn("sum", total).withColumn("max", F.greatest(top, "before")).filter(F.col("second") >= start)
+    return rolled.select(F.col("source").alias(source), F.timestamp_seconds("second").alias("timestamp"), "rate", "sum", F.ceil(F.col("sum") / F.lit(seconds)).alias("average"), "max")
 
 
 def quota_status(counts: DataFrame, source_limits: DataFrame, user_limits: DataFrame, window: int = 60) -> DataFrame:

@@ -267,7 +267,7 @@ def merged(spark, sf_dir):
 register("h02_merge", merged, "SELECT * FROM (VALUES ('event_message', 'string'), ('id', 'string'), ('timestamp', 'datetime'), ('num', 'string'), ('list', 'list<float>'), ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('x', 'float')) AS v(path, type)")
 register("h03_flatten", lambda p, d: h.variant_paths(bodies(p, d), "id", "body").select("path", "type").distinct(), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('list', 'list<float>'), ('num', 'string')) AS v(path, type)")
 register("h04_conflicts", lambda p, d: h.schema_conflicts(bodies(p, d), HELD, "id", "body"), f"SELECT id, 'num' AS path, 'string' AS type, 'integer' AS expected FROM {LOGS} WHERE source = 'view' UNION ALL SELECT id, 'list', 'list<float>', 'list<integer>' FROM {LOGS} WHERE source = 'click'")
-register("h05_updates", lambda p, d: h.flatten_schema(p, h.schema_updates(bodies(p, d).filter("source = 'error'"), HELD, "body", limit=20)).filter("path like 'metadata%'"), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer')) AS v(path, type)")
+register("h05_updates", lambda p, d: h.flatten_schema(p, h.schema_updates(bodies(p, d), HELD, "body", limit=20)), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer')) AS v(path, type)")
 register("h06_counts", lambda p, d: h.field_counts(h.variant_paths(bodies(p, d), "source", "body").withColumnRenamed("key", "source"), limit=3), f"SELECT source, CAST(2 + (source IN ('error', 'click', 'view'))::INT AS BIGINT) AS fields, source IN ('error', 'click', 'view') AS at_limit FROM {LOGS} GROUP BY 1")
 
 
@@ -430,7 +430,7 @@ def _routed(spark, df, path, point):
 register("t03_route", through(_routed), f"SELECT id, 'errors' AS target FROM {LOGS} WHERE level = 'error' UNION ALL SELECT id, 'high' FROM {LOGS} WHERE value > 50")
 register("t04_chart", streamed(lambda df: st.stream_chart(df, "max", "metadata.value", "hour"), True), f"SELECT date_trunc('hour', \"timestamp\") AS \"timestamp\", max(value) AS value FROM {LOGS} GROUP BY 1")
 register("t05_rates", streamed(st.stream_rates, True), f"SELECT source, date_trunc('second', \"timestamp\") AS \"timestamp\", count(*) AS rate FROM {LOGS} GROUP BY 1, 2")
-register("t05_averages", streamed(lambda df: st.stream_averages(df.filter("timestamp < timestamp_ntz'2024-01-02'")), True), f"""SELECT source, t AS "timestamp", count(*) AS sum, CAST(ceil(count(*) / 60.0) AS BIGINT) AS average FROM (SELECT source, unnest(generate_series(date_trunc('second', "timestamp"), date_trunc('second', "timestamp") + INTERVAL 59 SECOND, INTERVAL 1 SECOND)) AS t FROM {LOGS} WHERE "timestamp" < TIMESTAMP '2024-01-02') GROUP BY 1, 2""")
+register("t05_averages", streamed(st.stream_averages, True), f"""SELECT source, t AS "timestamp", count(*) AS sum, CAST(ceil(count(*) / 60.0) AS BIGINT) AS average FROM (SELECT source, unnest(generate_series(date_trunc('second', "timestamp"), date_trunc('second', "timestamp") + INTERVAL 59 SECOND, INTERVAL 1 SECOND)) AS t FROM {LOGS} WHERE "timestamp" < TIMESTAMP '2024-01-02') GROUP BY 1, 2""")
 
 
 def _quota(df):

@@ -1,10 +1,15 @@
 """The registered queries do the whole job: no prefix, cap or window that is not their feature."""
 
+import datetime as dt
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.operators import rates
 from logweir.plans import stored
-from logweir.queries import analytics, search
+from logweir.queries import analytics, ingest, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +54,60 @@ def test_stored_queries_give_all_rows(spark, many_orders, name):
 def test_the_cap_stays_a_feature(spark):
     assert stored.run_stored(spark, "SELECT id FROM range(2000)").count() == 1000
     assert stored.run_stored(spark, "SELECT id FROM range(2000)", max_rows=None).count() == 2000
+
+
+T = dt.datetime(2023, 12, 30)
+
+
+def plain_rolling(events, seconds):
+    out = {}
+    for source in {s for s, _ in events}:
+        at = [int((t - T).total_seconds()) for s, t in events if s == source and t]
+        top = 0
+        for second in range(min(at), max(at) + 1):
+            rate = at.count(second)
+            total, top = sum(second - seconds < x <= second for x in at), max(top, rate)
+            out[source, T + dt.timedelta(seconds=second)] = (rate, total, -(-total // seconds), top)
+    return out
+
+
+@pytest.mark.parametrize("block,seconds", [(86_400, 60), (50, 60), (50, 7), (50, 1), (60, 60)])
+def test_rolling_rate_over_blocks(spark, monkeypatch, block, seconds):
+    monkeypatch.setattr(rates, "BLOCK_SECONDS", block, raising=False)
+    random.seed(block + seconds)
+    events = [(s, T + dt.timedelta(seconds=random.choice([3, 49, 50, 51, 99, 101, 400, 777]), milliseconds=random.randrange(1000))) for s in ("a", "b", None) for _ in range(30)]
+    df = spark.createDataFrame([*events, ("a", None)], "source string, timestamp timestamp_ntz")
+    rows = rates.rolling_rate(df, seconds).collect()
+    assert {(r["source"], r["timestamp"]): (r["rate"], r["sum"], r["average"], r["max"]) for r in rows} == plain_rolling(events, seconds)
+    assert len(rows) == len(plain_rolling(events, seconds))
+
+
+@pytest.fixture(scope="module")
+def few_events(spark, tmp_path_factory):
+    """Events within and without 2024-01-01 and 2024-01-10, one of each source."""
+    path = str(tmp_path_factory.mktemp("few"))
+    days = {"click": 1, "error": 1, "view": 10, "purchase": 20, "signup": 29}
+    events = spark.read.parquet(f"{SF}/events.parquet").schema
+    rows = [(i, dt.datetime(2024, 1, day, 1, 0, i), source) for i, (source, day) in enumerate(days.items())] + [(9, dt.datetime(2024, 1, 1, 2, 0, 0), "view"), (10, dt.datetime(2024, 1, 2, 1, 0, 0), "click")]
+    given = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string")
+    given.select(*((F.col(x.name) if x.name in given.columns else F.lit("1")).cast(x.dataType).alias(x.name) for x in events)).coalesce(1).write.parquet(f"{path}/written")
+    os.rename(next(f"{path}/written/{x}" for x in os.listdir(f"{path}/written") if x.startswith("part-")), f"{path}/events.parquet")  # streams read a file
+    return path, [(source, at) for _, at, source in rows]
+
+
+def test_rolling_rate_sees_all_events(spark, few_events):
+    path, events = few_events
+    rows = analytics.QUERIES["n02_rolling"](spark, path)
+    by = {r["source"]: (r["n"], r["events"], r["top"]) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("rate").alias("events"), F.max("max").alias("top")).collect()}
+    assert by == {"click": (86_401, 2, 1), "error": (1, 1, 1), "view": (int((dt.datetime(2024, 1, 10, 1, 0, 2) - dt.datetime(2024, 1, 1, 2)).total_seconds()) + 1, 2, 1), "purchase": (1, 1, 1), "signup": (1, 1, 1)}
+
+
+def test_stream_averages_see_all_events(spark, few_events):
+    path, events = few_events
+    rows = {(r["source"], r["timestamp"], r["sum"], r["average"]) for r in ingest.QUERIES["t05_averages"](spark, path).collect()}
+    assert rows == {(s, t + dt.timedelta(seconds=i), 1, 1) for s, t in events for i in range(60)}
+
+
+def test_updates_see_all_sources_and_paths(spark, few_events):
+    rows = dict(map(tuple, ingest.QUERIES["h05_updates"](spark, few_events[0]).collect()))
+    assert rows == {"event_message": "string", "id": "string", "timestamp": "datetime", "num": "string", "list": "list<float>", "metadata": "map", "metadata.level": "string", "metadata.code": "integer", "x": "float"}
