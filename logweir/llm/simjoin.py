@@ -411,7 +411,15 @@ def _linked(rows: DataFrame, names: list[str], num: int, den: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows (all columns) with the smallest id of their component; of rows that share it, one. Rows
-    without shingles stay. Near-duplicates share 0.8 of their five-word shingles by default."""
-    found = jaccard_components(docs, id_col, text_col, k, num, den).filter((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    return docs.join(found.select(id_col).distinct(), id_col, "left_anti")
+    """One row (all columns) of each component: that with the smallest id, of rows that share it any one;
+    a null id comes after all others. Rows without shingles stay. Near-duplicates share 0.8 of their
+    five-word shingles by default.
+
+    The join runs on keys of the rows of a written table, so repeated and null ids are rows like others."""
+    names = {x.lower() for x in docs.columns}
+    row = next(x for x in ("row_", *(f"row_{i}" for i in range(len(names)))) if x not in names)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = jaccard_components(rows.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", k, num, den)
+    copies = found.filter((F.col("n_shingles") > 0) & (F.col("id.row") != F.col("component_id.row"))).select(F.col("id.row").alias(row))
+    return rows.join(copies, row, "left_anti").drop(row)

@@ -488,6 +488,17 @@ def test_jaccard_join_on_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_keep_one_keeps_one_row(spark):
+    text, near, other, third = (" ".join(f"{x}{i % 37}" for i in range(60)) for x in ("a", "a", "b", "c"))
+    rows = [(1, text), (1, text), (1, text), (2, text), (None, text), (None, near), (None, other), (None, other), (7, third), (7, other), (9, third), (8, "?! unique words of one text"), (5, ""), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", None, "k", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    kept = simjoin.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, text), (7, other), (7, third), (8, rows[11][1]), (5, ""), (5, ""), (None, None)])
+    clean = spark.createDataFrame([(3, text, "en", None, "k", 0), (4, text, "en", None, "k", 1), (4, third, "en", None, "k", 2)], SCHEMA)
+    assert sorted(r.label for r in simjoin.keep_one(clean.withColumn("row_", F.lit(1))).collect()) == [0, 2]
+
+
 def test_bounds_never_undercut():
     rng = np.random.default_rng(11)
     for _ in range(200):
