@@ -3,9 +3,10 @@
 The rules find e-mail addresses, IPv4 addresses, card and phone numbers. The field is trained from a
 small labelled table of texts with marked spans, and adds what the rules miss: local phone numbers,
 spelled-out addresses and the like. Its features are the shapes of a token and of the two on either
-side; its tags say which kind a token begins or continues. Since none of the kinds comes without a
-digit or an at-sign or its spelling, it decodes the stretches of text around those: together they are
-all of a text that can hold a span. They are decoded by Viterbi in numpy batches.
+side; its tags say which kind a token begins or continues. Its tags are those of the best path over the
+whole text. Most of a text is settled before Viterbi: a run of tagged tokens scores at most the sum of its
+tokens' bounds, so a token that is in no run with a sum above zero has no tag. Only the runs that are left
+are decoded, in numpy batches, and of them only those with what plausible() asks for.
 
 Defined cases: null text is empty and has no spans; a predicted span that meets a rule's span is left
 out, so rules' spans stay as they are; repeated rows are taken one by one; null ids are kept. Other
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from dataclasses import field as of_class
 from functools import partial
 
 import numpy as np
@@ -88,9 +90,10 @@ def rule_spans(text: str) -> list[Span]:
 TAGS = 1 + 2 * len(KINDS)  # 0: none; 1 + 2k: kind k begins; 2 + 2k: it goes on
 REACH = 2
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-TRIGGER = re.compile(r"[0-9]+|@|[\[(] ?at ?[\])]")
-#: Characters on either side of a trigger that belong to its stretch.
-AROUND = 48
+#: What every plausible span holds at least, but for digits of other scripts.
+HINT = re.compile(r"[\d@]|\Wat\W|dot", re.IGNORECASE)
+#: Tokens that are decoded at once, about, and shapes that are remembered.
+DECODED, SEEN = 1 << 17, 1 << 17
 
 
 def shape(token: str, spaced: bool, words: frozenset[str]) -> str:
@@ -108,24 +111,9 @@ def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text, start, end)]
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """The parts of a text near its triggers, whole words, apart from each other."""
-    begin = last = None
-    for m in TRIGGER.finditer(text):
-        if last is not None and m.start() - AROUND > last:
-            yield _widened(text, begin, last)
-            begin = None
-        begin = max(0, m.start() - AROUND) if begin is None else begin
-        last = m.end() + AROUND
-    if last is not None:
-        yield _widened(text, begin, last)
-
-
-def _widened(text: str, start: int, end: int) -> tuple[int, int]:
-    cut = text.find(" ", start, start + AROUND) if start else -1
-    end = min(end, len(text))
-    stop = text.rfind(" ", end - AROUND, end) if end < len(text) else -1
-    return max(start, cut), max(stop, end - AROUND) if stop >= 0 else end
+def hinted(text: str) -> bool:
+    """Whether a text may hold a plausible span."""
+    return bool(HINT.search(text)) or not text.isascii() and any(map(str.isdigit, text))
 
 
 @dataclass
@@ -135,9 +123,21 @@ class Field:
     emit: np.ndarray  # (2 * REACH + 1, shapes, TAGS)
     step: np.ndarray  # (TAGS, TAGS), of a tag and the next
 
+    seen: dict[tuple[str, bool], int] = of_class(default_factory=dict)
+
     def ids(self, text: str, places: list[tuple[int, int]]) -> np.ndarray:
-        known, words = self.shapes, self.words
-        return np.array([known.get(shape(text[a:b], a > 0 and text[a - 1].isspace(), words), 0) for a, b in places], np.int64)
+        known, words, seen = self.shapes, self.words, self.seen
+        if len(seen) > SEEN:
+            seen.clear()
+        out = []
+        for a, b in places:
+            key = (text[a:b], a > 0 and text[a - 1].isspace())
+            if (found := seen.get(key)) is None:
+                found = known.get(shape(*key, words), 0)
+                if b - a <= 32:
+                    seen[key] = found
+            out.append(found)
+        return np.array(out, np.int64)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Emission scores of padded rows of shapes: (rows, tokens, TAGS)."""
@@ -145,24 +145,31 @@ class Field:
         return sum(self.emit[o][wide[:, o : o + ids.shape[1]]] for o in range(2 * REACH + 1))
 
     def viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each row; rows of about the same length are decoded together."""
+        """The best tags of each row of shapes."""
+        return self.best([self.scores(x[None])[0] for x in rows])
+
+    def best(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each row of emission scores; rows of about the same length are decoded together."""
         out: list[np.ndarray] = [None] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * len(rows[order[to]]) <= DECODED:
+                to += 1
+            part, at = order[at:to], to
             lengths = np.array([len(rows[i]) for i in part])
-            ids = np.ones((len(part), int(lengths.max(initial=0))), np.int64)
+            emit = np.zeros((len(part), int(lengths.max(initial=0)), TAGS))
             for r, i in enumerate(part):
-                ids[r, : lengths[r]] = rows[i]
-            emit = self.scores(ids)
+                emit[r, : lengths[r]] = rows[i]
             best, back = emit[:, 0], []
-            for t in range(1, ids.shape[1]):
+            for t in range(1, emit.shape[1]):
                 ways = best[:, :, None] + self.step[None]
                 come = ways.argmax(axis=1)
                 new = np.take_along_axis(ways, come[:, None], 1)[:, 0] + emit[:, t]
                 live = (t < lengths)[:, None]
                 best, come = np.where(live, new, best), np.where(live, come, np.arange(TAGS))
-                back.append(come)
+                back.append(come.astype(np.int8))
             tag = best.argmax(axis=1)
             path = [tag]
             for come in reversed(back):
@@ -173,6 +180,44 @@ class Field:
                 out[i] = path[r, : lengths[r]]
         return out
 
+    def runs(self, emit: np.ndarray) -> list[tuple[int, int]]:
+        """The runs of a text's tokens that may have a tag on its best path; all others have none."""
+        change = self.step - self.step[0, 0]
+        into = change[:, 1:].max(axis=0)
+        leave = max(0.0, change[1:, 0].max())
+        over = emit[:, 1:] - emit[:, :1]
+        most = (over + into).max(axis=1)
+        most[0] = (over[0] + np.maximum(into, 0)).max()  # no step leads to the first token
+        total = np.cumsum(most)
+        before = total - most
+        ending = total - np.minimum.accumulate(before)
+        starting = np.maximum.accumulate(total[::-1])[::-1] - before
+        may = np.concatenate([[False], ending + starting - most + leave > -1e-6, [False]])
+        edge = np.flatnonzero(may[1:] != may[:-1])
+        return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def decoded(field: Field, texts: list[str]) -> list[list[Span]]:
+    """The plausible spans on the best path of each text."""
+    out: list[list[Span]] = [[] for _ in texts]
+    owner, where, rows = [], [], []
+    for i, text in enumerate(texts):
+        if not hinted(text) or not (places := tokens(text, 0, len(text))):
+            continue
+        emit = field.scores(field.ids(text, places)[None])[0]
+        for a, b in field.runs(emit):
+            if hinted(text[places[a][0] : places[b - 1][1]]):
+                low, high = max(0, a - 1), min(len(places), b + 1)  # the tokens beside a run have no tag
+                row = emit[low:high].copy()
+                row[: a - low, 1:] = row[len(row) - (high - b) :, 1:] = -1e12
+                owner.append(i)
+                where.append(places[low:high])
+                rows.append(row)
+    for i, places, tags in zip(owner, where, field.best(rows), strict=True):
+        if tags.any():
+            out[i] += [(kind, a, b) for kind, a, b in spans_of(tags, places) if plausible(kind, texts[i][a:b])]
+    return out
+
 
 def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Fits the field to marked texts by gradient steps on the likelihood (forward and backward sums)."""
@@ -239,7 +284,7 @@ def spans_of(tags: np.ndarray, places: list[tuple[int, int]]) -> list[Span]:
 def plausible(kind: int, span: str) -> bool:
     """What a span of the kind holds at least."""
     digits = sum(c.isdigit() for c in span)
-    return (bool(re.search(r"@|\Wat\W", span)) and "." in span or "dot" in span, digits >= 4 and span.count(".") == 3, 16 <= digits <= 19 and luhn("".join(c for c in span if c.isdigit())), 10 <= digits <= 15)[kind]
+    return (bool(re.search(r"@|\Wat\W", span, re.IGNORECASE)) and "." in span or "dot" in span.lower(), digits >= 4 and span.count(".") == 3, 16 <= digits <= 19 and luhn("".join(c for c in span if c.isdigit())), 10 <= digits <= 15)[kind]
 
 
 _MARKED = re.compile("<(email|ip|card|phone)>(.*?)</\\1>")
@@ -292,19 +337,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], field) -> Iterator[pa.RecordBatc
     for batch in slices(batches, "text"):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         base = [rule_spans(x) for x in texts]
-        owner, places, rows = [], [], []
-        for i, text in enumerate(texts):
-            for start, end in stretches(text):
-                if where := tokens(text, start, end):
-                    owner.append(i)
-                    places.append(where)
-                    rows.append(field.ids(text, where))
-        found = [list(x) for x in base]
-        for i, where, tags in zip(owner, places, field.viterbi(rows), strict=True):
-            if tags.any():
-                for kind, a, b in spans_of(tags, where):
-                    if plausible(kind, texts[i][a:b]) and not any(s < b and a < e for _, s, e in base[i]):
-                        found[i].append((kind, a, b))
+        found = [[*x, *((k, a, b) for k, a, b in more if not any(s < b and a < e for _, s, e in x))] for x, more in zip(base, decoded(field, texts), strict=True)]
         counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(len(KINDS))]
         digests = [hashlib.sha256(shown(x).encode()).hexdigest() for x in base]
         yield pa.RecordBatch.from_arrays([batch.column("id"), *counts, pa.array(digests), pa.array([shown(x) for x in found])], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])

@@ -136,6 +136,27 @@ def test_field_against_labels(spark):
     assert right / total > 0.85 and right / found > 0.85
 
 
+def test_every_trained_form_is_found(spark):
+    examples = {"a": "k", "#": "5"}
+    fixed = {"a.aaaaa at aaaaaa dot net": "j.smith at sample dot net", "aaa.aaaa [at] aaaa [dot] org": "abc.defg [AT] efgh [DOT] org", "aaaa (at) aaaaa.com": "abcd (AT) efghi.com"}
+    cases = [(kind, fixed.get(form, "".join(examples.get(c, c) if kind != "email" or form.count("@") else c for c in form))) for kind in ("email", "phone") for form in pii.FORMS[kind]]
+    cases.append(("email", "j.smith at sample dot net"))
+    texts = [f"and so on {x} it goes" for _, x in cases] + [f"{'these are many words ' * 40}and so on {x} it goes{' and more of them follow' * 40}" for _, x in cases]
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    missed = [t[:60] for i, t in enumerate(texts) if f"{cases[i % len(cases)][0]}:{t.index(cases[i % len(cases)][1])}:" not in rows[i]]
+    assert not missed
+
+
+def test_decoding_is_that_of_whole_texts(spark):
+    field = pii.train([pii.unmarked(r[0]) for r in pii.labelled_table(spark, 3).collect()])
+    texts = [" ".join(pii.unmarked(r[0])[0] for r in pii.labelled_table(spark, 1, seed=n).collect()) for n in (3, 4)]
+    texts += [pii.unmarked(r[0])[0] for r in pii.labelled_table(spark, 1, seed=5).collect()] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for text, got in zip(texts, pii.decoded(field, texts), strict=True):
+        where = pii.tokens(text or "", 0, len(text or ""))
+        whole = pii.spans_of(field.viterbi([field.ids(text, where)])[0], where) if where else []
+        assert got == [x for x in whole if pii.plausible(x[0], text[x[1] : x[2]])]
+
+
 def test_viterbi_is_the_best_path(spark):
     import itertools
 
