@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that a Python task works on at a time; a longer text stands alone.
 CHUNK_BYTES = 1 << 19
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (one machine, as in tests), a new temporary folder that the session then keeps."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local
+    session (as in tests) gets a temporary folder, which it keeps; a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.logweir.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.logweir.scratch", root)
     return root.rstrip("/")
@@ -41,6 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_id(df: DataFrame, id_col: str, more: str) -> StructType:
+    """A schema: the type of df's column as `id`, then the columns that `more` declares."""
+    return StructType([StructField("id", df.schema[id_col].dataType), *DataType.fromDDL(more).fields])
+
+
 def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     """Shuffle partitions that keep about `each` rows in one, at least as many as the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
@@ -74,21 +83,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Multipliers of the hashes: odd, so that they have inverses modulo 2^64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_BYTE_VALUES = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64."""
-    if (have := _powers.get(base)) is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if len(have) <= 2 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
+#: Odd multipliers of the hashes.
+LENGTH_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+#: Bytes of a string that are hashed here, eight at a time; longer ones go to blake2b.
+SHORT_BYTES = 64
+_KEPT = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,6 +97,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[start:end]. Each step mixes eight bytes into all bits, so that no
+    algebra of the bytes carries over; strings of up to eight bytes collide by length alone."""
+    wide = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    length = end - start
+    out = length.astype(np.uint64) * np.uint64(LENGTH_BASE)
+    rows = np.flatnonzero((length > 0) & (length <= SHORT_BYTES))
+    at = 0
+    while len(rows):
+        left = length[rows] - at
+        out[rows] = mixed(out[rows] ^ (wide[start[rows] + at] & _KEPT[np.minimum(left, 8)]))
+        at += 8
+        rows = rows[left > 8]
+    for r in np.flatnonzero(length > SHORT_BYTES).tolist():
+        out[r] = int.from_bytes(hashlib.blake2b(data[start[r] : end[r]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of many texts: maximal runs of bytes that is_word (256 booleans, on lower-cased
     bytes) holds, none over a row's end. Returns a 64-bit hash, start, end and row for each word;
@@ -111,12 +128,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     after[offsets[1:][full] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end, row
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[low] * powers(BYTE_BASE, len(data))[: len(data)], dtype=np.uint64, out=total[1:])
-    inverse = powers(pow(BYTE_BASE, -1, 2**64), len(data) + 1)
-    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end, row
+    return hashed(low, start, end), start, end, row
 
 
 def grams(word: np.ndarray, k: int) -> np.ndarray:

@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Tasks that the edges of one node are spread over where they meet its minimum.
+SALTS = 8
+
+
+def _beside(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """Edges with the minimum of their `node`; a hub's edges go to SALTS tasks."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, [node, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b), any order, repeats and self-links allowed. Returns (node, label) for every node in
     a link; label is the smallest node of its component.
 
     Each round hangs every node on the smallest of its neighbours (large star: the larger neighbours,
-    small star: the others). Both only group and join; a hub's minimum is pre-aggregated.
+    small star: the others). Both only group and join; a hub's minimum is pre-aggregated, and its
+    edges are salted.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     nodes = edges
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = _beside(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
+        small = _beside(large, least, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         after = written(small, "links")
         # stars when no node has two parents and no parent has one
         many = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")

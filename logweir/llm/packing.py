@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, written
+from .common import slices, with_id, written
 from .tokens import MAX_CACHED, encode_piece, is_plain, specials, split, tokenizer, vocabulary
 
 MAX_TOKENS, END_ID = 2048, 1
@@ -37,7 +37,7 @@ RANKED_ROWS = 200_000
 
 
 class Encoder:
-    """Ids of many texts. The ids of a pre-token are found once and kept by its hash."""
+    """Ids of many texts. The ids of a pre-token are found once and kept by its bytes."""
 
     def __init__(self, name: str):
         self.library = tokenizer(vocabulary(name))
@@ -45,7 +45,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.first, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -55,8 +55,8 @@ class Encoder:
         offsets = np.cumsum([0, *map(len, raw)])
         joined = b"".join(raw)
         piece, start, end, row = split(np.frombuffer(joined, np.uint8), offsets, spaced=False)
-        distinct, at, inverse = np.unique(piece, return_index=True, return_inverse=True)
-        number = self._numbers(distinct.tolist(), joined, start[at].tolist(), end[at].tolist())[inverse]
+        _, at, inverse = np.unique(piece, return_index=True, return_inverse=True)
+        number = self._numbers([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])[inverse]
         first = self.first[number]
         length = self.first[number + 1] - first
         before = np.cumsum(length) - length
@@ -64,14 +64,14 @@ class Encoder:
         cuts = np.append(before, len(ids))[np.searchsorted(row, np.arange(len(texts) + 1))]
         return [ids[cuts[i] : cuts[i + 1]] if p else np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") for i, p in enumerate(plain)]
 
-    def _numbers(self, pieces: list[int], text: bytes, start: list[int], end: list[int]) -> np.ndarray:
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each pre-token: its ids are self.ids[self.first[number] : self.first[number + 1]]."""
         if len(self.known) > MAX_CACHED:
             self._clear()
         known = self.known
         numbers = list(map(known.get, pieces))
         for i in [i for i, x in enumerate(numbers) if x is None]:
-            ids = encode_piece(self.library, text[start[i] : end[i]])
+            ids = encode_piece(self.library, pieces[i])
             numbers[i] = known[pieces[i]] = n = len(known)
             used = int(self.first[n])
             if used + len(ids) > len(self.ids):
@@ -106,8 +106,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, size: int, end_id: int
 
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, vocabulary_name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most max_tokens tokens: id, start, length, ids_crc32, doc_tokens."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_pieces, name=vocabulary_name, size=max_tokens, end_id=end_id), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_pieces, name=vocabulary_name, size=max_tokens, end_id=end_id), with_id(docs, id_col, "start long, length long, ids_crc32 long, doc_tokens long"))
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:

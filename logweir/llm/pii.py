@@ -6,7 +6,8 @@ spelled-out addresses and the like. Its features are the shapes of a token and o
 side; its tags say which kind a token begins or continues. Its tags are those of the best path over the
 whole text. Most of a text is settled before Viterbi: a run of tagged tokens scores at most the sum of its
 tokens' bounds, so a token that is in no run with a sum above zero has no tag. Only the runs that are left
-are decoded, in numpy batches, and of them only those with what plausible() asks for.
+are decoded, in numpy batches, and of them only those with what plausible() asks for. Tokens, shapes and
+bounds are worked out for all texts of a slice at once.
 
 Defined cases: null text is empty and has no spans; a predicted span that meets a rule's span is left
 out, so rules' spans stay as they are; repeated rows are taken one by one; null ids are kept. Other
@@ -17,18 +18,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from dataclasses import field as of_class
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, with_id
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -89,55 +90,86 @@ def rule_spans(text: str) -> list[Span]:
 
 TAGS = 1 + 2 * len(KINDS)  # 0: none; 1 + 2k: kind k begins; 2 + 2k: it goes on
 REACH = 2
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-#: What every plausible span holds at least, but for digits of other scripts.
-HINT = re.compile(r"[\d@]|\Wat\W|dot", re.IGNORECASE)
-#: Tokens that are decoded at once, about, and shapes that are remembered.
-DECODED, SEEN = 1 << 17, 1 << 17
+#: Classes of characters. A token is a run of letters, a run of the digits 0 to 9, or any one character that is no blank.
+LETTER, DIGIT, BLANK, OTHER = range(4)
+#: Tokens that are decoded at once, about, and tokens whose bounds are worked out at once.
+DECODED, BOUNDED = 1 << 17, 1 << 16
+#: Codes of shapes: digits by their number, letters by case and length, signs by character, then the words
+#: that are shapes of their own: of at most WORD_CHARS letters, all below WORD_LETTERS.
+SIGN_CODE, WORD_CODE, WORD_CHARS, WORD_LETTERS = 20, 150, 5, 4096
 
 
-def shape(token: str, spaced: bool, words: frozenset[str]) -> str:
-    if token.isdigit() and token.isascii():
-        kind = f"d{min(len(token), 9)}"
-    elif token.isalpha():
-        low = token.lower()
-        kind = low if low in words else ("X" if token[0].isupper() else "x") + ("1" if len(token) == 1 else "3" if len(token) <= 3 else "7" if len(token) <= 7 else "8")
-    else:
-        kind = token if token.isascii() else "?"
-    return "_" + kind if spaced else kind
+@lru_cache(1)
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, lower case (itself where that is not one character) and whether it is upper case, of each character."""
+    every = [chr(i) for i in range(sys.maxunicode + 1)]
+    kind = np.array([LETTER if c.isalpha() else BLANK if c.isspace() else OTHER for c in every], np.uint8)
+    kind[48:58] = DIGIT
+    lower = np.array([ord(low) if len(low := c.lower()) == 1 else i for i, c in enumerate(every)], np.uint32)
+    return kind, lower, np.array([c.isupper() for c in every])
 
 
-def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [m.span() for m in TOKEN.finditer(text, start, end)]
+@dataclass
+class Tokens:
+    """The tokens of many texts: places within their texts, the text's number, and a code for each's shape."""
+
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    code: np.ndarray
+    hint: np.ndarray  # digits, an at-sign or the word "at": every plausible span holds one
+
+
+def packed(word: str) -> int:
+    """A short word as a number."""
+    out = 0
+    for c in word.ljust(WORD_CHARS, "\0"):
+        out = out * WORD_LETTERS + ord(c)
+    return out
 
 
-def hinted(text: str) -> bool:
-    """Whether a text may hold a plausible span."""
-    return bool(HINT.search(text)) or not text.isascii() and any(map(str.isdigit, text))
+def tokens(texts: list[str], words: np.ndarray) -> Tokens:
+    """words: packed words that are shapes of their own, in order."""
+    kinds, lower, upper = characters()
+    chars = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
+    kind = kinds[chars]
+    change = kind[1:] != kind[:-1]
+    single = kind == OTHER
+    start = np.flatnonzero((kind != BLANK) & (np.append(True, change) | single))
+    end = np.flatnonzero((kind != BLANK) & (np.append(change, True) | single)) + 1
+    first = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    owner = np.searchsorted(first, start, "right") - 1
+    spaced = (start > first[owner]) & (kind[start - 1] == BLANK)
+    length, head, own = end - start, chars[start], kind[start]
+    code = np.where(own == DIGIT, np.minimum(length, 9), SIGN_CODE + np.where(head < 128, head, ord("?")))
+    letters = own == LETTER
+    code[letters] = 10 + 4 * upper[head[letters]] + np.searchsorted([2, 4, 8], length[letters], "right")
+    short = np.flatnonzero(letters & (length <= WORD_CHARS))
+    name, known = np.zeros(len(short), np.int64), np.ones(len(short), bool)
+    for j in range(WORD_CHARS):
+        inside = length[short] > j
+        c = np.where(inside, lower[chars[np.minimum(start[short] + j, len(chars) - 1)]], 0).astype(np.int64)
+        known &= c < WORD_LETTERS
+        name = name * WORD_LETTERS + np.minimum(c, WORD_LETTERS - 1)
+    at = np.minimum(np.searchsorted(words, name), max(0, len(words) - 1))
+    named = known & (words[at] == name) if len(words) else np.zeros(len(short), bool)
+    code[short[named]] = WORD_CODE + at[named]
+    hint = (own == DIGIT) | (head == ord("@"))
+    hint[short[known & (name == packed("at"))]] = True
+    return Tokens(start - first[owner], end - first[owner], owner, 2 * code + spaced, hint)
 
 
 @dataclass
 class Field:
-    shapes: dict[str, int]  # 0: unknown, 1: outside
-    words: frozenset[str]
+    words: np.ndarray  # packed, in order
+    shapes: np.ndarray  # the number of each code's shape; 0: unknown, 1: outside
     emit: np.ndarray  # (2 * REACH + 1, shapes, TAGS)
     step: np.ndarray  # (TAGS, TAGS), of a tag and the next
 
-    seen: dict[tuple[str, bool], int] = of_class(default_factory=dict)
-
-    def ids(self, text: str, places: list[tuple[int, int]]) -> np.ndarray:
-        known, words, seen = self.shapes, self.words, self.seen
-        if len(seen) > SEEN:
-            seen.clear()
-        out = []
-        for a, b in places:
-            key = (text[a:b], a > 0 and text[a - 1].isspace())
-            if (found := seen.get(key)) is None:
-                found = known.get(shape(*key, words), 0)
-                if b - a <= 32:
-                    seen[key] = found
-            out.append(found)
-        return np.array(out, np.int64)
+    def ids(self, text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The shapes and places of one text's tokens."""
+        found = tokens([text], self.words)
+        return self.shapes[found.code], list(zip(found.start.tolist(), found.end.tolist(), strict=True))
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Emission scores of padded rows of shapes: (rows, tokens, TAGS)."""
@@ -180,53 +212,84 @@ class Field:
                 out[i] = path[r, : lengths[r]]
         return out
 
-    def runs(self, emit: np.ndarray) -> list[tuple[int, int]]:
-        """The runs of a text's tokens that may have a tag on its best path; all others have none."""
-        change = self.step - self.step[0, 0]
-        into = change[:, 1:].max(axis=0)
-        leave = max(0.0, change[1:, 0].max())
-        over = emit[:, 1:] - emit[:, :1]
-        most = (over + into).max(axis=1)
-        most[0] = (over[0] + np.maximum(into, 0)).max()  # no step leads to the first token
-        total = np.cumsum(most)
-        before = total - most
-        ending = total - np.minimum.accumulate(before)
-        starting = np.maximum.accumulate(total[::-1])[::-1] - before
-        may = np.concatenate([[False], ending + starting - most + leave > -1e-6, [False]])
+    def bounds(self, wide: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most that each token's best tag can add to a path over having none, after a tagged token and
+        after one without a tag. wide: shapes with REACH more on either side; first, last: the tokens that
+        begin and end a text."""
+        step = self.step - self.step[0, 0]
+        over = [x[:, 1:] - x[:, :1] for x in self.emit]
+        within, fresh = np.empty(len(wide) - 2 * REACH), np.empty(len(wide) - 2 * REACH)
+        for a in range(0, len(within), BOUNDED):
+            b = min(len(within), a + BOUNDED)
+            gain = sum(over[o][wide[a + o : b + o]] for o in range(2 * REACH + 1))
+            within[a:b] = (gain + step[1:, 1:].max(axis=0)).max(axis=1)
+            fresh[a:b] = np.where(first[a:b], gain.max(axis=1), (gain + step[0, 1:]).max(axis=1))  # no step leads to a text's first token
+        within[last] -= self.leave()
+        fresh[last] -= self.leave()
+        return within, fresh
+
+    def leave(self) -> float:
+        """The most that the step from a tag to none adds over that from none to none; a text's last token has no such step."""
+        return float((self.step[1:, 0] - self.step[0, 0]).max())
+
+    def runs(self, within: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of tokens that may have a tag on a best path, from their bounds: a
+        token is in one where some stretch around it gains by its tags."""
+        total = np.cumsum(within)
+        before = total - within
+        ending = total - np.minimum.accumulate(before - fresh + within)
+        starting = np.maximum.accumulate(total[::-1])[::-1] - total
+        may = np.concatenate([[False], ending + starting + self.leave() > -1e-4, [False]])
         edge = np.flatnonzero(may[1:] != may[:-1])
-        return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+        return edge[::2], edge[1::2]
 
 
 def decoded(field: Field, texts: list[str]) -> list[list[Span]]:
     """The plausible spans on the best path of each text."""
     out: list[list[Span]] = [[] for _ in texts]
-    owner, where, rows = [], [], []
-    for i, text in enumerate(texts):
-        if not hinted(text) or not (places := tokens(text, 0, len(text))):
-            continue
-        emit = field.scores(field.ids(text, places)[None])[0]
-        for a, b in field.runs(emit):
-            if hinted(text[places[a][0] : places[b - 1][1]]):
-                low, high = max(0, a - 1), min(len(places), b + 1)  # the tokens beside a run have no tag
-                row = emit[low:high].copy()
-                row[: a - low, 1:] = row[len(row) - (high - b) :, 1:] = -1e12
-                owner.append(i)
-                where.append(places[low:high])
-                rows.append(row)
-    for i, places, tags in zip(owner, where, field.best(rows), strict=True):
+    found = tokens(texts, field.words)
+    if not len(found.start):
+        return out
+    # all texts in one line, REACH outside tokens before and after each
+    place = np.arange(len(found.owner)) + REACH * (found.owner + 1)
+    size = len(place) + REACH * (len(texts) + 1)
+    wide = np.ones(size + 2 * REACH, np.int64)
+    wide[REACH + place] = field.shapes[found.code]
+    token = np.full(size, -1)
+    token[place] = np.arange(len(place))
+    first, last, change = np.zeros(size, bool), np.zeros(size, bool), found.owner[1:] != found.owner[:-1]
+    first[place[np.append(True, change)]] = last[place[np.append(change, True)]] = True
+    within, fresh = field.bounds(wide, first, last)
+    within[token < 0] = fresh[token < 0] = -1e7  # no run goes from one text to another
+    hints = np.zeros(size + 1, np.int64)
+    hints[place + 1] = found.hint
+    hints = np.cumsum(hints)
+    start, end = field.runs(within, fresh)
+    some = hints[end] > hints[start]
+    held, rows = [], []
+    for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True):
+        low, high = a - int(token[a - 1] >= 0), b + int(token[b] >= 0)  # the tokens beside a run have no tag
+        row = sum(field.emit[o][wide[low + o : high + o]] for o in range(2 * REACH + 1))
+        row[: a - low, 1:] = row[len(row) - (high - b) :, 1:] = -1e12
+        held.append(token[low:high])
+        rows.append(row)
+    for at, tags in zip(held, field.best(rows), strict=True):
         if tags.any():
+            i = int(found.owner[at[0]])
+            places = list(zip(found.start[at].tolist(), found.end[at].tolist(), strict=True))
             out[i] += [(kind, a, b) for kind, a, b in spans_of(tags, places) if plausible(kind, texts[i][a:b])]
     return out
 
 
 def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Fits the field to marked texts by gradient steps on the likelihood (forward and backward sums)."""
-    places = [tokens(text, 0, len(text)) for text, _ in labelled]
-    counts = Counter(text[a:b].lower() for (text, _), x in zip(labelled, places, strict=True) for a, b in x if text[a:b].isalpha())
-    words = frozenset(w for w, n in counts.items() if n >= 8 and len(w) <= 5)
-    names = sorted({shape(text[a:b], a > 0 and text[a - 1].isspace(), words) for (text, _), x in zip(labelled, places, strict=True) for a, b in x})
-    field = Field({x: i + 2 for i, x in enumerate(names)}, words, np.zeros((2 * REACH + 1, len(names) + 2, TAGS)), np.zeros((TAGS, TAGS)))
-    rows = [field.ids(text, x) for (text, _), x in zip(labelled, places, strict=True)]
+    counts = Counter(w for text, _ in labelled for w in re.findall(r"[^\W\d_]+", text.lower()))
+    words = np.array(sorted(packed(w) for w, n in counts.items() if n >= 8 and len(w) <= WORD_CHARS and max(map(ord, w)) < WORD_LETTERS), np.int64)
+    codes = np.unique(tokens([text for text, _ in labelled], words).code)
+    shapes = np.zeros(2 * (WORD_CODE + len(words)), np.int64)
+    shapes[codes] = np.arange(len(codes)) + 2
+    field = Field(words, shapes, np.zeros((2 * REACH + 1, len(codes) + 2, TAGS)), np.zeros((TAGS, TAGS)))
+    rows, places = zip(*(field.ids(text) for text, _ in labelled), strict=True)
     lengths = np.array([len(x) for x in rows])
     ids, gold = np.ones((len(rows), lengths.max()), np.int64), np.zeros((len(rows), lengths.max()), np.int64)
     for r, ((_, spans), where) in enumerate(zip(labelled, places, strict=True)):
@@ -236,6 +299,11 @@ def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float
                 if start <= a and b <= end:
                     gold[r, t] = (1 if a == start else 2) + 2 * kind
     live = np.arange(ids.shape[1]) < lengths[:, None]
+    # unknown shapes speak for no kind: copies of the rows, with some of what is outside made unknown, and rows of nothing else
+    rng = np.random.default_rng(1)
+    blurred = np.where(live & (gold == 0) & (rng.random(ids.shape) < 0.4), 0, ids)
+    unknown = np.where(live, 0, 1)
+    ids, gold, live, lengths = np.concatenate([ids, blurred, unknown]), np.concatenate([gold, gold, np.zeros_like(gold)]), np.concatenate([live] * 3), np.concatenate([lengths] * 3)
     wide = np.pad(ids, ((0, 0), (REACH, REACH)), constant_values=1)
     both = live[:, 1:]
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (field.emit, field.step)]
@@ -251,13 +319,13 @@ def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float
         single = np.exp(ahead + behind - whole[:, None, None]) * live[..., None]
         pair = np.exp(ahead[:, :-1, :, None] + field.step + (emit + behind)[:, 1:, None, :] - whole[:, None, None, None]) * both[..., None, None]
         seen = np.eye(TAGS)[gold] * live[..., None]
-        slope = (seen - single) / len(rows)
+        slope = (seen - single) / len(ids)
         emit_slope = np.zeros_like(field.emit)
         for o in range(2 * REACH + 1):
             np.add.at(emit_slope[o], wide[:, o : o + ids.shape[1]], slope)
-        step_slope = (np.einsum("nti,ntj->ij", seen[:, :-1] * both[..., None], seen[:, 1:]) - pair.sum(axis=(0, 1))) / len(rows)
+        step_slope = (np.einsum("nti,ntj->ij", seen[:, :-1] * both[..., None], seen[:, 1:]) - pair.sum(axis=(0, 1))) / len(ids)
         for x, g, m in ((field.emit, emit_slope, moments[0]), (field.step, step_slope, moments[1])):
-            g = g - decay * x / len(rows)
+            g = g - decay * x / len(ids)
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             x += rate * (m[0] / (1 - 0.9**k)) / (np.sqrt(m[1] / (1 - 0.99**k)) + 1e-8)
@@ -283,8 +351,13 @@ def spans_of(tags: np.ndarray, places: list[tuple[int, int]]) -> list[Span]:
 
 def plausible(kind: int, span: str) -> bool:
     """What a span of the kind holds at least."""
-    digits = sum(c.isdigit() for c in span)
-    return (bool(re.search(r"@|\Wat\W", span, re.IGNORECASE)) and "." in span or "dot" in span.lower(), digits >= 4 and span.count(".") == 3, 16 <= digits <= 19 and luhn("".join(c for c in span if c.isdigit())), 10 <= digits <= 15)[kind]
+    numbers = re.findall("[0-9]+", span)
+    digits = sum(map(len, numbers))
+    if kind == 0:
+        return bool(re.search(r"@|\Wat\W", span, re.IGNORECASE)) and bool(re.search(r"\.|\Wdot\W", span, re.IGNORECASE))
+    if kind == 1:
+        return len(numbers) == 4 and span.count(".") == 3 and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in numbers)
+    return 16 <= digits <= 19 and luhn("".join(numbers)) if kind == 2 else 10 <= digits <= 15
 
 
 _MARKED = re.compile("<(email|ip|card|phone)>(.*?)</\\1>")
@@ -350,9 +423,9 @@ def shown(spans: list[Span]) -> str:
 def find_personal_data(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone and base_sha256 (of the rules' spans), and spans (all of them)
     of every row. labelled: a small table of marked texts; it is collected for the training."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     labelled = labelled_table(spark) if labelled is None else labelled
     field = spark.sparkContext.broadcast(train([unmarked(r[0]) for r in labelled.collect() if r[0]]))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_scanned, field=field), f"id {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_scanned, field=field), with_id(docs, id_col, f"{counts}, base_sha256 string, spans string")).withColumnRenamed("id", id_col)

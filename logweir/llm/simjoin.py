@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, mixed, partitions_for, sample_below, slices, utf8, words, written
+from .common import grams, mixed, partitions_for, sample_below, slices, utf8, with_id, words, written
 from .components import components
 
 IS_WORD = np.ones(256, bool)
@@ -375,10 +375,10 @@ def _candidates(nodes: DataFrame, common, num: int, den: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """id, n_shingles (k-word shingles of the text, distinct) and component_id of every row: the smallest
     id that links lead to. Two rows link when their sets share num/den of their union, at least."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(common_hashes(texts, k))
-    rows = written(texts.mapInArrow(partial(_signatures, k=k, num=num, den=den, common=common), f"id {kind}, n long, digest binary, key long, bits binary, prefix array<long>"), "signatures")
+    rows = written(texts.mapInArrow(partial(_signatures, k=k, num=num, den=den, common=common), with_id(docs, id_col, "n long, digest binary, key long, bits binary, prefix array<long>")), "signatures")
     nodes = written(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "key", "bits", "prefix"))), "classes")
 
     parts = components(_candidates(nodes, common, num, den)).withColumnRenamed("node", "key").withColumnRenamed("label", "part")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_VALUES, BYTE_BASE, mixed, powers, sample_below, slices, written
+from .common import hashed, sample_below, slices, with_id, written
 from .tokens import encode_piece, is_plain, specials, split, tokenizer, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -125,16 +125,14 @@ def _documents(batches: Iterator[pa.RecordBatch], name: str, head) -> Iterator[p
 
 
 def _hashes(pieces: list[bytes]) -> np.ndarray:
-    """Hashes of pre-tokens, as split() gives them: of each piece as a text by itself, not split."""
-    joined, ends = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
-    place = np.arange(len(joined)) - np.repeat(ends[:-1], np.diff(ends))
-    total = np.append(np.uint64(0), np.cumsum(_BYTE_VALUES[joined] * powers(BYTE_BASE, int(place.max(initial=0)) + 1)[place], dtype=np.uint64))
-    return mixed(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64))
+    """Hashes of pre-tokens, as split() gives them."""
+    ends = np.cumsum([0, *map(len, pieces)])
+    return hashed(np.frombuffer(b"".join(pieces), np.uint8), ends[:-1], ends[1:])
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_name: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit of every row."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = sample_below(texts, "id", SAMPLE_DOCS).select("text").mapInArrow(partial(_frequencies, name=vocabulary_name), "piece binary, n long")
     common = sample.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(HEAD_TOKENS)
@@ -143,7 +141,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = np.argsort(hashes)
     head = spark.sparkContext.broadcast((hashes[order], np.array([r.pieces for r in rows], np.int64)[order]))
 
-    counted = written(texts.mapInArrow(partial(_documents, name=vocabulary_name, head=head), f"id {kind}, n_bytes long, key long, head long, rare array<struct<piece:binary,n:int>>"), "counted")
+    counted = written(texts.mapInArrow(partial(_documents, name=vocabulary_name, head=head), with_id(docs, id_col, "n_bytes long, key long, head long, rare array<struct<piece:binary,n:int>>")), "counted")
     rare = counted.select("key", F.explode("rare").alias("x")).select("key", "x.piece", "x.n")
     sums = rare.join(count_pieces(rare.select("piece").distinct(), vocabulary_name), "piece").groupBy("key").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     n_tokens = F.col("head") + F.coalesce("more", F.lit(0))

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import BYTE_BASE, _BYTE_VALUES, mixed, powers
+from .common import hashed
 
 #: Texts that are split here: ASCII with the common blanks, and letters up to U+017F but the dotted I.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]*")
@@ -112,12 +112,7 @@ def split(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarr
         begin = np.flatnonzero(start[:size])
         end = np.append(begin[1:], size) if len(begin) else begin
     row = np.searchsorted(offsets, begin, "right") - 1
-    if not len(begin):
-        return np.zeros(0, np.uint64), begin, end, row
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data[:size]] * powers(BYTE_BASE, size)[:size], dtype=np.uint64, out=total[1:])
-    inverse = powers(pow(BYTE_BASE, -1, 2**64), size + 1)
-    return mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), begin, end, row
+    return hashed(data, begin, end), begin, end, row
 
 
 def _guarded(data: np.ndarray, kind: np.ndarray, start: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:
