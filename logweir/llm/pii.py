@@ -281,7 +281,7 @@ def decoded(field: Field, texts: list[str]) -> list[list[Span]]:
     return out
 
 
-def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Field:
+def train(labelled: list[tuple[str, list[Span]]], rounds: int = 80, rate: float = 0.2, decay: float = 1e-3) -> Field:
     """Fits the field to marked texts by gradient steps on the likelihood (forward and backward sums)."""
     counts = Counter(w for text, _ in labelled for w in re.findall(r"[^\W\d_]+", text.lower()))
     words = np.array(sorted(packed(w) for w, n in counts.items() if n >= 8 and len(w) <= WORD_CHARS and max(map(ord, w)) < WORD_LETTERS), np.int64)
@@ -322,7 +322,9 @@ def train(labelled: list[tuple[str, list[Span]]], rounds: int = 120, rate: float
         slope = (seen - single) / len(ids)
         emit_slope = np.zeros_like(field.emit)
         for o in range(2 * REACH + 1):
-            np.add.at(emit_slope[o], wide[:, o : o + ids.shape[1]], slope)
+            shapes = wide[:, o : o + ids.shape[1]].ravel()
+            for tag in range(TAGS):
+                emit_slope[o, :, tag] = np.bincount(shapes, slope[..., tag].ravel(), emit_slope.shape[1])
         step_slope = (np.einsum("nti,ntj->ij", seen[:, :-1] * both[..., None], seen[:, 1:]) - pair.sum(axis=(0, 1))) / len(ids)
         for x, g, m in ((field.emit, emit_slope, moments[0]), (field.step, step_slope, moments[1])):
             g = g - decay * x / len(ids)
@@ -385,7 +387,7 @@ SENTENCES = ("Call {phone} or write to {email} today.", "tel {phone}", "Tel.: {p
 OTHERS = ("in 19## there were ## of them", "on 20##-0#-1# at 1#:## the end", "page ## of ###", "version #.##.# is out", "order no. ####### of 20##", "it costs ##.## or #,### in all", "ISBN 978-#-##-######-#", "a ratio of #.##### and ## percent", "the ##th of May 19##, ###,### people", "password=aaaa####aa####aa", "token ####aaaa########", "section #.#.# (see ##)", "room ###, floor ##", "score ##-## and ##:##", "und 20## waren es ## Leute", "see me at ## or at noon", "id ################## of ##")
 
 
-def labelled_table(spark: SparkSession, each: int = 6, seed: int = 7) -> DataFrame:
+def labelled_table(spark: SparkSession, each: int = 4, seed: int = 7) -> DataFrame:
     """The small labelled table: (text with marks), each form and sentence above `each` times."""
     rng = np.random.default_rng(seed)
 

@@ -4,6 +4,7 @@ rows, empty tables and clashing columns."""
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -241,8 +242,6 @@ def test_packing(spark, docs, odd, none):
         assert pieces == wanted and sorted(sequences) == list(range(len(sequences)))
     assert packing.pack(none).count() == 0
     ids = np.array([*library.encode("same text twice, really the same text", add_special_tokens=False).ids, 1], "<u4").tobytes()
-    import zlib
-
     assert {r.ids_crc32 for r in rows if r.doc_id == 7} == {zlib.crc32(ids)}
 
 
@@ -286,12 +285,12 @@ def test_flac_round_trip():
     assert states[1] == states[4] == "ok" and "ok" not in (states[0], states[2], states[3])
 
 
-def frame_bits(samples, order, shift=None, coefficients=(), method=0, parts=0, escape=False):
+def frame_bits(samples, order, shift=None, coefficients=(), method=0, parts=0, escape=False, wasted=0):
     """A FLAC frame written bit by bit, for features that the encoder does not use."""
-    n = len(samples)
+    n, samples = len(samples), [x >> wasted for x in samples]
     head = b"\xff\xf8" + bytes([7 << 4, 2]) + flac.coded_number(0) + (n - 1).to_bytes(2, "big")
     bits = "".join(f"{b:08b}" for b in head + bytes([flac.crc8(head)]))
-    bits += f"0{(32 + order - 1) if shift is not None else 8 + order:06b}0" + "".join(f"{x & 255:08b}" for x in samples[:order])
+    bits += f"0{(32 + order - 1) if shift is not None else 8 + order:06b}{int(wasted > 0)}" + ("0" * (wasted - 1) + "1" if wasted else "") + "".join(f"{x & ((1 << 8 - wasted) - 1):0{8 - wasted}b}" for x in samples[:order])
     fixed = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
     if shift is not None:
         bits += f"{11:04b}{shift:05b}" + "".join(f"{c & 4095:012b}" for c in coefficients)
@@ -316,10 +315,24 @@ def frame_bits(samples, order, shift=None, coefficients=(), method=0, parts=0, e
     return body.tobytes() + crc.to_bytes(2, "big")
 
 
-@pytest.mark.parametrize("options", [dict(order=o) for o in range(5)] + [dict(order=2, parts=3, escape=True), dict(order=1, method=1, parts=2), dict(order=3, shift=5, coefficients=(40, -10, 3)), dict(order=8, shift=9, coefficients=(300, -20, 5, 1, 0, 9, -7, 2), parts=1)])
+def test_broken_streams_give_a_status(spark):
+    random.seed(12)
+    good = flac.encode_many([bytes(random.choice(b"the text of a page ") for _ in range(9000))])[0]
+    at = good.index(b"\xff\xf8", 42)
+    streams = [good[: at + 2] + bytes([good[at + 2] & 15]) + good[at + 3 :], b"", b"fLaC", good[:-1], good[:at] + bytes(len(good) - at)]
+    for _ in range(300):  # any bit may be wrong
+        i, b = random.randrange(len(good)), 1 << random.randrange(8)
+        streams.append(good[:i] + bytes([good[i] ^ b]) + good[i + 1 :])
+    found = flac.decode_many([good, *streams])
+    assert found[0][2] == "ok" and found[1][2] == "reserved block size" and all(s != "ok" for *_, s in found[1:6])
+    assert all(x is None or x == found[0][0] for x, _, _ in found)
+
+
+@pytest.mark.parametrize("options", [dict(order=o) for o in range(5)] + [dict(order=2, parts=3, escape=True), dict(order=1, method=1, parts=2), dict(order=2, wasted=2), dict(order=0, wasted=1, parts=1), dict(order=3, shift=5, coefficients=(40, -10, 3)), dict(order=8, shift=9, coefficients=(300, -20, 5, 1, 0, 9, -7, 2), parts=1)])
 def test_flac_decodes_the_format(options):
     random.seed(5)
     samples = [max(-128, min(127, int(60 * np.sin(i / 5) + random.randint(-9, 9)))) for i in range(256)]
+    samples = [x >> options.get("wasted", 0) << options.get("wasted", 0) for x in samples]
     raw = bytes(x + 128 for x in samples)
     stream = flac._stream(raw, frame_bits(samples, **options), [])
     assert flac.decode_many([stream, stream])[1][::2] == (raw, "ok")
@@ -330,8 +343,10 @@ def test_flac_columns(spark, odd, none):
     for i, text in enumerate(ODD):
         raw = (text or "").encode()
         payload = flac.padded(raw)
-        r = got[i, len(raw)]
-        assert r.payload_bytes == len(payload) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        r, (media,), x = got[i, len(raw)], flac.encode_many([payload]), [b - 128 for b in payload]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == f"n={len(x)};sum={sum(x)};energy={sum(v * v for v in x)};peak={max(map(abs, x))};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
     assert got[7, len(ODD[7])].media_sha256 == got[8, len(ODD[8])].media_sha256
     assert flac.text_features(none).count() == 0
     table = spark.createDataFrame([(1, bytes(10_000)), (2, None), (3, b"")], "k int, payload binary")
