@@ -1,10 +1,11 @@
 """Language identification by words first, backing off to character n-grams.
 
-Training counts words by language over a bounded sample of labelled documents, in Spark. A word that
-the model knows scores its smoothed log frequency in each language. An unseen word is scored from its
-character n-grams: from each place on the longest n-gram that the model knows, from MAX_GRAM characters
-down to one, each step down costing BACKOFF. The score of a text is the sum over its words; the
-probability of the best language among all, tempered by the number of words, is the confidence.
+Training counts words by language over a bounded sample of labelled documents, in Spark, and the
+n-grams of these words; the model keeps all of them. A word that the model knows scores its smoothed log
+frequency in each language. An unseen word is scored from its character n-grams: from each place on the
+longest n-gram that the model knows, from MAX_GRAM characters down to one, each step down costing BACKOFF.
+The score of a text is the sum over its words; the probability of the best language among all, tempered
+by the number of words, is the confidence. Words are runs of letters of any script.
 
 Defined cases: null or letterless text is `und` with score 0; ties go to the first language by name;
 with no labelled row every text is `und`; repeated rows are judged one by one. Other input columns are
@@ -15,26 +16,33 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_below, slices
+from .common import sample_below, slices, with_id, written
 
-#: Bounds of the fit: labelled documents in the sample, words and n-grams (of each length) in the model.
-SAMPLE_DOCS, MODEL_WORDS, MODEL_GRAMS = 20_000, 60_000, 20_000
+#: The bound of the fit: labelled documents in the sample, about.
+SAMPLE_DOCS = 5_000
 MAX_GRAM, BACKOFF = 4, math.log(0.4)
 #: Longest word that n-grams are taken of; what is beyond it is scored as a further word.
 MAX_WORD = 40
 MAX_CACHED = 200_000
-WORD = re.compile(r"[^\W\d_]{1,%d}" % MAX_WORD)
+
+
+@lru_cache(1)
+def word_pattern() -> re.Pattern:
+    """Runs of letters: of word characters, those that are alphabetic."""
+    others = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[^\W_{others}]{{1,{MAX_WORD}}}")
 
 
 @dataclass
@@ -66,24 +74,25 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known = dict(self.model.words)
-        self.scores = np.zeros((max(1 << 12, 2 * len(self.known)), len(self.model.languages)))
-        self.scores[: len(self.known)] = self.model.word_logs
-
-    def of(self, words: Counter) -> np.ndarray:
-        numbers = list(map(self.known.get, words))
+        self.unseen: dict[str, int] = {}
+        self.scores = np.zeros((len(self.model.words) + (1 << 12), len(self.model.languages)))
+        self.scores[: len(self.model.words)] = self.model.word_logs
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row in `scores` of each word."""
+        known = self.model.words
+        numbers = list(map(known.get, words))
         if None in numbers:
-            if len(self.known) > len(self.model.words) + MAX_CACHED:
+            if len(self.unseen) > MAX_CACHED:
                 self._reset()
-            known = self.known
-            for word in words:
-                if word not in known:
-                    if len(known) == len(self.scores):
-                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    self.scores[len(known)] = self.model.backed_off(word)
-                    known[word] = len(known)
-            numbers = [known[x] for x in words]
-        return self.scores[numbers]
+            for i in [i for i, x in enumerate(numbers) if x is None]:
+                if (at := self.unseen.get(words[i])) is None:
+                    at = self.unseen[words[i]] = len(known) + len(self.unseen)
+                    if at == len(self.scores):
+                        self.scores = np.concatenate([self.scores, np.zeros((at >> 1, self.scores.shape[1]))])
+                    self.scores[at] = self.model.backed_off(words[i])
+                numbers[i] = at
+        return np.array(numbers, np.int64)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -98,7 +107,7 @@ def scorer(model: Model) -> Scorer:
 
 
 def tokens(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return word_pattern().findall(text.lower())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,61 +125,66 @@ def _rows(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of counted words, with a mark at either end."""
+    held: Counter = Counter()
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(x).to_pylist() for x in ("lang", "word", "n")), strict=True):
+            padded = f"<{word}>"
+            for size in range(1, MAX_GRAM + 1):
+                for i in range(len(padded) - size + 1):
+                    held[lang, padded[i : i + size]] += n
+            if len(held) > MAX_CACHED:
+                yield _rows(held)
+                held.clear()
+    yield _rows(held)
+
+
+def logs(keys: list[str], langs: list[str], counts: list[int], languages: list[str], groups: list[int]) -> tuple[dict[str, int], np.ndarray]:
+    """A number for each key, and its smoothed log frequency in each language among the keys of its group.
+    What a key lacks in a language counts the same in each, so that a rare key speaks for where it was seen."""
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(x, len(number)) for x in keys], np.int64)
+    column = np.searchsorted(languages, langs)
+    table, group = np.zeros((len(number), len(languages))), np.zeros(len(number), np.int64)
+    table[at, column], group[at] = counts, groups
+    size = np.zeros((max(groups, default=0) + 1, len(languages)))
+    np.add.at(size, (groups, column), counts)
+    return number, np.log(table / np.maximum(size, 1)[group] + 0.5 / np.maximum(size.sum(axis=1), 1)[group, None])
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the labelled documents (lang not null); at most about sample_docs of them are read."""
+    """A model of the labelled documents (lang not null); at most about sample_docs of them are read, and
+    every word and n-gram of these is kept."""
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = sample_below(labelled, "key", sample_docs).select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    languages = sorted(totals)
-
-    def common(df: DataFrame, key: str, most: int, of: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-        """The most frequent keys and their smoothed log frequencies in each language."""
-        top = df.groupBy(key).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(most).select(key)
-        found = df.join(top, key).select(key, "lang", "n").toPandas()
-        names = sorted(found[key].unique())
-        number = {x: i for i, x in enumerate(names)}
-        counts = np.zeros((len(names), len(languages)))
-        counts[found[key].map(number).to_numpy(int), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] = found["n"].to_numpy(float)
-        size = np.array([of[x] for x in languages], float)
-        # the same for an unseen key in each language, so that a rare word speaks for where it was seen
-        return number, np.log(counts / size + 0.5 / size.sum())
-
-    words, word_logs = common(counts, "word", MODEL_WORDS, totals)
-    padded = counts.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
-    grams, gram_logs = {}, [np.full((1, len(languages)), math.log(1e-7))]
-    for n in range(1, MAX_GRAM + 1):
-        cut = padded.filter(F.length("padded") >= n).select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("padded") - (n - 1)), _piece(n))).alias("gram"))
-        cut = cut.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-        number, logs = common(cut, "gram", MODEL_GRAMS, {r[0]: r[1] for r in cut.groupBy("lang").agg(F.sum("n")).collect()})
-        grams |= {k: v + sum(map(len, gram_logs)) for k, v in number.items()}
-        gram_logs.append(logs)
-        cut.unpersist()
-    counts.unpersist()
-    return Model(languages, words, word_logs, grams, np.concatenate(gram_logs), uuid.uuid4().hex)
-
-
-def _piece(n: int):
-    return lambda i: F.substr("padded", i, F.lit(n))
+    sample = sample_below(labelled, "key", sample_docs).select("lang", "text")
+    counts = written(sample.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    grams = counts.mapInArrow(_cut, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = [[x.to_pylist() for x in df.select("word", "lang", "n").toArrow().columns] for df in (counts, grams)]
+    languages = sorted(set(found[0][1]))
+    words, word_logs = logs(*found[0], languages, [0] * len(found[0][0]))
+    number, gram_logs = logs(*found[1], languages, [len(x) - 1 for x in found[1][0]])
+    unknown = np.full((1, len(languages)), math.log(1e-7))
+    return Model(languages, words, word_logs, {k: v + 1 for k, v in number.items()}, np.concatenate([unknown, gram_logs]), uuid.uuid4().hex)
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
     scores = scorer(model)
     for batch in slices(batches, "text"):
-        lang, best = [], []
-        for text in batch.column("text").to_pylist():
-            found = Counter(tokens(text)) if text and model.languages else None
-            if not found:
-                lang.append("und")
-                best.append(0.0)
-                continue
-            weights = np.fromiter(found.values(), float, len(found))
-            # longer texts are surer, but words are not independent: the root of their number counts
-            total = weights @ scores.of(found) / math.sqrt(weights.sum())
-            chance = np.exp(total - total.max())
-            top = int(chance.argmax())
-            lang.append(model.languages[top])
-            best.append(float(chance[top] / chance.sum()))
+        found = [tokens(text) if text and model.languages else [] for text in batch.column("text").to_pylist()]
+        size = np.array([len(x) for x in found])
+        row = np.repeat(np.arange(len(found)), size)
+        number = scores.rows([w for x in found for w in x])
+        total = np.zeros((len(found), max(1, len(model.languages))))
+        for i in range(len(model.languages)):
+            total[:, i] = np.bincount(row, scores.scores[number, i], len(found))
+        # longer texts are surer, but words are not independent: the root of their number counts
+        total /= np.sqrt(np.maximum(size, 1))[:, None]
+        chance = np.exp(total - total.max(axis=1, keepdims=True))
+        top, some = chance.argmax(axis=1), size > 0
+        lang = [model.languages[i] if s else "und" for i, s in zip(top.tolist(), some.tolist(), strict=True)]
+        best = np.where(some, chance.max(axis=1) / chance.sum(axis=1), 0.0)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(best, pa.float64())], ["id", "lang_pred", "score"])
 
 
@@ -178,8 +192,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id, lang_pred and score of every row. id_col may be a struct of whatever is to be carried."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = rows.select("id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(partial(_predicted, model=held), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(_predicted, model=held), with_id(rows, "id", "lang_pred string, score double")).withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4) -> DataFrame:

@@ -89,11 +89,56 @@ def test_language_id(spark, docs, odd, none):
 
 def test_backing_off():
     model = langid.Model(["a", "b"], {"known": 0}, np.array([[-1.0, -2.0]]), {"<x": 1, "y": 2}, np.array([[-9.0, -9.0], [-1.0, -3.0], [-2.0, -2.0]]), "t")
-    assert langid.scorer(model).of(Counter(["known"])).tolist() == [[-1.0, -2.0]]
+    scorer = langid.scorer(model)
+    assert scorer.scores[scorer.rows(["known", "xy", "known"])].tolist() == [[-1.0, -2.0], model.backed_off("xy").tolist(), [-1.0, -2.0]]
     steps = 2 + 4 + 3 + 4  # "<x" of 4, "x" unknown, "y" of 4, ">" unknown
     assert np.allclose(model.backed_off("xy"), (np.array([-1 - 9 - 2 - 9, -3 - 9 - 2 - 9]) + steps * langid.BACKOFF) / langid.MAX_GRAM)
 
 
+def test_language_fit_against_plain_counts(spark):
+    rows = [(1, "The cat, the Cat 2nd ½ Ⅷ", "en"), (2, "le chat\u00e9 et le x_y", "fr"), (3, None, "fr"), (4, "", "en"), (5, "lost", None), (6, "y" * 45, "fr"), (7, "Katze", "de")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {}
+    for _, text, lang in rows:
+        run = ""
+        for c in f"{(text or '').lower()} ":
+            run = run + c if c.isalpha() and len(run) < langid.MAX_WORD else run
+            if run and (not c.isalpha() or len(run) == langid.MAX_WORD):
+                if lang:
+                    counts[lang, run] = counts.get((lang, run), 0) + 1
+                run = ""
+    assert model.languages == ["de", "en", "fr"] and set(model.words) == {w for _, w in counts}
+
+    def check(number, table, counts):
+        size = Counter()
+        for (lang, _), n in counts.items():
+            size[lang] += n
+        for key, at in number.items():
+            wanted = [np.log(counts.get((lang, key), 0) / max(1, size[lang]) + 0.5 / sum(size.values())) for lang in model.languages]
+            assert np.allclose(table[at], wanted), key
+
+    check(model.words, model.word_logs, counts)
+    for n in range(1, langid.MAX_GRAM + 1):
+        grams = Counter()
+        for (lang, word), k in counts.items():
+            for i in range(len(word) + 3 - n):
+                grams[lang, f"<{word}>"[i : i + n]] += k
+        mine = {k: v for k, v in model.grams.items() if len(k) == n}
+        assert set(mine) == {g for _, g in grams}
+        check(mine, model.gram_logs, grams)
+
+    def plain(text):
+        words = [w for w in re.findall("[a-zé]+", text.lower())]
+        total = sum(model.word_logs[model.words[w]] if w in model.words else model.backed_off(w) for w in words) / len(words) ** 0.5
+        chance = np.exp(total - total.max())
+        return model.languages[int(chance.argmax())], chance.max() / chance.sum()
+
+    texts = ["the chat", "katzen und cats", "le x le zzz", "The the CAT"]
+    for r in langid.predict(frame(spark, [*texts, "½ ² Ⅷ ① 12"]), model).collect():
+        lang, score = plain(texts[r.doc_id]) if r.doc_id < len(texts) else ("und", 0.0)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+
+
 # 3
 
 
