@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +37,8 @@ MAX_WORD = 40
 MAX_CACHED = 200_000
 
 
-@lru_cache(1)
-def word_pattern() -> re.Pattern:
-    """Runs of letters: of word characters, those that are alphabetic."""
-    others = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[^\W_{others}]{{1,{MAX_WORD}}}")
+#: Runs of letters, and of numerals that are no digits, which tokens() takes out.
+WORD = re.compile(rf"[^\W\d_]{{1,{MAX_WORD}}}")
 
 
 @dataclass
@@ -54,23 +50,53 @@ class Model:
     gram_logs: np.ndarray  # row 0: of a character that no n-gram has
     key: str = ""  # tells models apart, where scores are kept
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """The score of an unseen word: its n-grams overlap, so each counts for a part."""
-        padded, grams, rows, steps = f"<{word}>", self.grams, [], 0
-        for i in range(len(padded)):
-            n = MAX_GRAM
-            while n and (row := grams.get(padded[i : i + n])) is None:
-                n -= 1
-            rows.append(row if n else 0)
-            steps += MAX_GRAM - n
-        return (self.gram_logs[rows].sum(axis=0) + steps * BACKOFF) / MAX_GRAM
+
+class Backoff:
+    """Scores of unseen words from the model's n-grams, many words at a time. The n-grams are a tree: in the
+    table of each length, the number of an n-gram's head times the number of characters, and its last one."""
+
+    def __init__(self, model: Model):
+        self.logs = model.gram_logs
+        names = sorted({g[:n] for g in model.grams for n in range(1, len(g) + 1)})
+        self.chars = np.unique(np.array([ord(c) for x in names for c in x], np.int64))
+        number = {chr(c): i for i, c in enumerate(self.chars.tolist())}
+        self.keys, self.rows, head = [], [], {"": 0}
+        for n in range(1, MAX_GRAM + 1):
+            mine = sorted((head[x[:-1]] * len(number) + number[x[-1]], x) for x in names if len(x) == n)
+            head = {x: i for i, (_, x) in enumerate(mine)}
+            self.keys.append(np.array([k for k, _ in mine], np.int64))
+            self.rows.append(np.array([model.grams.get(x, -1) for _, x in mine], np.int64))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """N-grams overlap, so each counts for a part."""
+        end = np.cumsum([len(w) + 2 for w in words])
+        first = np.append(0, end[:-1])
+        given = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4")
+        char = np.minimum(np.searchsorted(self.chars, given), max(0, len(self.chars) - 1))
+        char = np.where(self.chars[char] == given, char, -1) if len(self.chars) else np.full(len(given), -1)
+        left = np.repeat(end, end - first) - np.arange(len(given))
+        row, longest = np.zeros(len(given), np.int64), np.zeros(len(given), np.int64)
+        at, head = np.arange(len(given)), np.zeros(len(given), np.int64)
+        for n, (keys, rows) in enumerate(zip(self.keys, self.rows, strict=True), 1):
+            some = left[at] >= n
+            at, head = at[some], head[some]
+            last = char[at + n - 1]
+            key = head * len(self.chars) + last
+            found = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            known = (last >= 0) & (keys[found] == key) if len(keys) else np.zeros(len(at), bool)
+            at, head = at[known], found[known]
+            held = rows[head] >= 0
+            row[at[held]], longest[at[held]] = rows[head[held]], n
+        # a word's end cuts n-grams short at no cost
+        steps = np.where(longest == np.minimum(left, MAX_GRAM), 0, MAX_GRAM - longest)
+        return (np.add.reduceat(self.logs[row], first) + np.add.reduceat(steps, first)[:, None] * BACKOFF) / MAX_GRAM
 
 
 class Scorer:
     """Scores of words: the model's, and those of unseen words, MAX_CACHED of them at the most."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.backoff = model, Backoff(model)
         self._reset()
 
     def _reset(self) -> None:
@@ -85,13 +111,14 @@ class Scorer:
         if None in numbers:
             if len(self.unseen) > MAX_CACHED:
                 self._reset()
-            for i in [i for i, x in enumerate(numbers) if x is None]:
-                if (at := self.unseen.get(words[i])) is None:
-                    at = self.unseen[words[i]] = len(known) + len(self.unseen)
-                    if at == len(self.scores):
-                        self.scores = np.concatenate([self.scores, np.zeros((at >> 1, self.scores.shape[1]))])
-                    self.scores[at] = self.model.backed_off(words[i])
-                numbers[i] = at
+            unseen, size = self.unseen, len(known)
+            if new := list(dict.fromkeys(w for w, x in zip(words, numbers, strict=True) if x is None and w not in unseen)):
+                start = size + len(unseen)
+                if start + len(new) > len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros((max(len(new), start >> 1), self.scores.shape[1]))])
+                self.scores[start : start + len(new)] = self.backoff.scores(new)
+                unseen.update(zip(new, range(start, start + len(new)), strict=True))
+            numbers = [unseen[w] if x is None else x for w, x in zip(words, numbers, strict=True)]
         return np.array(numbers, np.int64)
 
 
@@ -107,7 +134,11 @@ def scorer(model: Model) -> Scorer:
 
 
 def tokens(text: str) -> list[str]:
-    return word_pattern().findall(text.lower())
+    low = text.lower()
+    found = WORD.findall(low)
+    if not low.isascii() and not all(map(str.isalpha, found)):
+        found = WORD.findall("".join(c if c.isalpha() else " " for c in low))
+    return found
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

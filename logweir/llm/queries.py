@@ -19,7 +19,7 @@ ARRIVALS, SHARD_BYTES = 13, 128 << 20
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    store = sharding.ShardStore(spark, new_path(spark, "store"), docs.schema, SHARD_BYTES)
+    store = sharding.ShardStore(spark, new_path(spark, "store"), docs.schema, SHARD_BYTES, sole_user=True)
     store.append(docs.withColumn("arrival", crc_mod(F.col("doc_id"), ARRIVALS)), "arrival")
     text = F.coalesce("text", F.lit(""))
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"))

@@ -8,8 +8,9 @@ about once per tier. Runs are as few as arrivals in the lowest tiers, so the man
 large the store is; the rows never pass the driver, and merging needs no shuffle.
 
 A version exists once its manifest has been renamed into place; the rename fails if another writer has
-been faster, and the commit is then tried again on top of it. Runs that no manifest names (of crashed
-writers, or merged away) are cleared by vacuum.
+been faster, and the commit is then tried again on top of it. A merge deletes nothing, so that other
+writers' runs that wait for their commit, older versions and their readers stay whole. vacuum clears runs
+that none of the kept versions names and that are older than an age.
 
 Defined cases: null values, repeated rows and any further columns are kept as they are; an arrival
 without rows makes a version without a new run; an empty store reads as an empty table.
@@ -45,8 +46,14 @@ class Run:
         return None if mean >= target / 2 else max(0, int(math.log(max(mean, 1) / SMALLEST_BYTES, fanout)))
 
 
+class MergedByAnother(RuntimeError):
+    pass
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, sole_user: bool = False):
+        """sole_user: nobody else writes to the store or reads older versions, so a merge may delete what it replaces."""
+        self.sole_user = sole_user
         self.spark, self.path, self.schema, self.target, self.fanout = spark, path.rstrip("/"), schema, target_bytes, fanout
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -98,7 +105,7 @@ class ShardStore:
             at = self.version()
             held = self.runs(at)
             if missing := remove - {x.name for x in held}:
-                raise RuntimeError(f"merged by another writer: {sorted(missing)}")
+                raise MergedByAnother(f"merged by another writer: {sorted(missing)}")
             if self._put(at + 1, [x for x in held if x.name not in remove] + add):
                 return at + 1
         raise RuntimeError(f"no commit in {TRIES} tries")
@@ -137,28 +144,30 @@ class ShardStore:
         for run in self.runs():
             if (tier := run.tier(self.fanout, self.target)) is not None:
                 tiers.setdefault(tier, []).append(run)
-        return next((tiers[t][: max(self.fanout, len(tiers[t]))] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
+        return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
 
     def compact(self) -> None:
-        """Merges full tiers until none is left."""
+        """Merges full tiers until none is left. Each merge leaves fewer runs: those of a tier are below half
+        the target, so the merged one has at most half as many shards as there were runs."""
         while runs := self.due():
-            name, size = uuid.uuid4().hex, sum(x.bytes for x in runs)
-            shards = max(1, round(size / self.target))
-            merged = self._read([x.name for x in runs])
-            merged.coalesce(shards).write.parquet(f"{self.path}/runs/{name}")
-            new = self._measured(name, sum(x.rows for x in runs))
-            if new.shards >= sum(x.shards for x in runs) and new.tier(self.fanout, self.target) is not None:
-                self._fs.delete(self._path(f"{self.path}/runs/{name}"), True)
-                return
-            self.commit([new], {x.name for x in runs})
-            self.vacuum()
-
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Clears the runs that none of the last versions names. Writers of uncommitted runs must be done."""
-        at = self.version()
+            name, old = uuid.uuid4().hex, [x.name for x in runs]
+            self._read(old).coalesce(max(1, round(sum(x.bytes for x in runs) / self.target))).write.parquet(f"{self.path}/runs/{name}")
+            try:
+                self.commit([self._measured(name, sum(x.rows for x in runs))], set(old))
+            except MergedByAnother:
+                old = [name]
+            if self.sole_user or old == [name]:
+                for x in old:
+                    self._fs.delete(self._path(f"{self.path}/runs/{x}"), True)
+
+    def vacuum(self, keep_versions: int = 10, older_than: float = 7 * 86400) -> None:
+        """Clears the runs that none of the last versions names and that were written more than `older_than`
+        seconds ago: longer than any append or merge takes from its first file to its commit, and than
+        any reader of an older version goes on."""
+        at, now = self.version(), self.spark._jvm.java.lang.System.currentTimeMillis()
         live = {x.name for v in range(max(1, at - keep_versions + 1), at + 1) for x in self.runs(v)}
         for x in self._fs.listStatus(self._path(f"{self.path}/runs")):
-            if x.getPath().getName() not in live:
+            if x.getPath().getName() not in live and now - x.getModificationTime() > 1000 * older_than:
                 self._fs.delete(x.getPath(), True)
 
     # reading
