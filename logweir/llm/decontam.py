@@ -3,7 +3,8 @@
 Every benchmark item and every document is fingerprinted: of each window of WINDOW consecutive k-gram
 hashes the minimum is kept. Two texts that share SPAN = K + WINDOW - 1 words in a row share a
 fingerprint, so the join of the fingerprints misses no shared span of that length. Each hit is extended
-to both sides, word by word, to the longest shared span; spans of at least SPAN words count. Items of
+to both sides, word by word, to the longest shared span, whose words are then compared as they are spelled;
+spans of at least SPAN words count. Items of
 fewer than SPAN words are too short for the guarantee: their hash as a whole is looked up at every
 position of the document instead.
 
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, slices, utf8, words
+from .common import LOWER, grams, slices, utf8, with_id, words, written
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
-#: Bytes of benchmark text in one broadcast index; a larger benchmark is taken in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of a benchmark that is broadcast, at the most; fingerprints of a larger one are joined.
+BROADCAST_BYTES = 16 << 20
+#: Bits of the sketch of its fingerprints, and parts that each of them is dealt to in the join.
+SKETCH_BITS, SALTS = 1 << 26, 16
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
@@ -44,84 +47,122 @@ def winnow(gram: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
+class Text:
+    """The words of many texts: their hashes, their bytes and each text's first word."""
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = utf8(texts)
+        self.hash, self.start, self.end, self.row = words(data, offsets, IS_WORD)
+        self.low = LOWER[data]
+        self.first = np.searchsorted(self.row, np.arange(len(texts) + 1))
+
+    def spelled(self, a: int, b: int) -> list[bytes]:
+        return [self.low[x:y].tobytes() for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+
+
+def shared(doc: Text, d: int, p: int, item: Text, i: int, q: int) -> tuple[int, int]:
+    """The span of equal words, in text d, around its word p and word q of item i (numbers over all texts)."""
+    back = min(p - int(doc.first[d]), q - int(item.first[i]))
+    ahead = min(int(doc.first[d + 1]) - p, int(item.first[i + 1]) - q)
+    unequal = np.flatnonzero(doc.hash[p : p + ahead] != item.hash[q : q + ahead])
+    end = p + (int(unequal[0]) if len(unequal) else ahead)
+    unequal = np.flatnonzero(doc.hash[p - back : p] != item.hash[q - back : q])
+    return p - back + (int(unequal[-1]) + 1 if len(unequal) else 0), end
+
+
+def alike(doc: Text, start: int, end: int, item: Text, shift: int, least: int) -> Iterator[tuple[int, int]]:
+    """The stretches of a span, of `least` words at least, that are spelled alike and not just hashed alike."""
+    one, other = doc.spelled(start, end), item.spelled(start - shift, end - shift)
+    if one == other:
+        if end - start >= least:
+            yield start, end
+        return
+    equal = np.concatenate([[False], [x == y for x, y in zip(one, other, strict=True)], [False]])
+    edge = np.flatnonzero(equal[1:] != equal[:-1])
+    yield from ((start + a, start + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= least)
+
+
+def prints(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints of texts of at least SPAN words, each text by itself."""
+    at = np.concatenate([np.zeros(0, np.int64), *(text.first[i] + winnow(grams(text.hash[text.first[i] : text.first[i + 1]], K)) for i in np.flatnonzero(np.diff(text.first) >= SPAN))])
+    return at, grams(text.hash, K)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def short_items(text: Text) -> Iterator[tuple[int, int, int]]:
+    """(item, its number of words, hash) of items too short for fingerprints."""
+    length = np.diff(text.first)
+    for i in np.flatnonzero((length > 0) & (length < SPAN)).tolist():
+        yield i, int(length[i]), int(grams(text.hash[text.first[i] : text.first[i + 1]], int(length[i]))[0])
+
+
 class Index:
-    """The fingerprints of a block of benchmark items, with what an extension needs."""
+    """The fingerprints of benchmark items, with what an extension needs."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None]):
-        self.ids = ids
-        self.word, _, _, row = words(*utf8(pa.array(texts, pa.large_string())), IS_WORD)
-        self.first = np.searchsorted(row, np.arange(len(ids) + 1))
-        self.row = row
-        lengths = np.diff(self.first)
-        prints = [self.first[i] + winnow(grams(self.word[self.first[i] : self.first[i + 1]], K)) for i in np.flatnonzero(lengths >= SPAN)]
-        at = np.concatenate([np.zeros(0, np.int64), *prints])
-        hashes = grams(self.word, K)[at] if len(at) else np.zeros(0, np.uint64)
+        self.ids, self.text = ids, Text(pa.array(texts, pa.large_string()))
+        at, hashes = prints(self.text)
         order = np.argsort(hashes, kind="stable")
         self.hash, self.at = hashes[order], at[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hash & np.uint64(len(self.maybe) - 1)] = True
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i in np.flatnonzero((lengths > 0) & (lengths < SPAN)):
-            self.short[int(lengths[i])][int(grams(self.word[self.first[i] : self.first[i + 1]], int(lengths[i]))[0])].append(int(i))
+        for i, m, gram in short_items(self.text):
+            self.short[m][gram].append(i)
 
-    def hits(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, start, end, item) of the shared spans of many documents; `first` has each row's first word."""
-        gram = grams(word, K)
+    def hits(self, doc: Text) -> Iterator[tuple[int, int, int, int]]:
+        """(row, start, end, item) of the shared spans of many documents."""
+        gram, own = grams(doc.hash, K), self.text
         at = winnow(gram)
         at = at[self.maybe[gram[at] & np.uint64(len(self.maybe) - 1)]] if len(at) else at
         low, high = np.searchsorted(self.hash, gram[at]), np.searchsorted(self.hash, gram[at], "right")
         done: dict[tuple[int, int], int] = {}  # by item and distance between the two texts: the end of the last span
         for p, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-            row = int(np.searchsorted(first, p, "right")) - 1
+            row = int(doc.row[p])
             for q in self.at[a:b].tolist():
-                item = int(self.row[q])
+                item = int(own.row[q])
                 if done.get((item, p - q), -1) > p:
                     continue
-                back = min(p - int(first[row]), q - int(self.first[item]))
-                ahead = min(int(first[row + 1]) - p, int(self.first[item + 1]) - q)
-                unequal = np.flatnonzero(word[p : p + ahead] != self.word[q : q + ahead])
-                end = p + (int(unequal[0]) if len(unequal) else ahead)
-                unequal = np.flatnonzero(word[p - back : p] != self.word[q - back : q])
-                start = p - back + (int(unequal[-1]) + 1 if len(unequal) else 0)
+                start, end = shared(doc, row, p, own, item, q)
                 done[item, p - q] = max(end, p + 1)
                 if end - start >= SPAN:
-                    yield row, start, end, item
+                    yield from ((row, x, y, item) for x, y in alike(doc, start, end, own, p - q, SPAN))
         for m, wanted in self.short.items():
-            gram = grams(word, m)
+            gram = grams(doc.hash, m)
             for p in np.flatnonzero(np.isin(gram, np.fromiter(wanted, np.uint64, len(wanted)))).tolist():
-                row = int(np.searchsorted(first, p, "right")) - 1
-                if p + m <= first[row + 1]:
-                    yield from ((row, p, p + m, item) for item in wanted[int(gram[p])])
+                row = int(doc.row[p])
+                if p + m <= doc.first[row + 1]:
+                    yield from ((row, x, y, item) for item in wanted[int(gram[p])] for x, y in alike(doc, p, p + m, own, p - int(own.first[item]), m))
 
 
 _indexes: dict[str, Index] = {}
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start:long,end:long>>"
 
 
-def _pass(batches: Iterator[pa.RecordBatch], block, key: str, last: bool) -> Iterator[pa.RecordBatch]:
-    """One block of the benchmark against every document; the last one adds up."""
+def _judged(ids: pa.Array, text: Text, spans: list[list[tuple[int, int]]], items: list[set[str]]) -> pa.RecordBatch:
+    """A row for each document, of its hits' spans (in its own words) and items."""
+    spans, names = [joined(x) for x in spans], [sorted(x) for x in items]
+    total, hit = np.diff(text.first), np.array([sum(b - a for a, b in x) for x in spans], np.int64)
+    shown = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS)
+    columns = [ids, pa.array(total, pa.int64()), pa.array(hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array((hit > 0) & (20 * hit >= total)), pa.array(names, pa.list_(pa.string())), shown]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], held, key: str) -> Iterator[pa.RecordBatch]:
+    """Documents against a broadcast benchmark."""
     if (index := _indexes.get(key)) is None:
-        index = _indexes.setdefault(key, Index(*block.value))
+        _indexes.clear()
+        index = _indexes.setdefault(key, Index(*held.value))
     for batch in slices(batches, "text"):
-        word, _, _, row = words(*utf8(batch.column("text")), IS_WORD)
-        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        items = [set(x or ()) for x in batch.column("items").to_pylist()]
-        spans = [[tuple(y.values()) for y in x or ()] for x in batch.column("spans").to_pylist()]
-        for r, start, end, item in index.hits(word, first):
-            spans[r].append((start - int(first[r]), end - int(first[r])))
+        text = Text(batch.column("text"))
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+        items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+        for r, start, end, item in index.hits(text):
+            spans[r].append((start - int(text.first[r]), end - int(text.first[r])))
             if index.ids[item] is not None:
                 items[r].add(index.ids[item])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        spans = [joined(x) for x in spans]
-        shown = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
-        names = [sorted(x) for x in items]
-        if not last:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), shown, pa.array(names, pa.list_(pa.string()))], ["id", "text", "spans", "items"])
-            continue
-        total, hit = np.diff(first), np.array([sum(b - a for a, b in x) for x in spans], np.int64)
-        columns = [batch.column("id"), pa.array(total, pa.int64()), pa.array(hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array((hit > 0) & (20 * hit >= total)), pa.array(names, pa.list_(pa.string())), shown]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"])
+        yield _judged(batch.column("id"), text, spans, items)
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,34 +176,114 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """The benchmark in blocks of about BLOCK_BYTES of text, one at a time on the driver."""
-    ids, texts, held = [], [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        ids.append(item)
-        texts.append(text)
-        held += len(text or "")
-        if held >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    yield ids, texts
+# a benchmark beyond the bound: a join of fingerprints
+
+PRINT = "words int, hash long, key long, at long"
+
+
+def _rows(rows: list[np.ndarray]) -> pa.RecordBatch:
+    words_, hashes, key, at = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in rows)]) for i in range(4))
+    return pa.RecordBatch.from_arrays([pa.array(words_.astype(np.int32)), pa.array(hashes), pa.array(key), pa.array(at)], ["words", "hash", "key", "at"])
+
+
+def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of items (words: 0), and of short ones the whole (words: how many)."""
+    for batch in slices(batches, "text"):
+        text, key = Text(batch.column("text")), batch.column("key").to_numpy()
+        at, hashes = prints(text)
+        row = text.row[at]
+        rows = [(np.zeros(len(at), np.int64), hashes.view(np.int64), key[row], at - text.first[row])]
+        short = list(short_items(text))
+        rows.append((np.array([m for _, m, _ in short], np.int64), np.array([g for *_, g in short], np.uint64).view(np.int64), key[[i for i, *_ in short]] if short else np.zeros(0, np.int64), np.zeros(len(short), np.int64)))
+        yield _rows(rows)
+
+
+def _doc_prints(batches: Iterator[pa.RecordBatch], sketch, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of documents, and their runs of as many words as short items have; of both only what the
+    sketch may hold."""
+    bits: np.ndarray = sketch.value
+    for batch in slices(batches, "text"):
+        text, key = Text(batch.column("text")), batch.column("key").to_numpy()
+        rows = []
+        for m in [0, *lengths]:
+            gram = grams(text.hash, m or K)
+            at = winnow(gram) if not m else np.arange(len(gram))
+            at = at[text.row[at] == text.row[at + (m or K) - 1]]
+            place = (gram[at] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+            at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+            rows.append((np.full(len(at), m), gram[at].view(np.int64), key[text.row[at]], at - text.first[text.row[at]]))
+        yield _rows(rows)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared spans of pairs of a document and an item, from the places where their fingerprints meet."""
+    for batch in slices(batches, "text"):
+        doc, item = Text(batch.column("text")), Text(batch.column("item_text"))
+        out = []
+        for r, places in enumerate(batch.column("places").to_pylist()):
+            done: dict[int, int] = {}
+            spans: set[tuple[int, int]] = set()
+            for m, p, q in sorted((x["words"], x["p"], x["q"]) for x in places):
+                p, q = p + int(doc.first[r]), q + int(item.first[r])
+                if m:
+                    spans.update(alike(doc, p, p + m, item, p - q, m))
+                elif done.get(p - q, -1) <= p:
+                    start, end = shared(doc, r, p, item, r, q)
+                    done[p - q] = max(end, p + 1)
+                    spans.update(alike(doc, start, end, item, p - q, SPAN))
+            out.append([{"start": a - int(doc.first[r]), "end": b - int(doc.first[r])} for a, b in sorted(spans)])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array(out, SPANS)], ["key", "item", "spans"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        spans = [[(y["start"], y["end"]) for y in x or ()] for x in batch.column("spans").to_pylist()]
+        yield _judged(batch.column("id"), Text(batch.column("text")), spans, [set(x or ()) for x in batch.column("items").to_pylist()])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs: id, text; items: item, text. Items with equal text are one in the join. The sketch of the items'
+    hashes, of a fixed size, spares the shuffle of fingerprints that no item has; hot ones are salted."""
+    spark = docs.sparkSession
+    docs = written(docs.withColumn("key", F.monotonically_increasing_id()), "documents")
+    named = written(items.withColumn("same", F.sha2("text", 256)), "items")
+    texts = written(named.groupBy("same").agg(F.first("text").alias("text")).withColumn("key", F.monotonically_increasing_id()), "texts")
+    known = written(texts.select("key", "text").mapInArrow(_item_prints, PRINT), "prints")
+    bit = F.pmod("hash", F.lit(SKETCH_BITS))
+    rows = known.select((bit / 8).cast("int").alias("byte"), F.pow(F.lit(2), bit % 8).cast("int").alias("bits")).groupBy("byte").agg(F.bit_or("bits")).toArrow()
+    sketch = np.zeros(SKETCH_BITS >> 3, np.uint8)
+    sketch[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    lengths = sorted(r[0] for r in known.filter("words > 0").select("words").distinct().collect())
+    found = docs.select("key", "text").mapInArrow(partial(_doc_prints, sketch=spark.sparkContext.broadcast(sketch), lengths=lengths), PRINT)
+    salted = known.toDF("words", "hash", "item", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = found.toDF("words", "hash", "key", "p").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["words", "hash", "salt"])
+    places = written(met.groupBy("key", "item").agg(F.collect_set(F.struct("words", "p", "q")).alias("places")), "places")
+    pairs = places.join(texts.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item").join(docs.select("key", "text"), "key")
+    hits = written(pairs.select("key", "item", "text", "item_text", "places").mapInArrow(_extended, "key long, item long, spans array<struct<start:long,end:long>>").filter(F.size("spans") > 0), "hits")
+    ids = named.join(texts.select("same", F.col("key").alias("text_key")), "same").filter("item is not null").select(F.col("text_key").alias("item"), F.col("item").alias("item_id"))
+    spans = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    names = hits.join(ids, "item").groupBy("key").agg(F.collect_set("item_id").alias("items"))
+    whole = docs.join(spans, "key", "left").join(names, "key", "left").select("id", "text", "spans", "items")
+    return whole.mapInArrow(_put_together, with_id(docs, "id", SCHEMA))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """For each document: n_words, n_hit (words inside a shared span of SPAN words, or a whole shorter
     item), n_items and item_ids (items so found), items_sha256 (of the ids, sorted and comma-joined),
-    contaminated (a word in 20 is hit, at least), and hit_spans (word positions)."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    held = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col)]
-    for i, block in enumerate(held):
-        last = i == len(held) - 1
-        state = state.mapInArrow(partial(_pass, block=block, key=uuid.uuid4().hex, last=last), f"id {kind}, {SCHEMA}" if last else state.schema)
-    return state.withColumnRenamed("id", id_col)
+    contaminated (a word in 20 is hit, at least), and hit_spans (word positions).
+
+    A benchmark of at most BROADCAST_BYTES goes to every executor; of a larger one the fingerprints are
+    joined with those of the documents."""
+    docs_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + 16)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        return _joined(docs_, items).withColumnRenamed("id", id_col)
+    held = docs.sparkSession.sparkContext.broadcast(tuple(x.to_pylist() for x in items.toArrow().columns))
+    return docs_.mapInArrow(partial(_looked_up, held=held, key=uuid.uuid4().hex), with_id(docs, id_col, SCHEMA)).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that are not contaminated."""
-    kept = docs.withColumn("row_", F.struct(*docs.columns))
-    found = find_contamination(kept.select("row_", F.col("text").alias("text_")), benchmark, "row_", "text_")
-    return found.filter("not contaminated").select("row_.*")
+    kept = docs.select(F.struct(*docs.columns).alias("row_"), F.col("text").alias("text_"))
+    return find_contamination(kept, benchmark, "row_", "text_").filter("not contaminated").select("row_.*")

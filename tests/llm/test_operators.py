@@ -313,6 +313,11 @@ def test_packing(spark, docs, odd, none):
     library = tokenizer(vocabulary(packing.VOCABULARY))
     for table in (docs.limit(80), odd):
         rows = packing.pack(table).collect()
+        plain = Counter()
+        for r in table.select("doc_id", "text").collect():
+            ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+            plain.update((r.doc_id, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()), len(ids)) for a in range(0, len(ids), 2048))
+        assert Counter(tuple(r)[:5] for r in rows) == plain
         texts = sorted((r.doc_id is None, r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect())
         sequences, pieces = defaultdict(list), Counter()
         for r in rows:
@@ -513,14 +518,42 @@ def test_decontamination(spark, odd, none):
     assert decontam.drop_contaminated(odd, benchmark).columns == odd.columns
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)]
-    texts = [f"{items[i % 9][1]} and {items[(i + 4) % 9][1]}" for i in range(12)]
+def test_a_large_benchmark_is_joined(spark, odd, none, monkeypatch):
+    random.seed(15)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(random.choice(pool) for _ in range(random.choice([1, 4, 12, 13, 14, 40])))) for i in range(40)]
+    items += [(100, items[7][1]), (101, None), (102, "!"), (None, items[3][1]), (103, "word " * 14)]
+    texts = ["", None] + [" ".join([*(random.choice(pool) for _ in range(random.randint(0, 30))), *(w for _, x in random.sample(items[:40], random.randint(0, 3)) for w in x.split()), "END"]) for _ in range(80)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    whole = decontam.find_contamination(frame(spark, texts), benchmark).collect()
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
-    assert decontam.find_contamination(frame(spark, texts), benchmark).collect() == whole
-    assert all(r.n_items == 2 for r in whole)
+    tables = [frame(spark, texts), odd, none]
+    broadcast = [sorted(map(str, decontam.find_contamination(t, benchmark).collect())) for t in tables]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert [sorted(map(str, decontam.find_contamination(t, benchmark).collect())) for t in tables] == broadcast
+    assert decontam.drop_contaminated(odd.withColumnRenamed("label", "my-col"), benchmark).columns[-1] == "my-col"
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_break_polynomial_hashes(spark, monkeypatch, n):
+    one = thue_morse(n)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, f"{one} {other}", f"{other} {other}", f"{one} x y z", f"{other} x y z"]
+    table = frame(spark, texts)
+    for name, end in ((packing.VOCABULARY, [1]), (tokencount.VOCABULARY, [])):
+        library = tokenizer(vocabulary(name))
+        ids = [library.encode(t, add_special_tokens=False).ids + end for t in texts]
+        if end:
+            assert {r.doc_id: r.ids_crc32 for r in packing.pack(table).collect()} == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in enumerate(ids)}
+        else:
+            assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(table).collect()} == {i: len(x) for i, x in enumerate(ids)}
+    benchmark = spark.createDataFrame([(1, one), (2, f"{one} x y z")], "item_id long, text string")
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+        assert {r.doc_id: r.n_hit for r in decontam.find_contamination(table, benchmark).collect()} == {i: plain_hits(t, [(1, one), (2, f"{one} x y z")])[1] for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_components(table).collect()} == plain_components(list(enumerate(texts)), 4, 85, 100)
 
 
 def test_winnowing_keeps_its_promise():
