@@ -1,4 +1,9 @@
-"""Addresses replaced in texts, at any depth of a table."""
+"""Addresses replaced in texts, at any depth of a table.
+
+An IPv4 address is four numbers up to 255, of at most three digits each, with dots between and neither
+letter, digit nor underscore beside them. An IPv6 address stands between blanks: eight groups of one to
+four hexadecimal digits, or fewer with one `::` for those left out; one of a link may have a zone.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +13,49 @@ from pyspark.sql import functions as F
 from ..paths import rebuild, strings
 
 MARK = "REDACTED"
-_PART = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IPV4 = rf"\b(?:{_PART}\.){{3}}{_PART}\b"
 
 
-def _ipv6() -> str:
-    """All forms of an address that stands between spaces: whole, with :: at each place, link-local with a
-    zone, and with an IPv4 tail."""
-    group, dotted = "[0-9a-fA-F]{1,4}", rf"(?:{_PART}\.){{3}}{_PART}"
-    forms = [rf"(?:{group}:){{7}}{group}"]
-    forms += [rf"(?:{group}:){{1,{n}}}(?::{group}){{1,{7 - n}}}" for n in range(6, 0, -1)]
-    forms += [rf"(?:{group}:){{1,7}}:", rf":(?:(?::{group}){{1,7}}|:)", r"fe80:(?::[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]+", rf"::(?:ffff(?::0{{1,4}})?:)?{dotted}", rf"(?:{group}:){{1,4}}:{dotted}"]
-    return rf"(?<=^|\s)(?:{'|'.join(forms)})(?=\s|$)"
+def _pieces(text: Column, inside: str, change) -> Column:
+    """The text with change() of each of its longest stretches of characters of a class."""
+    cut = F.split(text, f"(?<={inside})(?!{inside})|(?<!{inside})(?={inside})")
+    return F.array_join(F.transform(cut, change), "")
+
+
+def _four(piece: Column) -> Column:
+    """A dotted piece, its labels taken from the left: the fourth number in a row ends an address."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("run"))
+
+    def step(state, label):
+        number = F.length(label).between(1, 3) & F.coalesce(F.translate(label, "0123456789", "") == "", F.lit(False)) & (label.try_cast("int") <= 255)
+        full = number & (state["run"] == 3)
+        done = F.when(full, F.concat(F.slice(state["done"], 1, F.size(state["done"]) - 3), F.array(F.lit(MARK)))).otherwise(F.concat(state["done"], F.array(label)))
+        return F.struct(done.alias("done"), F.when(number & ~full, state["run"] + 1).otherwise(0).alias("run"))
+
+    dots = F.length(piece) - F.length(F.replace(piece, F.lit("."), F.lit("")))
+    return F.when(dots >= 3, F.aggregate(F.split(piece, r"\."), start, step, lambda s: F.array_join(s["done"], "."))).otherwise(piece)
+
+
+def _groups(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+
+def _is_six(word: Column) -> Column:
+    own = F.substring_index(word, "%", 1)
+    zone = ~F.contains(word, F.lit("%")) | F.startswith(F.lower(word), F.lit("fe80:")) & F.rlike(word, F.lit("%[0-9A-Za-z]+$"))
+    halves = F.split(own, "::")
+    groups = F.flatten(F.transform(halves, _groups))
+    hexadecimal = F.forall(groups, lambda g: F.rlike(g, F.lit("^[0-9A-Fa-f]{1,4}$")))
+    return zone & hexadecimal & ((F.size(halves) == 1) & (F.size(groups) == 8) | (F.size(halves) == 2) & (F.size(groups) <= 7))
 
 
-IPV6 = _ipv6()
+def _six(word: Column) -> Column:
+    return F.when(F.rlike(word, F.lit("^[0-9A-Fa-f]*:[0-9A-Fa-f]*:")), F.when(_is_six(word), F.lit(MARK)).otherwise(word)).otherwise(word)
 
 
 def redact_text(column: Column) -> Column:
-    """A text without its IPv4 and IPv6 addresses; texts without a dot or a colon are left as they are."""
-    four = F.when(F.contains(column, F.lit(".")), F.regexp_replace(column, IPV4, MARK)).otherwise(column)
-    return F.when(F.contains(four, F.lit(":")), F.regexp_replace(four, IPV6, MARK)).otherwise(four)
+    """A text without its IPv4 and IPv6 addresses; texts that can hold none are left as they are."""
+    four = F.when(F.rlike(column, F.lit(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]")), _pieces(column, "[0-9A-Za-z_.]", _four)).otherwise(column)
+    return F.when(F.rlike(four, F.lit(":[0-9A-Fa-f]*:")), _pieces(four, r"\S", _six)).otherwise(four)
 
 
 def redact_ip(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Mapping of events to fixed tables: one select, with an expression for each field.
 
 Events are a table with a VARIANT column (see as_variant), so that a path may be missing, or hold other
-types, from row to row. Every option is a Column expression; nothing runs in Python.
+types, from row to row. Every option is a Column expression; flat maps, which follow any depth, are made in
+Arrow batches (see nested.py).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,12 +15,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .nested import each_flat, flat_entries
+
 #: Bounds of the unsigned and small types.
 BOUNDS = {"uint8": (0, 2**8 - 1), "uint32": (0, 2**32 - 1), "uint64": (0, 2**64 - 1), "int32": (-(2**31), 2**31 - 1)}
 #: The columns' types: uint64 needs more than a long.
 COLUMN_TYPES = {"uint8": "smallint", "uint32": "bigint", "uint64": "decimal(20,0)", "int32": "int", "float64": "double", "bool": "boolean", "string": "string", "enum8": "tinyint", "datetime64": "bigint"}
-#: Nesting that a flat map follows.
-MAX_DEPTH = 6
 
 
 @dataclass(frozen=True)
@@ -73,21 +75,43 @@ def as_variant(df: DataFrame, column: str | None = None, out: str = "event") ->
 # paths
 
 
+_STEP = r"\.[^.\[\]'\"]+|\[\d+\]|\['[^']+'\]|\[\"[^\"]+\"\]"
+PATH = re.compile(rf"\$(?:{_STEP}|\[\*\])*")
+
+
+def parts(path: str) -> list[str]:
+    """A path cut at its [*], each part a path of its own; others than $, keys, places and [*] are refused."""
+    if not PATH.fullmatch(path):
+        raise ValueError(f"not a path: {path}")
+    first, *rest = path.split("[*]")
+    return [first, *(f"${x}" for x in rest)]
+
+
 def _get(event: Column, path: str, kind: str) -> Column:
-    """The value at a path as a type; null if it is missing or can't be."""
-    return F.try_variant_get(event, path, kind)
+    """The value at a path as a type; null if it is missing or can't be. A path with [*] gives a list."""
+    if "[*]" not in path:
+        return F.try_variant_get(event, parts(path)[0], kind)
+    found = _many(event, path)
+    return F.to_variant_object(found) if kind == "variant" else F.when(found.isNotNull(), F.lit("")).try_cast(kind)
 
 
 def _many(event: Column, path: str) -> Column:
-    """The variants at a path with one [*]: the rest of the path in each element."""
-    head, _, rest = path.partition("[*]")
-    items = _get(event, head, "array<variant>")
-    return F.transform(items, lambda x: _get(x, f"${rest}", "variant")) if rest else items
+    """The variants at a path: its list's, or for each [*] those in each element."""
+
+    def walk(value: Column, rest: list[str]) -> Column:
+        items = F.try_variant_get(value, rest[0], "array<variant>")
+        if len(rest) == 1:
+            return items
+        if len(rest) == 2:
+            return items if rest[1] == "$" else F.transform(items, lambda x: F.try_variant_get(x, rest[1], "variant"))
+        return F.transform(items, lambda x: F.to_variant_object(walk(x, rest[1:])))
+
+    return walk(event, parts(path))
 
 
 def _first(event: Column, paths: Iterable[str], kind: str = "variant") -> Column:
     found = [_get(event, p, kind) for p in paths]
-    found = [F.nullif(f, F.lit("")) for f in found] if kind == "string" else found
+    found = [f if "[*]" in p else F.nullif(f, F.lit("")) for f, p in zip(found, paths, strict=True)] if kind == "string" else found
     return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
 
@@ -173,60 +197,13 @@ def _rule(event: Column, rule: Infer) -> Column:
     return out
 
 
-def flat_entries(value: Column, depth: int = MAX_DEPTH) -> Column:
-    """A nested variant as (dotted key, text) entries: lists as JSON, nulls left out."""
-    entry = "array<struct<key:string,value:string>>"
-
-    def walk(v: Column, prefix: Column, left: int) -> Column:
-        items = F.map_entries(_get(v, "$", "map<string,variant>"))
-
-        def one(e):
-            key, inner = F.concat(prefix, e["key"]), e["value"]
-            kind = F.schema_of_variant(inner)
-            leaf = F.array(F.struct(key.alias("key"), F.when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), F.to_json(inner)).otherwise(_get(inner, "$", "string")).alias("value"))).cast(entry)
-            if left <= 1:
-                return leaf
-            return F.when(F.startswith(kind, F.lit("OBJECT")), walk(inner, F.concat(key, F.lit(".")), left - 1)).otherwise(leaf)
-
-        return F.flatten(F.transform(items, one))
-
-    return F.filter(F.coalesce(walk(value, F.lit(""), depth), F.array().cast(entry)), lambda e: e["value"].isNotNull())
-
-
-def _first_wins(entries: Column) -> Column:
-    """Entries as a map; of equal keys, which are rare, the first stays."""
-    keys = F.transform(entries, lambda e: e["key"])
-    once = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(once))
-
-
 def _flat(event: Column, f: Field) -> Column:
-    if f.pick:
-        pairs = F.array(*(F.struct(F.lit(k).alias("key"), _first(event, ps, "string").alias("value")) for k, ps in f.pick))
-        picked = F.filter(pairs, lambda e: e["value"].isNotNull())
-        whole = flat_entries(_first(event, f.paths))
-        return F.map_from_entries(F.when(F.size(picked) > 0, picked).otherwise(whole))
-    value = _first(event, f.paths)
-    entries = flat_entries(value)
-    for k in f.exclude:
-        entries = F.filter(entries, _not_under(k))
-    own, lifted = entries, []
-    for k in f.elevate:
-        lifted.append(F.transform(F.filter(own, _under(k)), _without_head(k)))
-        own = F.filter(own, _not_under(k))
-    return _first_wins(F.concat(own, *lifted) if lifted else entries)
-
-
-def _under(key: str):
-    return lambda e: F.startswith(e["key"], F.lit(f"{key}."))
-
-
-def _not_under(key: str):
-    return lambda e: (e["key"] != key) & ~F.startswith(e["key"], F.lit(f"{key}."))
-
-
-def _without_head(key: str):
-    return lambda e: F.struct(F.substr(e["key"], F.lit(len(key) + 2)).alias("key"), e["value"].alias("value"))
+    whole = F.to_json(_first(event, f.paths))
+    if not f.pick:
+        return flat_entries(whole, f.exclude, f.elevate)
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), _first(event, ps, "string").alias("value")) for k, ps in f.pick))
+    picked = F.filter(pairs, lambda e: e["value"].isNotNull())
+    return F.when(F.size(picked) > 0, F.map_from_entries(picked)).otherwise(flat_entries(F.when(F.size(picked) == 0, whole), f.exclude, f.elevate))
 
 
 def _array(event: Column, f: Field) -> Column:
@@ -234,10 +211,9 @@ def _array(event: Column, f: Field) -> Column:
     found = [_many(event, p) for p in f.paths]
     items = F.coalesce(*found)
     if kind in ("json", "map", "flat_map"):
-        items = F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))) if kind != "json" else items
-        make = (lambda x: F.map_from_entries(flat_entries(x, 3))) if kind != "json" else F.to_json
-        none = F.array().cast("array<map<string,string>>" if kind != "json" else "array<string>")
-        return F.coalesce(F.transform(items, make), none)
+        if kind == "json":
+            return F.coalesce(F.transform(items, lambda x: F.to_json(x)), F.array().cast("array<string>"))
+        return each_flat(F.transform(F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), lambda x: F.to_json(x)))
     make = (lambda x: coerce_time(_get(x, "$", "string"), f.precision)) if kind == "datetime64" else (lambda x: coerce(_get(x, "$", "string"), kind))
     if f.filter_nil:
         items = F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))
@@ -262,7 +238,7 @@ def expression(event: Column, f: Field) -> Column:
         return out.otherwise(F.lit(f.default or 0)).cast("tinyint")
     text = F.col(f"`{f.from_output}`").cast("string") if f.from_output else None
     if text is None:
-        found = [_checked(F.nullif(_get(event, p, "string"), F.lit("")), f) for p in f.paths]
+        found = [_get(event, p, "string") if "[*]" in p else _checked(F.nullif(_get(event, p, "string"), F.lit("")), f) for p in f.paths]
         text = F.coalesce(*found)
     text = {"upcase": F.upper, "downcase": F.lower}.get(f.transform, lambda x: x)(text)
     if f.allowed:

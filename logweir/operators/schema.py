@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
+from .nested import node_types
+
 #: The fields that every event table has, and the most that one may have.
 BASE_SCHEMA = StructType([StructField("event_message", StringType()), StructField("id", StringType()), StructField("timestamp", TimestampType(), False)])
 MAX_FIELDS = 500
@@ -81,33 +83,10 @@ def flatten_schema(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame(flat_types(schema), "path string, type string")
 
 
-#: Levels of nesting that variant_paths() follows.
-MAX_DEPTH = 6
-
-
-def variant_paths(df: DataFrame, key: str, column: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """(key, path, type) of every node of JSON events, in one pass: a nest of array functions as deep as
-    the events may be."""
-    def walk(value, prefix, left: int):
-        def one(e):
-            path, kind = F.concat(prefix, e["key"]), F.schema_of_variant(e["value"])
-            own = F.array(F.struct(path.alias("path"), _variant_type(kind).alias("type")))
-            if left <= 1:
-                return own
-            return F.when(F.startswith(kind, F.lit("OBJECT")), F.concat(own, walk(e["value"], F.concat(path, F.lit(".")), left - 1))).otherwise(own)
-
-        return F.flatten(F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), one))
-
-    parsed = df.select(F.col(key).alias("key"), F.explode(F.array(F.try_parse_json(column))).alias("v"))
-    return parsed.select("key", F.explode(walk(F.col("v"), F.lit(""), depth)).alias("n")).select("key", "n.path", "n.type").filter("type != 'null'")
-
-
-def _variant_type(kind):
-    """The type of a variant's value, as flat_types() names it."""
-    scalar = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(F.rlike(kind, F.lit("^(DOUBLE|FLOAT|DECIMAL)")), "float").when(kind == "VOID", "null").when(F.startswith(kind, F.lit("OBJECT")), "map").otherwise(F.lower(kind))
-    element = F.regexp_extract(kind, r"^ARRAY<(.*)>$", 1)
-    listed = F.when(element.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "list<integer>").when(F.rlike(element, F.lit("^(DOUBLE|FLOAT|DECIMAL)")), "list<float>").when(F.startswith(element, F.lit("OBJECT")), "map").when(element.isin("VOID", ""), "null").otherwise(F.concat(F.lit("list<"), F.lower(element), F.lit(">")))
-    return F.when(F.startswith(kind, F.lit("ARRAY")), listed).otherwise(scalar)
+def variant_paths(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, type) of every node of JSON events, at any depth and in the objects of lists; values that
+    are null, and lists that are empty or of lists, have no type and are left out."""
+    return df.select(F.col(key).alias("key"), F.explode(node_types(F.col(column))).alias("n")).select("key", "n.path", "n.type")
 
 
 def schema_conflicts(df: DataFrame, schema: StructType, key: str, column: str) -> DataFrame:

@@ -274,10 +274,8 @@ register("r05_hits", on_logs(lambda df: r.rule_hits(df, RULES)), f"SELECT via_ru
 register("n01_rate", on_logs(n.rate_per_second), f"SELECT source, date_trunc('second', \"timestamp\") AS \"timestamp\", count(*) AS rate FROM {LOGS} GROUP BY 1, 2")
 
 
-register("n02_rolling", on_logs(n.rolling_rate), f"""WITH r AS (SELECT source, date_trunc('second', "timestamp") AS t, count(*) AS rate FROM {LOGS} WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-10 06:00:00' GROUP BY 1, 2),
-s AS (SELECT source, unnest(generate_series(min(t), max(t), INTERVAL 1 SECOND)) AS t FROM r GROUP BY source),
-x AS (SELECT s.source, s.t, COALESCE(rate, 0) AS rate FROM s LEFT JOIN r ON r.source = s.source AND r.t = s.t)
-SELECT source, t AS "timestamp", rate, CAST(sum(rate) OVER w AS BIGINT) AS sum, CAST(ceil(sum(rate) OVER w / 60.0) AS BIGINT) AS average, max(rate) OVER (PARTITION BY source ORDER BY t) AS max FROM x WINDOW w AS (PARTITION BY source ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+#: A row for every second of a month and source: too many for an oracle; tests hold it against a plain version.
+register("n02_rolling", on_logs(n.rolling_rate), None)
 
 
 def quota(spark, sf_dir):

@@ -36,7 +36,10 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -267,7 +270,7 @@ def merged(spark, sf_dir):
 register("h02_merge", merged, "SELECT * FROM (VALUES ('event_message', 'string'), ('id', 'string'), ('timestamp', 'datetime'), ('num', 'string'), ('list', 'list<float>'), ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('x', 'float')) AS v(path, type)")
 register("h03_flatten", lambda p, d: h.variant_paths(bodies(p, d), "id", "body").select("path", "type").distinct(), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer'), ('list', 'list<float>'), ('num', 'string')) AS v(path, type)")
 register("h04_conflicts", lambda p, d: h.schema_conflicts(bodies(p, d), HELD, "id", "body"), f"SELECT id, 'num' AS path, 'string' AS type, 'integer' AS expected FROM {LOGS} WHERE source = 'view' UNION ALL SELECT id, 'list', 'list<float>', 'list<integer>' FROM {LOGS} WHERE source = 'click'")
-register("h05_updates", lambda p, d: h.flatten_schema(p, h.schema_updates(bodies(p, d), HELD, "body", limit=20)), "SELECT * FROM (VALUES ('metadata', 'map'), ('metadata.level', 'string'), ('metadata.code', 'integer')) AS v(path, type)")
+register("h05_updates", lambda p, d: h.flatten_schema(p, h.schema_updates(bodies(p, d), HELD, "body", limit=20)), ORACLE["h02_merge"])
 register("h06_counts", lambda p, d: h.field_counts(h.variant_paths(bodies(p, d), "source", "body").withColumnRenamed("key", "source"), limit=3), f"SELECT source, CAST(2 + (source IN ('error', 'click', 'view'))::INT AS BIGINT) AS fields, source IN ('error', 'click', 'view') AS at_limit FROM {LOGS} GROUP BY 1")
 
 
@@ -307,10 +310,72 @@ register("m01_m16_options", mapped, f"""SELECT id, upper(level) AS m01_first, '[
 CASE level WHEN 'debug' THEN 5 WHEN 'error' THEN 17 ELSE 1 END AS m07_map, CASE WHEN length(level) <= 6 THEN upper(level) ELSE '' END AS m08_chars, least(status_code, 255) AS m09_uint8, CAST(trunc(value) AS INTEGER) AS m09_int, CAST(status_code AS DOUBLE) AS m09_float,
 '0' AS m09_bad, TRUE AS m09_bool, epoch_us("timestamp") // 1000 AS m10_time, CASE WHEN level = 'debug' THEN 1 WHEN level = 'error' AND status_code > 300 THEN 2 WHEN status_code < 300 OR level = 'info' THEN 3 ELSE 0 END AS m11_enum, CASE WHEN level <> 'info' AND user_id <> 0 THEN 1 ELSE 0 END AS m12_text,
 '{{"a":"p"}}' AS m13_pick, 'code=' || status_code || ',duration=' || user_id || ',kind=SPAN_KIND_SERVER,level=' || upper(level) || ',project=p,value=' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS m14_flat FROM {LOGS}""")
-register("m17_logs", lambda p, d: presets.map_logs(variants(p, d), keep=("id",)).select("id", "project", "severity_text", F.col("severity_number").cast("int").alias("severity_number"), "service_name", "event_message", F.col("resource_attributes.service_name").alias("resource"), "timestamp"), f"SELECT id, 'p' AS project, upper(level) AS severity_text, CASE level WHEN 'debug' THEN 5 WHEN 'info' THEN 9 WHEN 'notice' THEN 11 WHEN 'warning' THEN 13 ELSE 17 END AS severity_number, source AS service_name, event_message, source AS resource, epoch_us(\"timestamp\") * 1000 AS \"timestamp\" FROM {LOGS}")
-register("m18_metrics", lambda p, d: presets.map_metrics(variants(p, d), keep=("id",)).select("id", "metric_name", F.col("metric_type").cast("int").alias("metric_type"), "value", "time_unix", "is_monotonic", F.size("bucket_counts").alias("bars")), f"SELECT id, event_message AS metric_name, 1 AS metric_type, CASE WHEN source = 'error' THEN value ELSE 0 END AS value, epoch_us(\"timestamp\") * 1000 AS time_unix, FALSE AS is_monotonic, 0 AS bars FROM {LOGS}")
-register("m19_traces", lambda p, d: presets.map_traces(variants(p, d), keep=("id",)).select("id", "span_name", "span_kind", F.col("duration").cast("long").alias("duration"), F.to_json("`events.name`").alias("names"), F.col("span_attributes.level").alias("level")), f"""SELECT id, event_message AS span_name, 'Server' AS span_kind, user_id AS duration, '["' || id || '","b"]' AS names, upper(level) AS level FROM {LOGS}""")
-register("m15_flat_map", on_logs(lambda df: df.select("id", F.explode(flat_map(df, ["metadata"])).alias("key", "value")).filter("key != 'metadata.value'")), f"SELECT id, unnest(['metadata.level', 'metadata.user_id', 'metadata.event_type', 'metadata.status_code']) AS key, unnest([level, CAST(user_id AS VARCHAR), event_type, CAST(status_code AS VARCHAR)]) AS value FROM {LOGS}")
+
+
+def telemetry(spark, sf_dir) -> DataFrame:
+    """Events with something for most fields of the telemetry tables."""
+    df, col = s.logs_view(spark, sf_dir), F.col
+    at = F.unix_micros(col("timestamp").cast("timestamp"))
+    user, level = col("metadata.user_id"), col("metadata.level")
+    parts = {
+        "id": col("id"), "timestamp": at, "event_message": col("event_message"), "resource": F.struct(F.struct(col("source").alias("name")).alias("service")), "kind": F.lit("SPAN_KIND_SERVER"), "duration": user,
+        "metadata": F.struct(F.upper(level).alias("level"), col("metadata.status_code").alias("code"), col("metadata.value").alias("value"), F.lit("p").alias("project")),
+        "scope": F.struct(F.lit("lib").alias("name"), F.lit("1.2").alias("version"), F.struct(col("source").alias("k")).alias("attributes")), "trace_id": F.concat(F.lit("t"), "id"), "span_id": F.concat(F.lit("s"), "id"),
+        "gauge": F.when(col("source") == "error", F.struct(col("metadata.value").alias("value"))), "bucket_counts": F.array(F.lit(1).cast("long"), user), "explicit_bounds": F.array(F.lit(0.5), F.lit(2.5)),
+        "events": F.array(F.struct(col("id").alias("name"), at.alias("time_unix_nano"), F.struct(level.alias("a")).alias("attributes")), F.struct(F.lit("b").alias("name"), at.alias("time_unix_nano"), F.lit(None).cast("struct<a:string>").alias("attributes"))),
+        "exemplars": F.array(F.struct(user.alias("value"), col("id").alias("span_id"), at.alias("time_unix_nano"), F.struct(F.struct(user.alias("er")).alias("deep")).alias("filtered_attributes"))),
+        "links": F.array(F.struct(F.concat(F.lit("l"), "id").alias("trace_id"))), "status": F.struct(F.lit("OK").alias("code"), level.alias("message")), "is_monotonic": col("metadata.value") > 50, "flags": col("metadata.status_code"), "count": user, "min": F.lit(1.5),
+    }
+    return m.as_variant(spread(df.select("id", F.to_json(F.struct(*(v.alias(k) for k, v in parts.items()))).alias("json"))), "json")
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Maps as sorted key=value texts, arrays as JSON, small and very large numbers as int and text."""
+    def one(f):
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind == "map":
+            return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|")
+        return F.to_json(c) if kind == "array" else c.cast("int") if kind in ("byte", "short") else c.cast("string") if kind == "decimal" else c
+
+    return df.select(*(one(f).alias(f.name.replace(".", "_")) for f in df.schema))
+
+
+_TIME = 'epoch_us("timestamp")'
+_NUM = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
+_ALL = f"""'bucket_counts=[1,' || user_id || ']|code=' || status_code || '|count=' || user_id || '|duration=' || user_id || '|events=[{{"attributes":{{"a":"' || level || '"}},"name":"' || id || '","time_unix_nano":' || {_TIME} || '}},{{"name":"b","time_unix_nano":' || {_TIME} || '}}]|exemplars=[{{"filtered_attributes":{{"deep":{{"er":' || user_id || '}}}},"span_id":"' || id || '","time_unix_nano":' || {_TIME} || ',"value":' || user_id || '}}]|explicit_bounds=[0.5,2.5]|flags=' || status_code
+|| CASE WHEN source = 'error' THEN '|gauge.value=' || {_NUM} ELSE '' END || '|is_monotonic=' || (value > 50) || '|kind=SPAN_KIND_SERVER|level=' || upper(level) || '|links=[{{"trace_id":"l' || id || '"}}]|min=1.5|project=p|resource.service.name=' || source || '|scope.attributes.k=' || source || '|scope.name=lib|scope.version=1.2|span_id=s' || id || '|status.code=OK|status.message=' || level || '|trace_id=t' || id || '|value=' || {_NUM}"""
+_SHARED = f"""id, 'p' AS project, source AS service_name, event_message, 'lib' AS scope_name, '1.2' AS scope_version, 'project=p|service_name=' || source AS resource_attributes, {_TIME} * 1000 AS "timestamp\""""
+_SCOPES = "'' AS scope_schema_url, '' AS resource_schema_url, 'k=' || source AS scope_attributes"
+_LOG = f"{_SHARED}, {_SCOPES}, 't' || id AS trace_id, 's' || id AS span_id, least(status_code, 255) AS trace_flags, upper(level) AS severity_text, 0 AS severity_number_alt, CASE level WHEN 'debug' THEN 5 WHEN 'info' THEN 9 WHEN 'notice' THEN 11 WHEN 'warning' THEN 13 ELSE 17 END AS severity_number, {_ALL} AS log_attributes"
+_ZERO = ", ".join(f"0 AS {x}" for x in ("scale", "positive_offset", "negative_offset", "start_time_unix"))
+_NONE = ", ".join(f"'[]' AS {x}" for x in ("positive_bucket_counts", "negative_bucket_counts", "quantile_values", "quantiles"))
+_METRIC = f"""{_SHARED}, {_SCOPES}, event_message AS metric_name, event_message AS metric_description, '' AS metric_unit, 1 AS metric_type, {_ALL} AS attributes, '' AS aggregation_temporality, value > 50 AS is_monotonic, CAST(status_code AS BIGINT) AS flags, CASE WHEN source = 'error' THEN value ELSE 0 END AS value, CAST(user_id AS VARCHAR) AS count, CAST(0 AS DOUBLE) AS sum, 1.5 AS min, CAST(0 AS DOUBLE) AS max, '0' AS zero_count, {_ZERO}, {_NONE},
+'[1,' || user_id || ']' AS bucket_counts, '[0.5,2.5]' AS explicit_bounds, '[{{"deep.er":"' || user_id || '"}}]' AS exemplars_filtered_attributes, '[' || {_TIME} * 1000 || ']' AS exemplars_time_unix, '[' || user_id || '.0]' AS exemplars_value, '["' || id || '"]' AS exemplars_span_id, '[""]' AS exemplars_trace_id, {_TIME} * 1000 AS time_unix"""
+_TRACE = f"""{_SHARED}, 't' || id AS trace_id, 's' || id AS span_id, '' AS parent_span_id, '' AS trace_state, event_message AS span_name, 'Server' AS span_kind, 0 AS start_time, 0 AS end_time, CAST(user_id AS VARCHAR) AS duration, 'OK' AS status_code, level AS status_message, {_ALL} AS span_attributes, '[' || {_TIME} * 1000 || ',' || {_TIME} * 1000 || ']' AS events_timestamp, '["' || id || '","b"]' AS events_name,
+'[{{"a":"' || level || '"}}]' AS events_attributes, '["l' || id || '"]' AS links_trace_id, '[""]' AS links_span_id, '[""]' AS links_trace_state, '[]' AS links_attributes"""
+register("m17_logs", lambda p, d: comparable(presets.map_logs(telemetry(p, d), keep=("id",))), f"SELECT {_LOG} FROM {LOGS}")
+register("m18_metrics", lambda p, d: comparable(presets.map_metrics(telemetry(p, d), keep=("id",))), f"SELECT {_METRIC} FROM {LOGS}")
+register("m19_traces", lambda p, d: comparable(presets.map_traces(telemetry(p, d), keep=("id",))), f"SELECT {_TRACE} FROM {LOGS}")
+KINDS = (
+    _p("a_string", "array_string", ("$.list",)), _p("a_uint64", "array_uint64", ("$.list",)), _p("a_float64", "array_float64", ("$.list",)), _p("a_time", "array_datetime64", ("$.times",), precision=6), _p("a_json", "array_json", ("$.items",)),
+    _p("a_map", "array_map", ("$.items",)), _p("a_flat", "array_flat_map", ("$.items[*].in",)), _p("a_dense", "array_string", ("$.list",), filter_nil=True), _p("a_nested", "array_json", ("$.items[*].more[*].n",)), _p("a_none", "array_uint64", ("$.none",)), _p("deep", "flat_map", ("$.deep",)),
+    _p("scalar", "string", ("$.items[*].k", "$.list[0]")), _p("place", "uint64", ("$.items[1].more[0].n",)),
+    *(_p(f"is_{i}", "enum8", (), labels={"y": 1}, infer=(m.Infer("y", any=(c,)),), default=0) for i, c in enumerate((m.Condition("$.zero", "is_zero"), m.Condition("$.blank", "is_empty"), m.Condition("$.list", "not_empty"), m.Condition("$.u", "equals", 7), m.Condition("$.none", "is_empty"), m.Condition("$.u", "not_zero")))),
+)
+
+
+def kinds(spark, sf_dir):
+    df, user = s.logs_view(spark, sf_dir), F.col("metadata.user_id").cast("string")
+    text = F.concat(F.lit('{"u":'), user, F.lit(',"zero":0,"blank":"","list":["a",'), user, F.lit(',null,-1,true],"times":["2024-01-02T03:04:05Z",'), user, F.lit('],"items":[{"k":"x","in":{"a":{"b":['), user, F.lit(']}},"more":[{"n":1},{"n":'), user, F.lit('}]},{"k":null,"more":[{"n":'), user, F.lit('}]},5],"deep":{"1":{"2":{"3":{"4":{"5":{"6":{"7":{"8":"'), F.col("id"), F.lit('"}}}}}}}}}'))
+    return comparable(m.map_events(m.as_variant(spread(df.select("id", text.alias("json"))), "json"), KINDS, keep=("id",)))
+
+
+register("m16_arrays", kinds, f"""SELECT id, '["a","' || user_id || '","","-1","true"]' AS a_string, '[0,' || user_id || ',0,0,1]' AS a_uint64, '[0.0,' || user_id || '.0,0.0,-1.0,1.0]' AS a_float64, '[1704164645000000,' || user_id * 1000000 || ']' AS a_time,
+'["{{\\"in\\":{{\\"a\\":{{\\"b\\":[' || user_id || ']}}}},\\"k\\":\\"x\\",\\"more\\":[{{\\"n\\":1}},{{\\"n\\":' || user_id || '}}]}}","{{\\"k\\":null,\\"more\\":[{{\\"n\\":' || user_id || '}}]}}","5"]' AS a_json,
+'[{{"k":"x","more":"[{{\\"n\\":1}},{{\\"n\\":' || user_id || '}}]","in.a.b":"[' || user_id || ']"}},{{"more":"[{{\\"n\\":' || user_id || '}}]"}}]' AS a_map, '[{{"a.b":"[' || user_id || ']"}}]' AS a_flat, '["a","' || user_id || '","-1","true"]' AS a_dense, '["[1,' || user_id || ']","[' || user_id || ']",null]' AS a_nested, '[]' AS a_none, '1.2.3.4.5.6.7.8=' || id AS deep,
+'' AS scalar, CAST(user_id AS VARCHAR) AS place, 1 AS is_0, 1 AS is_1, 1 AS is_2, CAST(user_id = 7 AS INTEGER) AS is_3, 1 AS is_4, CAST(user_id <> 0 AS INTEGER) AS is_5 FROM {LOGS}""")
+register("m15_flat_map", on_logs(lambda df: df.select("id", F.explode(flat_map(df, ["metadata"])).alias("key", "value"))), f"SELECT id, unnest(['metadata.level', 'metadata.user_id', 'metadata.event_type', 'metadata.status_code', 'metadata.value']) AS key, unnest([level, CAST(user_id AS VARCHAR), event_type, CAST(status_code AS VARCHAR), CAST(value AS VARCHAR)]) AS value FROM {LOGS}")
 register("m20_severity", on_logs(lambda df: presets.derive_severity(df.withColumn("metadata", F.struct(F.struct(F.when(F.col("source") == "view", "log").alias("error_severity")).alias("parsed"), F.when(F.col("source") == "click", F.col("metadata.level")).alias("level"), F.struct(F.col("metadata.status_code")).alias("response")))).select("id", "severity_number")), f"SELECT id, CASE WHEN source = 'view' THEN 9 WHEN source = 'click' THEN 5 WHEN status_code >= 500 THEN 17 WHEN status_code >= 400 THEN 13 ELSE 9 END AS severity_number FROM {LOGS}")
 
 
@@ -430,7 +495,7 @@ def _routed(spark, df, path, point):
 register("t03_route", through(_routed), f"SELECT id, 'errors' AS target FROM {LOGS} WHERE level = 'error' UNION ALL SELECT id, 'high' FROM {LOGS} WHERE value > 50")
 register("t04_chart", streamed(lambda df: st.stream_chart(df, "max", "metadata.value", "hour"), True), f"SELECT date_trunc('hour', \"timestamp\") AS \"timestamp\", max(value) AS value FROM {LOGS} GROUP BY 1")
 register("t05_rates", streamed(st.stream_rates, True), f"SELECT source, date_trunc('second', \"timestamp\") AS \"timestamp\", count(*) AS rate FROM {LOGS} GROUP BY 1, 2")
-register("t05_averages", streamed(st.stream_averages, True), f"""SELECT source, t AS "timestamp", count(*) AS sum, CAST(ceil(count(*) / 60.0) AS BIGINT) AS average FROM (SELECT source, unnest(generate_series(date_trunc('second', "timestamp"), date_trunc('second', "timestamp") + INTERVAL 59 SECOND, INTERVAL 1 SECOND)) AS t FROM {LOGS} WHERE "timestamp" < TIMESTAMP '2024-01-02') GROUP BY 1, 2""")
+register("t05_averages", streamed(st.stream_averages, True), f"""SELECT source, t AS "timestamp", count(*) AS sum, CAST(ceil(count(*) / 60.0) AS BIGINT) AS average FROM (SELECT source, unnest(generate_series(date_trunc('second', "timestamp"), date_trunc('second', "timestamp") + INTERVAL 59 SECOND, INTERVAL 1 SECOND)) AS t FROM {LOGS}) GROUP BY 1, 2""")
 
 
 def _quota(df):

@@ -34,7 +34,6 @@ def rules(name: str, where: str, *of: R) -> None:
 
 
 rules("f01_equal", "level = 'error'", R("metadata.level", "=", "error"))
-rules("f02_null", "value IS NULL", R("metadata.value", "=", None))
 rules("f02_not_null", "value IS NOT NULL AND level = 'error'", R("metadata.value", "=", None, negate=True), R("m.level", "=", "error"))
 rules("f03_compare", "value > 50 AND status_code <= 300 AND value < 90.5 AND status_code >= 120", R("m.value", ">", 50), R("m.status_code", "<=", "300"), R("m.value", "<", 90.5), R("m.status_code", ">=", 120))
 rules("f04_range", "status_code BETWEEN 200 AND 299", R("m.status_code", "range", values=(200, 299)))
@@ -54,8 +53,9 @@ def tagged(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.split("text", " ").alias("words"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("labels"))
 
 
-register("f07_list_includes", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("words", "list_includes", "the")]).select("doc_id"), "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' ')[1:12], 'the')")
-register("f08_list_regexp", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("words", "list_includes_regexp", "^th[ae]")]).select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, ' ')[1:12], lambda x: regexp_matches(x, '^th[ae]'))) > 0")
+register("f07_list_includes", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("words", "list_includes", "the")]).select("doc_id"), "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+register("f08_list_regexp", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("words", "list_includes_regexp", "^th[ae]")]).select("doc_id"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^th[ae]'))) > 0")
+register("f02_null", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("labels.lang", "=", None)]).select("doc_id"), "SELECT doc_id FROM documents WHERE lang IS NULL")
 register("f11_map_number", lambda s, d: f.filter_events(tagged(table(s, d, "documents")), [R("labels.size", ">", 3000), R("labels.lang", "=", "en")]).select("doc_id"), "SELECT doc_id FROM documents WHERE n_chars > 3000 AND lang = 'en'")
 
 _low, _high = f.brace_range("2024-01-{05..07}")
@@ -71,7 +71,7 @@ register("f20_effective", on_logs(lambda df: flat(f.where_time(df, *f.effective_
 register("p01_select", on_logs(lambda df: pr.select_fields(df, [S("id"), S("metadata.level"), S("m.value", "v"), S("id")])), f"SELECT id, level AS metadata_level, value AS v FROM {LOGS}")
 register("p02_wildcard", on_logs(lambda df: pr.select_fields(df, [S("id"), S("*")]).select("id", "event_message", "source", "body")), f"SELECT id, event_message, source, body FROM {LOGS}")
 register("p03_defaults", on_logs(lambda df: pr.select_search_defaults(df, ["metadata.user_id", "missing"])), f'SELECT "timestamp", id, event_message, level AS metadata_level, user_id AS metadata_user_id FROM {LOGS}')
-register("p04_unnest", lambda s, d: pr.unnest(tagged(table(s, d, "documents")), "words", alias="word").select("doc_id", "word"), "SELECT doc_id, unnest(string_split(text, ' ')[1:12]) AS word FROM documents")
+register("p04_unnest", lambda s, d: pr.unnest(tagged(table(s, d, "documents")), "words", alias="word").select("doc_id", "word"), "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents")
 register("p05_inferred", on_logs(lambda df: pr.select_inferred(df, [R("metadata.level", "=", "x"), R("id", "=", "1")])), f"SELECT level AS metadata_level, id FROM {LOGS}")
 
 _desc = 'ORDER BY "timestamp" DESC, id DESC'
@@ -120,4 +120,13 @@ column("x12_has", lambda df: X.has(F.split("event_message", " "), "view") | X.ar
 column("x13_interval", lambda df: X.start_of_interval(F.col("timestamp"), 15, "minute"), "time_bucket(INTERVAL 15 MINUTE, \"timestamp\", TIMESTAMP '1970-01-01')")
 column("x14_case", lambda df: F.coalesce(F.when(F.lower("metadata.level") == "error", "bad").when(F.col("metadata.value") > 50, "high"), F.lit("fine")), "COALESCE(CASE WHEN lower(level) = 'error' THEN 'bad' WHEN value > 50 THEN 'high' END, 'fine')")
 column("x16_map", lambda df: X.map_value(F.create_map(F.lit("a"), F.col("metadata.status_code").cast("string")), "a", "int"), "status_code")
-register("x15_redact_ip", lambda s, d: redact_ip(table(s, d, "documents").select("doc_id", "text")), r"SELECT doc_id, regexp_replace(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b', 'REDACTED', 'g') AS text FROM documents")
+
+
+def redacted(spark, sf_dir):
+    more = F.concat("text", F.lit(" at fe80::1%eth0 or 2001:db8::7"))
+    return redact_ip(table(spark, sf_dir, "documents").select("doc_id", more.alias("text")))
+
+
+_NUMBER = "len(x) BETWEEN 1 AND 3 AND COALESCE(TRY_CAST(x AS INTEGER) BETWEEN 0 AND 255, FALSE)"
+register("x15_redact_ip", redacted, f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.]+|[^A-Za-z0-9_.]+'), lambda p:
+CASE WHEN len(list_filter(string_split(trim(p, '.'), '.'), lambda x: {_NUMBER})) = 4 AND len(string_split(trim(p, '.'), '.')) = 4 THEN replace(p, trim(p, '.'), 'REDACTED') ELSE p END), '') || ' at REDACTED or REDACTED' AS text FROM documents""")

@@ -101,18 +101,28 @@ def parse_syslog(df: DataFrame, column: str, dialect: str | None = None, out: st
     """RFC 5424 lines as columns; null where a line is none. dialect "heroku": a length comes first and
     structured data may be missing. Router and database lines have logfmt pairs."""
     text = F.trim(F.col(column))
+    word = r"([^\s\x01]+)"
     length = r"^(\d+) " if dialect == "heroku" else r"^(?:(\d+) )?"
-    data = r"(-|(?:\[(?:[^\]\\\"]|\\.|\"(?:[^\"\\]|\\.)*\")*\])+)"
-    pattern = length + r"<(\d{1,3})>(\d{1,3}) (\S+) (\S+) (\S+) (\S+) (\S+)" + (rf"(?: {data})?" if dialect == "heroku" else f" {data}") + r"(?: ?([\s\S]*))?$"
-    part = {n: F.regexp_extract(text, pattern, i + 1) for i, n in enumerate(_FIELDS)}
+    data = r"(-|(?:\[(?:[^\]\\\"\x01]|\\[^\x01]|\"(?:[^\"\\\x01]|\\[^\x01])*\")*\])+)"
+    pattern = length + r"<(\d{1,3})>(\d{1,3}) " + " ".join([word] * 5) + (rf"(?: {data})?" if dialect == "heroku" else f" {data}") + r"(?: ?([\s\S]*))?$"
+    # one match for each line: its groups between marks, which no field but the last may hold
+    joined = "\x01".join(f"${i + 1}" for i in range(len(_FIELDS)))
+    split = df.withColumn("syslog_parts_", F.split(F.regexp_replace(text, pattern, joined), "\x01", len(_FIELDS)))
+    part = {n: F.get("syslog_parts_", F.lit(i)) for i, n in enumerate(_FIELDS)}
     some = {n: F.when(~p.isin("", "-"), p) for n, p in part.items()}
     priority = part["priority"].try_cast("int")
     message = some["message_text"]
-    pairs = F.regexp_extract_all(message, F.lit(r'([A-Za-z0-9_.#-]+=(?:"[^"]*"|\S*))'), F.lit(1))
-    logfmt = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, "^([^=]+)=", 1).alias("key"), F.regexp_extract(x, '^[^=]+="?([^"]*)"?$', 1).alias("value")))))
-    params = F.regexp_extract_all(some["structured"], F.lit(r'([A-Za-z0-9_.@-]+="(?:[^"\\]|\\.)*")'), F.lit(1))
-    sd = F.transform(params, lambda x: F.struct(F.regexp_extract(x, "^([^=]+)=", 1).alias("key"), F.regexp_extract(x, r'="([\s\S]*)"$', 1).alias("value")))
-    is_json = F.rlike(message, F.lit(r"^\s*\{[\s\S]*\}\s*$"))
+
+    def unquoted(x: Column) -> Column:
+        return F.when(F.length(x) > 1, F.regexp_replace(x, '^"([^"]*)"$', "$1")).otherwise(x)
+
+    def entries(found: Column, value) -> Column:
+        return F.transform(found, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), value(F.substr(x, F.instr(x, "=") + 1)).alias("value")))
+
+    pairs = entries(F.regexp_extract_all(message, F.lit(r'([A-Za-z0-9_.#-]+=(?:"[^"]*"|\S*))'), F.lit(1)), unquoted)
+    logfmt = F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda x: x["key"]), e["key"]) == i + 1))
+    sd = F.when(some["structured"].isNotNull(), entries(F.regexp_extract_all(some["structured"], F.lit(r'([A-Za-z0-9_.@-]+="(?:[^"\\]|\\.)*")'), F.lit(1)), lambda v: F.substr(v, F.lit(2), F.length(v) - 2)))
+    is_json = F.startswith(F.ltrim(message), F.lit("{")) & F.endswith(F.rtrim(message), F.lit("}"))
     fields = F.struct(
         part["length"].try_cast("int").alias("length"), priority.alias("priority"), F.get(F.array(*map(F.lit, FACILITIES)), F.floor(priority / 8).cast("int")).alias("facility"),
         F.get(F.array(*map(F.lit, SEVERITIES)), priority % 8).alias("severity"), part["version"].try_cast("int").alias("version"),
@@ -120,5 +130,5 @@ def parse_syslog(df: DataFrame, column: str, dialect: str | None = None, out: st
         some["message_id"].alias("message_id"), F.nullif(F.regexp_extract(some["structured"], r"^\[([^ \]]+)", 1), F.lit("")).alias("sd_id"), sd.alias("sd"), message.alias("message"),
         F.when(is_json, F.try_parse_json(message)).cast("string").alias("json"), F.when((some["process_id"] == "router") | F.startswith(some["process_id"], F.lit("heroku")), logfmt).alias("logfmt"), text.alias("message_raw"),
     )
-    return df.withColumn(out, F.when(F.rlike(text, F.lit(pattern)) & (priority < 192), fields))
+    return split.withColumn(out, F.when((F.size("syslog_parts_") == len(_FIELDS)) & (priority < 192), fields)).drop("syslog_parts_")
 
