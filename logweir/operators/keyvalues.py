@@ -14,9 +14,10 @@ def accessor_value(value, accessor: str | None):
     return F.get_json_object(value, path)
 
 
-def upsert(table: DataFrame, new: DataFrame) -> DataFrame:
-    """Values replaced by key, other keys added. Of a key that comes twice the greatest value stays."""
-    fresh = new.groupBy("key").agg(F.max("value").alias("value"))
+def upsert(table: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Values replaced by key, other keys added. Of a key that comes twice the value that is last by the
+    column `order` stays; without one, rows have no order and the greatest value stays."""
+    fresh = new.groupBy("key").agg((F.max_by("value", F.struct(order, "value")) if order else F.max("value")).alias("value"))
     return table.join(fresh, "key", "left_anti").select("key", "value").unionByName(fresh)
 
 

@@ -197,19 +197,34 @@ def _rule(event: Column, rule: Infer) -> Column:
     return out
 
 
-def _flat(event: Column, f: Field) -> Column:
-    whole = F.to_json(_first(event, f.paths))
+def _source(event: Column, f: Field) -> Column:
+    """What a field is made of, as the event has it: a text, a variant, an array, or the picked values."""
+    if f.pick:
+        picked = [_first(event, ps, "string" if f.kind == "flat_map" else "variant") for _, ps in f.pick]
+        return F.struct(F.array(*picked).alias("picked"), F.when(F.coalesce(*picked).isNull(), F.to_json(_first(event, f.paths))).alias("whole"))
+    if f.kind == "flat_map" or f.kind == "json":
+        return F.to_json(_first(event, f.paths))
+    if f.kind.startswith("array_"):
+        return F.coalesce(*(_many(event, p) for p in f.paths))
+    if f.kind == "enum8":
+        return _first(event, f.paths, "string")
+    return F.coalesce(*(_get(event, p, "string") if "[*]" in p else _checked(F.nullif(_get(event, p, "string"), F.lit("")), f) for p in f.paths))
+
+
+def _picked(source: Column, f: Field) -> Column:
+    """The map of the picked values that are there."""
+    pairs = F.arrays_zip(F.array(*(F.lit(k) for k, _ in f.pick)).alias("key"), source["picked"].alias("value"))
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+
+
+def _flat(source: Column, f: Field) -> Column:
     if not f.pick:
-        return flat_entries(whole, f.exclude, f.elevate)
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), _first(event, ps, "string").alias("value")) for k, ps in f.pick))
-    picked = F.filter(pairs, lambda e: e["value"].isNotNull())
-    return F.when(F.size(picked) > 0, F.map_from_entries(picked)).otherwise(flat_entries(F.when(F.size(picked) == 0, whole), f.exclude, f.elevate))
+        return flat_entries(source, f.exclude, f.elevate)
+    return F.when(F.exists(source["picked"], lambda x: x.isNotNull()), _picked(source, f)).otherwise(flat_entries(source["whole"], f.exclude, f.elevate))
 
 
-def _array(event: Column, f: Field) -> Column:
+def _array(items: Column, f: Field) -> Column:
     kind = f.kind.removeprefix("array_")
-    found = [_many(event, p) for p in f.paths]
-    items = F.coalesce(*found)
     if kind in ("json", "map", "flat_map"):
         if kind == "json":
             return F.coalesce(F.transform(items, lambda x: F.to_json(x)), F.array().cast("array<string>"))
@@ -220,27 +235,23 @@ def _array(event: Column, f: Field) -> Column:
     return F.coalesce(F.transform(items, lambda x: F.coalesce(make(x), _zero(kind) if kind != "datetime64" else F.lit(0).cast("bigint"))), F.array().cast(f"array<{COLUMN_TYPES[kind]}>"))
 
 
-def expression(event: Column, f: Field) -> Column:
-    """A field's value."""
+def expression(event: Column, source: Column, f: Field) -> Column:
+    """A field's value, from what _source() gives."""
     if f.kind == "flat_map":
-        return _flat(event, f)
+        return _flat(source, f)
     if f.kind.startswith("array_"):
-        return _array(event, f)
+        return _array(source, f)
     if f.kind == "json":
-        return F.to_json(F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), _first(event, ps).alias("value")) for k, ps in f.pick)), lambda e: e["value"].isNotNull()))) if f.pick else F.coalesce(F.to_json(_first(event, f.paths)), F.lit("{}"))
+        return F.to_json(_picked(source, f)) if f.pick else F.coalesce(source, F.lit("{}"))
     if f.kind == "enum8":
-        text = F.lower(_first(event, f.paths, "string"))
+        text = F.lower(source)
         out = F.when(F.lit(False), F.lit(0))
         for label, n in f.labels.items():
             out = out.when(text == label.lower(), F.lit(n))
         for rule in f.infer:
             out = out.when(_rule(event, rule), F.lit(f.labels[rule.result]))
         return out.otherwise(F.lit(f.default or 0)).cast("tinyint")
-    text = F.col(f"`{f.from_output}`").cast("string") if f.from_output else None
-    if text is None:
-        found = [_get(event, p, "string") if "[*]" in p else _checked(F.nullif(_get(event, p, "string"), F.lit("")), f) for p in f.paths]
-        text = F.coalesce(*found)
-    text = {"upcase": F.upper, "downcase": F.lower}.get(f.transform, lambda x: x)(text)
+    text = {"upcase": F.upper, "downcase": F.lower}.get(f.transform, lambda x: x)(source)
     if f.allowed:
         text = F.when(text.isin(*f.allowed), text)
     if f.value_map:
@@ -255,7 +266,9 @@ def map_events(df: DataFrame, fields: Iterable[Field], event: str = "event", kee
     """The mapped table of events in a VARIANT column; fields that read mapped ones come in a second select."""
     fields = list(fields)
     column = F.col(event)
-    first = df.select(*keep, *(expression(column, f).alias(f.name) for f in fields if not f.from_output))
+    # first what the event has at the paths, each once; then what the options make of it
+    found = df.select(*keep, event, *(_source(column, f).alias(f"source:{f.name}") for f in fields if not f.from_output))
+    first = found.select(*keep, *(expression(column, F.col(f"`source:{f.name}`"), f).alias(f.name) for f in fields if not f.from_output))
     if any(f.from_output for f in fields):
-        first = first.select("*", *(expression(column, f).alias(f.name) for f in fields if f.from_output))
+        first = first.select("*", *(expression(column, F.col(f"`{f.from_output}`").cast("string"), f).alias(f.name) for f in fields if f.from_output))
     return first.select(*keep, *(F.col(f"`{f.name}`") for f in fields))

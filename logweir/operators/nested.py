@@ -7,6 +7,7 @@ Arrow batches: what they need of an event is its JSON text, what they give is an
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,17 +17,16 @@ from pyspark.sql import functions as F
 ENTRIES = pa.map_(pa.string(), pa.string())
 
 
-class Number(str):
-    """A number as it is written."""
-
-
-_DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=Number)
+#: A fraction is kept as it is written: as a text after this mark, which no other text then begins with.
+MARK = "\x02"
+_MARKED = re.compile(r'"\\u0002([^"]*)"')
+_EXACT, _PLAIN = json.JSONDecoder(parse_float=lambda x: MARK + x, parse_constant=lambda x: MARK + x), json.JSONDecoder()
 
 
 def parsed(text: str | None):
-    """The value of a JSON text, numbers as they are written; None where it is none."""
+    """The value of a JSON text, fractions as they are written; None where it is none."""
     try:
-        return None if text is None else _DECODER.decode(text)
+        return None if text is None else (_PLAIN if "\\u0002" in text else _EXACT).decode(text)
     except (ValueError, RecursionError):
         return None
 
@@ -34,16 +34,11 @@ def parsed(text: str | None):
 def as_text(value) -> str | None:
     """A value as text: scalars plain, lists and objects as JSON."""
     if isinstance(value, str):
-        return str(value)
-    return None if value is None else ("true" if value else "false") if isinstance(value, bool) else written(value)
-
-
-def written(value) -> str:
-    if isinstance(value, Number):
-        return value
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(v)}" for k, v in value.items()) + "}"
-    return "[" + ",".join(map(written, value)) + "]" if isinstance(value, list) else json.dumps(value, ensure_ascii=False)
+        return value[1:] if value.startswith(MARK) else value
+    if isinstance(value, (list, dict)):
+        shown = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        return _MARKED.sub(r"\1", shown) if "\\u0002" in shown else shown
+    return None if value is None else ("true" if value else "false") if isinstance(value, bool) else str(value)
 
 
 def entries(value, exclude: tuple[str, ...] = (), elevate: tuple[str, ...] = ()) -> dict[str, str]:
@@ -69,15 +64,19 @@ def entries(value, exclude: tuple[str, ...] = (), elevate: tuple[str, ...] = ())
 
 def typed(value) -> str | None:
     """The type of a value, as schemas name it; None for null, empty lists and lists of lists."""
-    if isinstance(value, Number):
-        return "integer" if value.lstrip("-").isdigit() and -(2**63) <= int(value) < 2**63 else "float"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "integer" if -(2**63) <= value < 2**63 else "float"
+    if isinstance(value, float) or isinstance(value, str) and value.startswith(MARK):
+        return "float"
     if isinstance(value, list):
         kinds = {typed(x) for x in value if x is not None}
         if not kinds or None in kinds or any(isinstance(x, list) for x in value):
             return None
         kind = kinds.pop() if len(kinds) == 1 else "float" if kinds == {"integer", "float"} else "variant"
         return "map" if kind == "map" else f"list<{kind}>"
-    return "map" if isinstance(value, dict) else "boolean" if isinstance(value, bool) else None if value is None else "string"
+    return "map" if isinstance(value, dict) else None if value is None else "string"
 
 
 def paths(value) -> dict[tuple[str, str], None]:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..paths import col_at
+from .schema import flat_types
+
 ALERT_ROWS = 1000
 
 
@@ -74,8 +77,12 @@ def new_event_digest(df: DataFrame, every: str = "5 minutes", samples: int = 5,
 
 
 def source_stats(df: DataFrame, source: str = "source", time: str = "timestamp") -> DataFrame:
-    """Events and last event time of each source."""
-    return df.groupBy(source).agg(F.count("*").alias("inserts"), F.max(time).alias("last_event"))
+    """Events, last event time and number of fields of each source: of the nodes of its table's schema that
+    have a value in some event, parents of such among them."""
+    nodes = [p for p, _ in flat_types(df.drop(source).schema)]
+    held = [F.max(col_at(df, p).isNotNull().cast("int")) for p in nodes]
+    fields = sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(0)).cast("long")
+    return df.groupBy(source).agg(F.count("*").alias("inserts"), F.max(time).alias("last_event"), fields.alias("fields"))
 
 
 def usage_counts(df: DataFrame, every: str = "1 hour", source: str = "source", time: str = "timestamp") -> DataFrame:

@@ -298,7 +298,7 @@ def alert(spark, sf_dir):
 
 register("n04_alert", alert, f"SELECT user_id, count(*) AS n FROM {LOGS} WHERE level = 'error' GROUP BY 1 HAVING count(*) >= 3 ORDER BY user_id LIMIT 1000")
 register("n05_digest", on_logs(lambda df: n.new_event_digest(df, "1 day", 1).select("source", "interval", "count", F.get("newest", F.lit(0)).alias("newest"))), f"SELECT source, date_trunc('day', \"timestamp\") AS \"interval\", count(*) AS count, arg_max(event_message, (\"timestamp\", id)) AS newest FROM {LOGS} GROUP BY 1, 2")
-register("n06_stats", on_logs(n.source_stats), f'SELECT source, count(*) AS inserts, max("timestamp") AS last_event FROM {LOGS} GROUP BY 1')
+register("n06_stats", on_logs(n.source_stats), f'SELECT source, count(*) AS inserts, max("timestamp") AS last_event, CAST(10 AS BIGINT) AS fields FROM {LOGS} GROUP BY 1')
 register("n07_usage", on_logs(lambda df: n.usage_counts(df, "1 hour")), f"SELECT source, date_trunc('hour', \"timestamp\") AS inserted_at, count(*) AS count FROM {LOGS} GROUP BY 1, 2")
 
 

@@ -442,11 +442,7 @@ register("w14_retry", retried, f"SELECT id, CASE WHEN user_id % 5 < 3 THEN user_
 
 
 def stream_of(spark, sf_dir) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    folder, name = path.rsplit("/", 1)
-    e_ = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
-    level = F.try_element_at(F.create_map(*(F.lit(x) for kv in s.EVENT_LEVELS.items() for x in kv)), F.col("event_type"))
-    return e_.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("timestamp"), F.concat_ws(" ", "event_type", F.lit("user"), F.col("user_id").cast("string")).alias("event_message"), F.struct(level.alias("level"), "user_id", "event_type", "value", (F.lit(100) + F.col("event_id") % 510).cast("int").alias("status_code")).alias("metadata"), F.col("event_type").alias("source"), F.col("props").alias("body"))
+    return s.as_logs(s.read_event_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, names="events.parquet"))
 
 
 def streamed(change, windows: bool = False) -> Query:
@@ -478,7 +474,7 @@ register("t01_tail", streamed(lambda df: flat(st.tail(df, [R("m.level", "=", "er
 
 
 def _prepared(spark, df, path, point):
-    st.drained(st.stream_prepare(df.drop("body"), PrepareConfig(drop_filters=(R("m.level", "=", "notice"),)), f"{path}/good", f"{path}/bad", point, NOW))
+    st.drained(st.stream_prepare(df.drop("body"), PrepareConfig(drop_filters=(R("m.level", "=", "notice"),)), f"{path}/good", f"{path}/bad", point, lambda: NOW))
     good, bad = spark.read.parquet(f"{path}/good"), spark.read.parquet(f"{path}/bad")
     return good.select("id", F.lit("good").alias("state")).unionByName(bad.select("id", F.col("error.type").alias("state")))
 
@@ -524,12 +520,12 @@ def _tracked(spark, df, path, point):
 
 
 register("t10_schema", through(_tracked), "SELECT * FROM (VALUES ('event_message', 'string'), ('id', 'string'), ('k', 'integer'), ('timestamp', 'datetime')) AS v(path, type)")
-register("t11_late", streamed(lambda df: st.stream_late(df).select("id", "arrival")), f"SELECT id, 'late' AS arrival FROM {LOGS}")
+register("t11_late", streamed(lambda df: st.stream_late(df, now=dt.datetime(2024, 1, 20)).select("id", "arrival")), f"SELECT id, CASE WHEN \"timestamp\" < TIMESTAMP '2024-01-17' THEN 'late' WHEN \"timestamp\" > TIMESTAMP '2024-01-20 01:00:00' THEN 'future' ELSE 'on_time' END AS arrival FROM {LOGS}")
 
 
 def _enriched(spark, sf_dir):
-    kv = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value"))
-    return streamed(lambda df: st.stream_enrich(df.select("id", F.col("metadata.user_id").cast("string").alias("user")), kv, "user", "name"))(spark, sf_dir)
+    kv = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.to_json(F.struct(F.struct(F.col("c_name").alias("name")).alias("is"))).alias("value"))
+    return streamed(lambda df: st.stream_enrich(df.select("id", "metadata"), kv, "metadata.user_id", "metadata.customer.name", "is.name").select("id", F.col("metadata.user_id").cast("string").alias("user"), F.col("metadata.customer.name").alias("name")))(spark, sf_dir)
 
 
 register("t12_enrich", _enriched, f"SELECT CAST(user_id AS VARCHAR) AS \"user\", id, c_name AS name FROM {LOGS} LEFT JOIN customer ON user_id = c_custkey")

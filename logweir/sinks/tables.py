@@ -20,19 +20,22 @@ def dated(df: DataFrame, time: str = "timestamp") -> DataFrame:
     return df.withColumn("date", F.to_date(time))
 
 
-def write_events(df: DataFrame, path: str, mode: str = "append", time: str = "timestamp", files_per_day: int = 1) -> None:
-    """A table partitioned by day, sorted by time within files. The rows of a day are dealt to
-    files_per_day tasks by the hour's hash, so that a busy day is not one task's."""
-    salt = F.pmod(F.xxhash64(F.date_trunc("minute", time)), F.lit(files_per_day))
-    dated(df, time).repartition("date", salt).sortWithinPartitions("date", time).write.mode(mode).partitionBy("date").parquet(path)
-
-
-def write_telemetry(df: DataFrame, path: str, mode: str = "append", time: str = "timestamp", files_per_day: int = 1) -> None:
-    """The mapped tables: by day, sorted by project, source, second and time, with a bloom filter on ids."""
+def write_events(df: DataFrame, path: str, mode: str = "append", time: str = "timestamp", files_per_day: int | None = None) -> None:
+    """A table partitioned by day, sorted by time within files. Rows are dealt by ranges of date and time, so
+    that a busy day is several tasks' (of sampled, equal sizes) and a quiet one's files are few; with
+    files_per_day, a day's rows are dealt to so many tasks by the minute's hash."""
+    salt = F.pmod(F.xxhash64(F.date_trunc("minute", time)), F.lit(files_per_day or 1))
+    own = dated(df, time)
+    dealt = own.repartition("date", salt) if files_per_day else own.repartitionByRange("date", time)
+    dealt.sortWithinPartitions("date", time).write.mode(mode).partitionBy("date").parquet(path)
+
+
+def write_telemetry(df: DataFrame, path: str, mode: str = "append", time: str = "timestamp") -> None:
+    """The mapped tables: by day, sorted by project, source, second and time, with a bloom filter on ids.
+    Rows are dealt by ranges of that order, so that a hot source of a day is several tasks'."""
     out = df.withColumn("date", F.to_date(time)).withColumn("second", F.date_trunc("second", time))
-    salt = F.pmod(F.xxhash64("project", "source_name"), F.lit(files_per_day))
     order = [c for c in TELEMETRY_ORDER if c in out.columns]
-    writer = out.repartition("date", salt).sortWithinPartitions("date", *order).drop("second").write.mode(mode).partitionBy("date")
+    writer = out.repartitionByRange("date", *order).sortWithinPartitions("date", *order).drop("second").write.mode(mode).partitionBy("date")
     if "trace_id" in df.columns:
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true")
     writer.parquet(path)

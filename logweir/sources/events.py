@@ -25,15 +25,19 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet", schema: St
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def read_event_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """Batches of events as they arrive in a folder."""
+def read_event_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_trigger: int | None = None, names: str | None = None) -> DataFrame:
+    """Batches of events as they arrive in a folder, of files with names of a pattern if one is given."""
     reader = spark.readStream.format(fmt).schema(schema)
+    reader = reader.option("pathGlobFilter", names) if names else reader
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
 def logs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as log events: id, timestamp, event_message, metadata, source and body."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_logs(e: DataFrame) -> DataFrame:
     level = F.try_element_at(F.create_map(*(F.lit(x) for kv in EVENT_LEVELS.items() for x in kv)), F.col("event_type"))
     metadata = F.struct(level.alias("level"), "user_id", "event_type", "value", (F.lit(100) + F.col("event_id") % 510).cast("int").alias("status_code"))
     return e.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("timestamp"), F.concat_ws(" ", "event_type", F.lit("user"), F.col("user_id").cast("string")).alias("event_message"), metadata.alias("metadata"), F.col("event_type").alias("source"), F.col("props").alias("body"))

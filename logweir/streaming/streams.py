@@ -4,9 +4,11 @@ watermark, so that their state stays bounded."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
@@ -14,10 +16,11 @@ from pyspark.sql.types import StructType
 from ..operators import prepare
 from ..operators.charts import aggregate
 from ..operators.filters import filter_events
+from ..operators.keyvalues import accessor_value
 from ..operators.rates import run_alert
 from ..operators.routing import route, write_routed
 from ..operators.schema import schema_updates
-from ..paths import col_at
+from ..paths import col_at, set_at
 from ..rules import FilterRule, PrepareConfig, RoutingRule
 from ..sinks.tables import write_events
 
@@ -38,11 +41,15 @@ def tail(stream: DataFrame, rules: Iterable[FilterRule], now: Callable[[], dt.da
     return filter_events(stream, rules).filter(F.col("timestamp").cast("timestamp") >= moment - F.expr(f"interval {TAIL}"))
 
 
-def stream_prepare(stream: DataFrame, config: PrepareConfig, good: str, rejected: str, checkpoint: str, now: dt.datetime, kv: DataFrame | None = None) -> DataStreamWriter:
-    """Prepared events to one folder, rejected ones with their error to another. A batch that is tried
-    again overwrites its own part."""
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def stream_prepare(stream: DataFrame, config: PrepareConfig, good: str, rejected: str, checkpoint: str, now: Callable[[], dt.datetime] = utc_now, kv: DataFrame | None = None) -> DataStreamWriter:
+    """Prepared events to one folder, rejected ones with their error to another; each batch asks the clock
+    anew. A batch that is tried again overwrites its own part."""
     def write(batch: DataFrame, number: int) -> None:
-        marked = prepare.prepare_events(batch, config, now, kv).withColumn("batch", F.lit(number)).persist()
+        marked = prepare.prepare_events(batch, config, now(), kv).withColumn("batch", F.lit(number)).persist()
         for rows, path in ((marked.filter("error is null").drop("error"), good), (marked.filter("error is not null"), rejected)):
             rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
         marked.unpersist()
@@ -109,27 +116,43 @@ def stream_dedup(stream: DataFrame, delay: str = TAIL) -> DataFrame:
 
 
 def stream_schema(stream: DataFrame, column: str, start: StructType, save: Callable[[StructType], None], checkpoint: str, events_per_second: float = 1.0, locked: bool = False) -> DataStreamWriter:
-    """Tracks the schema of JSON events over batches; save() gets every one that differs from the last."""
-    held = {"schema": start}
-
-    def look(batch: DataFrame, _: int) -> None:
-        new = schema_updates(batch, held["schema"], column, events_per_second, locked)
-        if new != held["schema"]:
-            held["schema"] = new
+    """Tracks the schema of JSON events over batches; save() gets every one that differs from the last. The
+    schema after each batch is kept beside the checkpoint, so that a restarted stream goes on from it."""
+    spark, kept = stream.sparkSession, f"{checkpoint.rstrip('/')}-schemas"
+
+    def held(below: int) -> StructType:
+        """The schema after the last batch before this one: a batch that is tried again starts from the same."""
+        try:
+            rows = spark.read.schema("schema string, batch long").parquet(kept).filter(F.col("batch") < below)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return start
+        newest = rows.agg(F.max_by("schema", "batch")).first()[0]
+        return StructType.fromJson(json.loads(newest)) if newest else start
+
+    def look(batch: DataFrame, number: int) -> None:
+        old = held(number)
+        new = schema_updates(batch, old, column, events_per_second, locked)
+        if new != old:
+            spark.createDataFrame([(new.json(),)], "schema string").write.mode("overwrite").parquet(f"{kept}/batch={number}")
             save(new)
 
     return stream.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint)
 
 
-def stream_late(stream: DataFrame, max_hours: int = 72, time: str = "timestamp") -> DataFrame:
-    """df with `arrival`: late, future or on_time, against the clock of each batch."""
-    now, at = F.current_timestamp(), F.col(time).cast("timestamp")
+def stream_late(stream: DataFrame, max_hours: int = 72, time: str = "timestamp", now: dt.datetime | None = None) -> DataFrame:
+    """df with `arrival`: late, future or on_time, against the clock of each batch, or a given moment."""
+    now, at = F.lit(now).cast("timestamp") if now else F.current_timestamp(), F.col(time).cast("timestamp")
     return stream.withColumn("arrival", F.when(at < now - F.expr(f"interval {max_hours} hours"), "late").when(at > now + F.expr(f"interval {LATE}"), "future").otherwise("on_time"))
 
 
-def stream_enrich(stream: DataFrame, kv: DataFrame, key: str, out: str = "enriched") -> DataFrame:
-    """A join with a static table, which a file source reads anew in each batch."""
-    return stream.join(kv.select(F.col("key").alias(key), F.col("value").alias(out)), key, "left")
+def stream_enrich(stream: DataFrame, kv: DataFrame, key: str, out: str = "enriched", accessor: str | None = None) -> DataFrame:
+    """A join with a static table, which a file source reads anew in each batch: its value, or a part of it
+    (see accessor_value), at the path `out`."""
+    value = F.col("kv_value_") if accessor is None else accessor_value(F.col("kv_value_"), accessor)
+    met = stream.join(kv.select(F.col("key").alias("kv_key_"), F.col("value").alias("kv_value_")), col_at(stream, key).cast("string") == F.col("kv_key_"), "left")
+    return set_at(met, out, value).drop("kv_key_", "kv_value_")
 
 
 def stream_write(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> DataStreamWriter:
@@ -144,9 +167,3 @@ def stream_write(stream: DataFrame, path: str, checkpoint: str, every: str | Non
 def drained(writer: DataStreamWriter) -> None:
     """Runs a stream over all there is, then stops."""
     writer.trigger(availableNow=True).start().awaitTermination()
-
-
-def collected(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """The rows that a stream gives in append mode over all there is, from parquet."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
