@@ -225,7 +225,7 @@ def test_field_against_labels(spark):
     assert right / total > 0.85 and right / found > 0.85
 
 
-#: Marked by hand, in sentences and forms that the labelled table does not have.
+#: Marked by hand, in sentences that the labelled table does not have; some of the forms are also in it.
 HELD_OUT = """Please ring <phone>(212) 555-0187</phone> before noon.
 Our office line is <phone>415-555-0132</phone>, ask for Ann.
 Fax us on <phone>030 1234 5678</phone> or drop by.
