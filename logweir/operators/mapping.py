@@ -198,10 +198,10 @@ def _rule(event: Column, rule: Infer) -> Column:
 
 
 def _source(event: Column, f: Field) -> Column:
-    """What a field is made of, as the event has it: a text, a variant, an array, or the picked values."""
+    """What a field is made of, as the event has it: a text, a variant, an array, or the picked values. It is one
+    column and no struct, since Catalyst would put what a struct holds in the place of each of its fields."""
     if f.pick:
-        picked = [_first(event, ps, "string" if f.kind == "flat_map" else "variant") for _, ps in f.pick]
-        return F.struct(F.array(*picked).alias("picked"), F.when(F.coalesce(*picked).isNull(), F.to_json(_first(event, f.paths))).alias("whole"))
+        return F.array(*(_first(event, ps, "string" if f.kind == "flat_map" else "variant") for _, ps in f.pick))
     if f.kind == "flat_map" or f.kind == "json":
         return F.to_json(_first(event, f.paths))
     if f.kind.startswith("array_"):
@@ -213,14 +213,16 @@ def _source(event: Column, f: Field) -> Column:
 
 def _picked(source: Column, f: Field) -> Column:
     """The map of the picked values that are there."""
-    pairs = F.arrays_zip(F.array(*(F.lit(k) for k, _ in f.pick)).alias("key"), source["picked"].alias("value"))
+    pairs = F.arrays_zip(F.array(*(F.lit(k) for k, _ in f.pick)).alias("key"), source.alias("value"))
     return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
 
 
-def _flat(source: Column, f: Field) -> Column:
+def _flat(event: Column, source: Column, f: Field) -> Column:
     if not f.pick:
         return flat_entries(source, f.exclude, f.elevate)
-    return F.when(F.exists(source["picked"], lambda x: x.isNotNull()), _picked(source, f)).otherwise(flat_entries(source["whole"], f.exclude, f.elevate))
+    some = F.exists(source, lambda x: x.isNotNull())
+    whole = F.when(~some, F.to_json(_first(event, f.paths)))
+    return F.when(some, _picked(source, f)).otherwise(flat_entries(whole, f.exclude, f.elevate))
 
 
 def _array(items: Column, f: Field) -> Column:
@@ -238,7 +240,7 @@ def _array(items: Column, f: Field) -> Column:
 def expression(event: Column, source: Column, f: Field) -> Column:
     """A field's value, from what _source() gives."""
     if f.kind == "flat_map":
-        return _flat(source, f)
+        return _flat(event, source, f)
     if f.kind.startswith("array_"):
         return _array(source, f)
     if f.kind == "json":

@@ -20,6 +20,7 @@ ENTRIES = pa.map_(pa.string(), pa.string())
 #: A fraction is kept as it is written: as a text after this mark, which no other text then begins with.
 MARK = "\x02"
 _MARKED = re.compile(r'"\\u0002([^"]*)"')
+_ENCODED = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 _EXACT, _PLAIN = json.JSONDecoder(parse_float=lambda x: MARK + x, parse_constant=lambda x: MARK + x), json.JSONDecoder()
 
 
@@ -36,7 +37,7 @@ def as_text(value) -> str | None:
     if isinstance(value, str):
         return value[1:] if value.startswith(MARK) else value
     if isinstance(value, (list, dict)):
-        shown = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        shown = _ENCODED(value)
         return _MARKED.sub(r"\1", shown) if "\\u0002" in shown else shown
     return None if value is None else ("true" if value else "false") if isinstance(value, bool) else str(value)
 
