@@ -8,35 +8,24 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-#: A node with more edges than this is a hub, and hubs that are broadcast at the most.
-HUB_EDGES, MOST_HUBS = 10_000, 50_000
-
-
-def _beside(edges: DataFrame, least: DataFrame, node: str, hub: int) -> DataFrame:
-    """Edges with the minimum m of their `node`. least: a node, m and its number n of edges. The edges of hubs,
-    nodes with more than `hub`, stay where they are and meet the hubs' minima by a broadcast."""
-    hubs = F.broadcast(least.filter(F.col("n") > hub).select(node, "m"))
-    rest = edges.join(hubs.select(node), node, "left_anti").join(least.filter(F.col("n") <= hub).select(node, "m"), node)
-    return rest.unionByName(edges.join(hubs, node))
-
-
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b), any order, repeats and self-links allowed. Returns (node, label) for every node in
     a link; label is the smallest node of its component.
 
     Each round hangs every node on the smallest of its neighbours (large star: the larger neighbours,
-    small star: the others). Both only group and join; a hub's minimum is pre-aggregated. A round of e edges has
-    2e ends, so nodes with more than 2e / MOST_HUBS edges, which bounds hubs from below, are MOST_HUBS at most.
+    small star: the others). Both only group and join; a hub's minimum is pre-aggregated.
+
+    A hub's edges meet its minimum in a plain join, which Spark's adaptive skew join splits when a partition
+    is large (spark.sql.adaptive.skewJoin); nothing is copied for the other nodes.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     nodes = edges
     while True:
-        hub = max(HUB_EDGES, -(-2 * edges.count() // MOST_HUBS))
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _beside(both.filter("v > u"), least, "u", hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _beside(large, least, "a", hub).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         after = written(small, "links")
         # stars when no node has two parents and no parent has one
         many = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
