@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, flac, langid, packing, periodic, pii, secrets, sharding, simjoin, tokencount, urlfilter
+from . import decontam, dialogue, flac, langid, packing, periodic, pii, secrets, sharding, simjoin, tokencount, urlfilter
 from .common import crc_mod, new_path, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -66,6 +66,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one row in five dropped, emptied, shorn of its ends, repeated or given to the user."""
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), kind.alias("kind")).filter("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repair = dialogue.Repair(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    none = [F.lit(None).cast("long").alias(x) for x in counts]
+    null = F.lit(None).cast("string")
+    found = rows.select("conv_id", *none, null.alias("audit"), null.alias("repaired_sha256")).unionByName(repair.conversations.withColumn("repaired_sha256", null))
+    found = found.unionByName(repair.repaired_digests().select("conv_id", *none, null.alias("audit"), "repaired_sha256"))
+    values = [F.coalesce(F.max(x), F.lit(0).cast("long")).alias(x) for x in counts]
+    sha = F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256))
+    return found.groupBy("conv_id").agg(*values, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), sha.alias("repaired_sha256"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text; of a tenth of the documents the words from one on repeat with a period."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -99,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
