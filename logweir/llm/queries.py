@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dialogue, flac, langid, packing, periodic, pii, secrets, sharding, simjoin, tokencount, urlfilter
+from . import decontam, dialogue, flac, htmltext, langid, packing, periodic, pii, secrets, sharding, simjoin, tokencount, urlfilter
 from .common import crc_mod, new_path, table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -66,6 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with one row in five dropped, emptied, shorn of its ends, repeated or given to the user."""
     kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_html_text": op11_html_text,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -149,6 +154,12 @@ n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    # the article of pages that have one, its blocks at the ends of p and h1; by expressions alone
+    "op11_html_text": """WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda t: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot', '"'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, regexp_replace(array_to_string(list_filter(blocks, lambda t: t <> ''), chr(10)), '&amp($|\n)', '&\1', 'g') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op10_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, CAST(len(w) - 2 AS BIGINT)), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
