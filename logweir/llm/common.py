@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,33 +86,96 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd multipliers of the hashes.
 LENGTH_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-#: Bytes of a string that are hashed here, eight at a time; longer ones go to blake2b.
-SHORT_BYTES = 64
+#: Strings of so many bytes are a number of their own; longer ones go to blake2b, so many of them kept.
+TINY_BYTES, MAX_DIGESTS = 7, 100_000
 _KEPT = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_digests: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """The finishing step of splitmix64: every bit of x bears on every bit of the result."""
+    """The finishing step of splitmix64, a bijection: every bit of x bears on every bit of the result."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the strings data[start:end]. Each step mixes eight bytes into all bits, so that no
-    algebra of the bytes carries over; strings of up to eight bytes collide by length alone."""
-    wide = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    length = end - start
+def _by_eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def sorting_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the strings data[start:end], equal for equal strings and fast: of long ones the first and last
+    bytes alone. Different strings can have one number, so the bytes decide (`distinct`, `same_bytes`)."""
+    wide, length = _by_eight(data), end - start
     out = length.astype(np.uint64) * np.uint64(LENGTH_BASE)
-    rows = np.flatnonzero((length > 0) & (length <= SHORT_BYTES))
+    rows = np.flatnonzero(length > 0)
     at = 0
-    while len(rows):
+    while len(rows) and at < 64:
         left = length[rows] - at
         out[rows] = mixed(out[rows] ^ (wide[start[rows] + at] & _KEPT[np.minimum(left, 8)]))
         at += 8
         rows = rows[left > 8]
-    for r in np.flatnonzero(length > SHORT_BYTES).tolist():
-        out[r] = int.from_bytes(hashlib.blake2b(data[start[r] : end[r]].tobytes(), digest_size=8).digest(), "little")
+    if len(rows):
+        out[rows] = mixed(out[rows] ^ wide[end[rows] - 8])
+    return out
+
+
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each string data[start:end] is the string other[other_start:other_end]."""
+    wide, other_wide = _by_eight(data), _by_eight(other)
+    length = end - start
+    same = length == other_end - other_start
+    rows = np.flatnonzero(same & (length > 0))
+    at = 0
+    while len(rows) and at < 64:
+        left = length[rows] - at
+        equal = ((wide[start[rows] + at] ^ other_wide[other_start[rows] + at]) & _KEPT[np.minimum(left, 8)]) == 0
+        same[rows[~equal]] = False
+        rows = rows[equal & (left > 8)]
+        at += 8
+    for r in rows.tolist():
+        same[r] = np.array_equal(data[start[r] + at : end[r]], other[other_start[r] + at : other_end[r]])
+    return same
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each different string data[start:end], and for each row which of these it is. Exact: rows
+    are grouped by a hash and then held against their group's string."""
+    _, at, number = np.unique(sorting_hash(data, start, end), return_index=True, return_inverse=True)
+    first = at[number]
+    more: dict[bytes, int] = {}
+    rows = []
+    for r in np.flatnonzero(~same_bytes(data, start, end, data, start[first], end[first])).tolist():
+        known = len(more)
+        number[r] = len(at) + (n := more.setdefault(data[start[r] : end[r]].tobytes(), known))
+        if n == known:
+            rows.append(r)
+    return np.append(at, np.array(rows, at.dtype)), number
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[start:end]. Up to TINY_BYTES they are one-to-one (the bytes and their
+    number, mixed by a bijection); longer ones are blake2b's, of the different ones once each."""
+    length = end - start
+    bits = _by_eight(data)[start] & _KEPT[np.minimum(length, 7)] if len(start) else np.zeros(0, np.uint64)
+    out = mixed(bits | (np.minimum(length, 7).astype(np.uint64) << np.uint64(56)))
+    rows = np.flatnonzero(length > TINY_BYTES)
+    if len(rows):
+        at, number = distinct(data, start[rows], end[rows])
+        if len(_digests) > MAX_DIGESTS:
+            _digests.clear()
+        raw = data.tobytes()
+        found = np.zeros(len(at), np.uint64)
+        for i, (a, b) in enumerate(zip(start[rows[at]].tolist(), end[rows[at]].tolist(), strict=True)):
+            word = raw[a:b]
+            value = _digests.get(word)
+            if value is None:
+                value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+                if b - a <= 64:
+                    _digests[word] = value
+            found[i] = value
+        out[rows] = found[number]
     return out
 
 
@@ -132,7 +196,8 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def grams(word: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k words from each position on (len(word) - k + 1 of them)."""
+    """Hashes of the k words from each position on (len(word) - k + 1 of them). Different words can be made to
+    meet in them, so what is found by them is compared as spelled; `keyed_grams` cannot be aimed at."""
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -142,6 +207,22 @@ def grams(word: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+def new_keys(k: int) -> tuple[int, ...]:
+    """Random keys of one job."""
+    return tuple(secrets.randbits(64) for _ in range(k))
+
+
+def keyed_grams(word: np.ndarray, k: int, keys: tuple[int, ...]) -> np.ndarray:
+    """As grams, by a chain of mixing steps with keys of the job: who writes a text does not know them."""
+    n = len(word) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total = mixed((total ^ word[j : j + n]) + np.uint64(keys[j]))
+    return total
+
+
 def crc_mod(column, n: int):
     """crc32 of a value's text, modulo n: a split that any engine can compute."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n

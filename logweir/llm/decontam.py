@@ -2,11 +2,12 @@
 
 Every benchmark item and every document is fingerprinted: of each window of WINDOW consecutive k-gram
 hashes the minimum is kept. Two texts that share SPAN = K + WINDOW - 1 words in a row share a
-fingerprint, so the join of the fingerprints misses no shared span of that length. Each hit is extended
-to both sides, word by word, to the longest shared span, whose words are then compared as they are spelled;
-spans of at least SPAN words count. Items of
-fewer than SPAN words are too short for the guarantee: their hash as a whole is looked up at every
-position of the document instead.
+fingerprint, so the join of the fingerprints misses no shared span of that length. Around each hit the
+document's spans of SPAN words that have this fingerprint are extended to: each is looked up among the
+items' spans, compared as it is spelled, and neighbouring ones are merged. So a text that repeats a word
+or a line is as much work as its length, however often a fingerprint occurs on either side. Items of
+fewer than SPAN words are too short for the guarantee: they are looked up whole at every position of the
+document.
 
 Defined cases: a null or wordless text has no words and no hits; wordless items are in no document;
 repeated items count one by one, under their own ids; null item ids are left out of the list of ids;
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, grams, slices, utf8, with_id, words, written
+from .common import LOWER, grams, same_bytes, slices, utf8, with_id, words, written
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
 #: Bytes of a benchmark that is broadcast, at the most; fingerprints of a larger one are joined.
 BROADCAST_BYTES = 16 << 20
-#: Bits of the sketch of its fingerprints, and parts that each of them is dealt to in the join.
+#: Bits of the sketch of its fingerprints, and parts that each span is dealt to in the join.
 SKETCH_BITS, SALTS = 1 << 26, 16
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -56,30 +57,14 @@ class Text:
         self.low = LOWER[data]
         self.first = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
-    def spelled(self, a: int, b: int) -> list[bytes]:
-        return [self.low[x:y].tobytes() for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+    def spelled(self, at: int, m: int) -> bytes:
+        """The m words from word `at` on, joined by a blank."""
+        return b" ".join(self.low[x:y].tobytes() for x, y in zip(self.start[at : at + m].tolist(), self.end[at : at + m].tolist(), strict=True))
 
-
-def shared(doc: Text, d: int, p: int, item: Text, i: int, q: int) -> tuple[int, int]:
-    """The span of equal words, in text d, around its word p and word q of item i (numbers over all texts)."""
-    back = min(p - int(doc.first[d]), q - int(item.first[i]))
-    ahead = min(int(doc.first[d + 1]) - p, int(item.first[i + 1]) - q)
-    unequal = np.flatnonzero(doc.hash[p : p + ahead] != item.hash[q : q + ahead])
-    end = p + (int(unequal[0]) if len(unequal) else ahead)
-    unequal = np.flatnonzero(doc.hash[p - back : p] != item.hash[q - back : q])
-    return p - back + (int(unequal[-1]) + 1 if len(unequal) else 0), end
-
-
-def alike(doc: Text, start: int, end: int, item: Text, shift: int, least: int) -> Iterator[tuple[int, int]]:
-    """The stretches of a span, of `least` words at least, that are spelled alike and not just hashed alike."""
-    one, other = doc.spelled(start, end), item.spelled(start - shift, end - shift)
-    if one == other:
-        if end - start >= least:
-            yield start, end
-        return
-    equal = np.concatenate([[False], [x == y for x, y in zip(one, other, strict=True)], [False]])
-    edge = np.flatnonzero(equal[1:] != equal[:-1])
-    yield from ((start + a, start + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= least)
+    def windows(self, m: int) -> np.ndarray:
+        """Words from which m words go on in the same text."""
+        at = np.arange(max(0, len(self.row) - m + 1))
+        return at[self.row[at] == self.row[at + m - 1]] if m else at
 
 
 def prints(text: Text) -> tuple[np.ndarray, np.ndarray]:
@@ -88,50 +73,94 @@ def prints(text: Text) -> tuple[np.ndarray, np.ndarray]:
     return at, grams(text.hash, K)[at] if len(at) else np.zeros(0, np.uint64)
 
 
-def short_items(text: Text) -> Iterator[tuple[int, int, int]]:
-    """(item, its number of words, hash) of items too short for fingerprints."""
-    length = np.diff(text.first)
-    for i in np.flatnonzero((length > 0) & (length < SPAN)).tolist():
-        yield i, int(length[i]), int(grams(text.hash[text.first[i] : text.first[i + 1]], int(length[i]))[0])
+def has_print(gram: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each window of WINDOW gram hashes, whether its fingerprint is known (known: for each gram)."""
+    if len(gram) < WINDOW or not known.any():
+        return np.zeros(max(0, len(gram) - WINDOW + 1), bool)
+    return known[np.lib.stride_tricks.sliding_window_view(gram, WINDOW).argmin(axis=1) + np.arange(len(gram) - WINDOW + 1)]
+
+
+class Spans:
+    """The different spans of m words of the items: a hash, a place where each is spelled, and its items."""
+
+    def __init__(self, text: Text, at: np.ndarray, m: int):
+        self.text, self.m = text, m
+        item, spelled = text.row[at], {}
+        hashes = grams(text.hash, m)[at] if len(at) else np.zeros(0, np.uint64)
+        _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        place = at[first]
+        # spans that share a hash and are spelled otherwise (made to) are spans of their own
+        repeats = np.flatnonzero(at != place[number])
+        for r in repeats[~same_words(text, at[repeats], text, place[number[repeats]], m)].tolist():
+            known = len(spelled)
+            number[r] = len(first) + (n := spelled.setdefault(text.spelled(int(at[r]), m), known))
+            if n == known:
+                place = np.append(place, at[r])
+        pairs = np.unique(np.stack([number, item]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+        own = grams(text.hash, m)[place] if len(place) else hashes
+        order = np.argsort(own, kind="stable")
+        rank = np.argsort(order)
+        self.hash, self.place = own[order], place[order]
+        span, self.item = rank[pairs[0]], pairs[1]
+        again = np.argsort(span, kind="stable")
+        self.item = self.item[again]
+        self.first = np.searchsorted(span[again], np.arange(len(place) + 1))
+        self.most = int(np.unique(self.hash, return_counts=True)[1].max()) if len(self.hash) else 0
+
+    def find(self, doc: Text, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places at which a document has one of the spans, and which."""
+        if not len(at) or not len(self.hash):
+            return at[:0], at[:0]
+        gram = grams(doc.hash, self.m)[at]
+        low = np.searchsorted(self.hash, gram)
+        out, which = [], []
+        for d in range(self.most):  # one, unless spans share a hash
+            rows = np.flatnonzero(low + d < len(self.hash))
+            rows = rows[self.hash[low[rows] + d] == gram[rows]]
+            rows = rows[same_words(doc, at[rows], self.text, self.place[low[rows] + d], self.m)]
+            out.append(at[rows])
+            which.append(low[rows] + d)
+        return np.concatenate(out), np.concatenate(which)
+
+
+def same_words(one: Text, at: np.ndarray, other: Text, place: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words from each place on are spelled alike in two texts."""
+    same = one.hash[at] == other.hash[place]
+    for j in range(m):
+        rows = np.flatnonzero(same)
+        a, b = at[rows] + j, place[rows] + j
+        same[rows] = same_bytes(one.low, one.start[a], one.end[a], other.low, other.start[b], other.end[b])
+    return same
 
 
 class Index:
-    """The fingerprints of benchmark items, with what an extension needs."""
+    """The fingerprints of benchmark items, and their spans."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None]):
         self.ids, self.text = ids, Text(pa.array(texts, pa.large_string()))
-        at, hashes = prints(self.text)
-        order = np.argsort(hashes, kind="stable")
-        self.hash, self.at = hashes[order], at[order]
+        self.hash = np.unique(prints(self.text)[1])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hash & np.uint64(len(self.maybe) - 1)] = True
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, m, gram in short_items(self.text):
-            self.short[m][gram].append(i)
-
-    def hits(self, doc: Text) -> Iterator[tuple[int, int, int, int]]:
-        """(row, start, end, item) of the shared spans of many documents."""
-        gram, own = grams(doc.hash, K), self.text
-        at = winnow(gram)
-        at = at[self.maybe[gram[at] & np.uint64(len(self.maybe) - 1)]] if len(at) else at
-        low, high = np.searchsorted(self.hash, gram[at]), np.searchsorted(self.hash, gram[at], "right")
-        done: dict[tuple[int, int], int] = {}  # by item and distance between the two texts: the end of the last span
-        for p, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-            row = int(doc.row[p])
-            for q in self.at[a:b].tolist():
-                item = int(own.row[q])
-                if done.get((item, p - q), -1) > p:
-                    continue
-                start, end = shared(doc, row, p, own, item, q)
-                done[item, p - q] = max(end, p + 1)
-                if end - start >= SPAN:
-                    yield from ((row, x, y, item) for x, y in alike(doc, start, end, own, p - q, SPAN))
-        for m, wanted in self.short.items():
-            gram = grams(doc.hash, m)
-            for p in np.flatnonzero(np.isin(gram, np.fromiter(wanted, np.uint64, len(wanted)))).tolist():
-                row = int(doc.row[p])
-                if p + m <= doc.first[row + 1]:
-                    yield from ((row, x, y, item) for item in wanted[int(gram[p])] for x, y in alike(doc, p, p + m, own, p - int(own.first[item]), m))
+        long = self.text.windows(SPAN)
+        self.long = Spans(self.text, long, SPAN)
+        length = np.diff(self.text.first)
+        short = [m for m in np.unique(length).tolist() if 0 < m < SPAN]
+        self.short = [Spans(self.text, self.text.first[:-1][length == m], m) for m in short]
+
+    def hits(self, doc: Text) -> Iterator[tuple[np.ndarray, int, np.ndarray, Spans]]:
+        """(places, number of words, spans, their table) of what documents share with the items."""
+        gram = grams(doc.hash, K)
+        known = self.maybe[gram & np.uint64(len(self.maybe) - 1)]
+        maybe = np.flatnonzero(known)
+        known[maybe] = np.isin(gram[maybe], self.hash)
+        at = np.flatnonzero(has_print(gram, known))
+        at, which = self.long.find(doc, at[doc.row[at] == doc.row[at + SPAN - 1]])
+        yield at, SPAN, which, self.long
+        for spans in self.short:
+            at = doc.windows(spans.m)
+            at = at[np.isin(grams(doc.hash, spans.m)[at], spans.hash)]
+            at, which = spans.find(doc, at)
+            yield at, spans.m, which, spans
 
 
 _indexes: dict[str, Index] = {}
@@ -158,10 +187,12 @@ def _looked_up(batches: Iterator[pa.RecordBatch], held, key: str) -> Iterator[pa
         text = Text(batch.column("text"))
         spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
         items: list[set[str]] = [set() for _ in range(batch.num_rows)]
-        for r, start, end, item in index.hits(text):
-            spans[r].append((start - int(text.first[r]), end - int(text.first[r])))
-            if index.ids[item] is not None:
-                items[r].add(index.ids[item])
+        for at, m, which, found in index.hits(text):
+            row = text.row[at]
+            for r, start in zip(row.tolist(), (at - text.first[row]).tolist(), strict=True):
+                spans[r].append((start, start + m))
+            for r, x in np.unique(np.stack([row, which]), axis=1).T.tolist():
+                items[r].update(index.ids[i] for i in found.item[found.first[x] : found.first[x + 1]].tolist() if index.ids[i] is not None)
         yield _judged(batch.column("id"), text, spans, items)
 
 
@@ -178,61 +209,69 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 # a benchmark beyond the bound: a join of fingerprints
 
-PRINT = "words int, hash long, key long, at long"
+PRINT = "hash long, span binary, key long"
 
 
-def _rows(rows: list[np.ndarray]) -> pa.RecordBatch:
-    words_, hashes, key, at = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in rows)]) for i in range(4))
-    return pa.RecordBatch.from_arrays([pa.array(words_.astype(np.int32)), pa.array(hashes), pa.array(key), pa.array(at)], ["words", "hash", "key", "at"])
+def _digest(text: Text, at: int, m: int) -> bytes:
+    return hashlib.blake2b(text.spelled(at, m), digest_size=16).digest()
+
+
+def _fingerprint(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The fingerprints of the windows from these grams on."""
+    return np.lib.stride_tricks.sliding_window_view(gram, WINDOW)[at].min(axis=1) if len(at) else gram[:0]
 
 
 def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of items (words: 0), and of short ones the whole (words: how many)."""
+    """The different spans of each item: their fingerprint, a digest of their words, the item."""
     for batch in slices(batches, "text"):
         text, key = Text(batch.column("text")), batch.column("key").to_numpy()
-        at, hashes = prints(text)
-        row = text.row[at]
-        rows = [(np.zeros(len(at), np.int64), hashes.view(np.int64), key[row], at - text.first[row])]
-        short = list(short_items(text))
-        rows.append((np.array([m for _, m, _ in short], np.int64), np.array([g for *_, g in short], np.uint64).view(np.int64), key[[i for i, *_ in short]] if short else np.zeros(0, np.int64), np.zeros(len(short), np.int64)))
-        yield _rows(rows)
+        rows: dict[tuple[int, bytes, int], None] = {}
+        at = text.windows(SPAN)
+        for p, h in zip(at.tolist(), _fingerprint(grams(text.hash, K), at).view(np.int64).tolist(), strict=True):
+            rows[h, _digest(text, p, SPAN), int(key[text.row[p]])] = None
+        length = np.diff(text.first)
+        for i in np.flatnonzero((length > 0) & (length < SPAN)).tolist():
+            p, m = int(text.first[i]), int(length[i])
+            rows[int(grams(text.hash[p : p + m], m).view(np.int64)[0]), _digest(text, p, m), int(key[i])] = None
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["hash", "span", "key"])
+
+
+def _short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words of short items."""
+    for batch in slices(batches, "text"):
+        length = np.unique(np.diff(Text(batch.column("text")).first))
+        yield pa.RecordBatch.from_arrays([pa.array(length[(length > 0) & (length < SPAN)], pa.int64())], ["m"])
 
 
 def _doc_prints(batches: Iterator[pa.RecordBatch], sketch, lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of documents, and their runs of as many words as short items have; of both only what the
-    sketch may hold."""
+    """The different spans of each document, and its runs of as many words as short items have, with all their
+    places; of both only those whose hash the sketch may hold."""
     bits: np.ndarray = sketch.value
-    for batch in slices(batches, "text"):
-        text, key = Text(batch.column("text")), batch.column("key").to_numpy()
-        rows = []
-        for m in [0, *lengths]:
-            gram = grams(text.hash, m or K)
-            at = winnow(gram) if not m else np.arange(len(gram))
-            at = at[text.row[at] == text.row[at + (m or K) - 1]]
-            place = (gram[at] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-            at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
-            rows.append((np.full(len(at), m), gram[at].view(np.int64), key[text.row[at]], at - text.first[text.row[at]]))
-        yield _rows(rows)
 
+    def held(hashes: np.ndarray) -> np.ndarray:
+        place = (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared spans of pairs of a document and an item, from the places where their fingerprints meet."""
     for batch in slices(batches, "text"):
-        doc, item = Text(batch.column("text")), Text(batch.column("item_text"))
-        out = []
-        for r, places in enumerate(batch.column("places").to_pylist()):
-            done: dict[int, int] = {}
-            spans: set[tuple[int, int]] = set()
-            for m, p, q in sorted((x["words"], x["p"], x["q"]) for x in places):
-                p, q = p + int(doc.first[r]), q + int(item.first[r])
-                if m:
-                    spans.update(alike(doc, p, p + m, item, p - q, m))
-                elif done.get(p - q, -1) <= p:
-                    start, end = shared(doc, r, p, item, r, q)
-                    done[p - q] = max(end, p + 1)
-                    spans.update(alike(doc, start, end, item, p - q, SPAN))
-            out.append([{"start": a - int(doc.first[r]), "end": b - int(doc.first[r])} for a, b in sorted(spans)])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), pa.array(out, SPANS)], ["key", "item", "spans"])
+        text, key = Text(batch.column("text")), batch.column("key").to_numpy()
+        places: dict[tuple[int, bytes, int, int], list[int]] = defaultdict(list)
+        for m in [0, *lengths]:
+            if m:
+                gram = grams(text.hash, m)
+                at = text.windows(m)
+                at = at[held(gram[at])]
+                hashes = gram[at]
+            else:
+                gram = grams(text.hash, K)
+                at = np.flatnonzero(has_print(gram, held(gram)))
+                at = at[text.row[at] == text.row[at + SPAN - 1]]
+                hashes = _fingerprint(gram, at)
+            for p, h, r in zip(at.tolist(), hashes.view(np.int64).tolist(), text.row[at].tolist(), strict=True):
+                places[h, _digest(text, p, m or SPAN), m or SPAN, r].append(p - int(text.first[r]))
+        rows = list(places)
+        spans = [joined([(p, p + x[2]) for p in places[x]]) for x in rows]
+        shown = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([int(key[x[3]]) for x in rows], pa.int64()), shown], ["hash", "span", "key", "spans"])
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +281,9 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs: id, text; items: item, text. Items with equal text are one in the join. The sketch of the items'
-    hashes, of a fixed size, spares the shuffle of fingerprints that no item has; hot ones are salted."""
+    """docs: id, text; items: item, text. Items with equal text are one in the join. Fingerprint and digest of
+    the words are the key, so only spans that are shared meet, one row for each document and different span.
+    The sketch of the items' hashes, of a fixed size, spares the shuffle of the others; spans are salted."""
     spark = docs.sparkSession
     docs = written(docs.withColumn("key", F.monotonically_increasing_id()), "documents")
     named = written(items.withColumn("same", F.sha2("text", 256)), "items")
@@ -253,16 +293,15 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = known.select((bit / 8).cast("int").alias("byte"), F.pow(F.lit(2), bit % 8).cast("int").alias("bits")).groupBy("byte").agg(F.bit_or("bits")).toArrow()
     sketch = np.zeros(SKETCH_BITS >> 3, np.uint8)
     sketch[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    lengths = sorted(r[0] for r in known.filter("words > 0").select("words").distinct().collect())
-    found = docs.select("key", "text").mapInArrow(partial(_doc_prints, sketch=spark.sparkContext.broadcast(sketch), lengths=lengths), PRINT)
-    salted = known.toDF("words", "hash", "item", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = found.toDF("words", "hash", "key", "p").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["words", "hash", "salt"])
-    places = written(met.groupBy("key", "item").agg(F.collect_set(F.struct("words", "p", "q")).alias("places")), "places")
-    pairs = places.join(texts.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item").join(docs.select("key", "text"), "key")
-    hits = written(pairs.select("key", "item", "text", "item_text", "places").mapInArrow(_extended, "key long, item long, spans array<struct<start:long,end:long>>").filter(F.size("spans") > 0), "hits")
+    lengths = [r[0] for r in texts.select("text").mapInArrow(_short_lengths, "m long").distinct().collect()]
+    spans = "array<struct<start:long,end:long>>"
+    found = docs.select("key", "text").mapInArrow(partial(_doc_prints, sketch=spark.sparkContext.broadcast(sketch), lengths=sorted(lengths)), f"{PRINT}, spans {spans}")
+    salted = known.select("hash", "span").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = written(found.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "span", "salt"]).drop("salt"), "hits")
+    spans = met.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     ids = named.join(texts.select("same", F.col("key").alias("text_key")), "same").filter("item is not null").select(F.col("text_key").alias("item"), F.col("item").alias("item_id"))
-    spans = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    names = hits.join(ids, "item").groupBy("key").agg(F.collect_set("item_id").alias("items"))
+    pairs = met.select("key", "hash", "span").join(known.withColumnRenamed("key", "item"), ["hash", "span"]).select("key", "item").distinct()
+    names = pairs.join(ids, "item").groupBy("key").agg(F.collect_set("item_id").alias("items"))
     whole = docs.join(spans, "key", "left").join(names, "key", "left").select("id", "text", "spans", "items")
     return whole.mapInArrow(_put_together, with_id(docs, "id", SCHEMA))
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, with_id, written
-from .tokens import MAX_CACHED, encode_piece, is_plain, specials, split, tokenizer, vocabulary
+from .common import distinct, slices, with_id, written
+from .tokens import MAX_CACHED, encode_piece, lowered, specials, split, tokenizer, vocabulary
 
 MAX_TOKENS, END_ID = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -50,19 +50,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special tokens added."""
-        plain = [is_plain(x, self.special) for x in texts]
-        raw = [x.lower().encode() if p else b"" for x, p in zip(texts, plain, strict=True)]
-        offsets = np.cumsum([0, *map(len, raw)])
-        joined = b"".join(raw)
-        piece, start, end, row = split(np.frombuffer(joined, np.uint8), offsets, spaced=False)
-        _, at, inverse = np.unique(piece, return_index=True, return_inverse=True)
+        low = [lowered(x, self.special) for x in texts]
+        joined, start, end, row = split([x or "" for x in low], spaced=False)
+        at, inverse = distinct(np.frombuffer(joined, np.uint8), start, end)
         number = self._numbers([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])[inverse]
         first = self.first[number]
         length = self.first[number + 1] - first
         before = np.cumsum(length) - length
         ids = self.ids[np.repeat(first - before, length) + np.arange(int(length.sum()))] if len(number) else self.ids[:0]
         cuts = np.append(before, len(ids))[np.searchsorted(row, np.arange(len(texts) + 1))]
-        return [ids[cuts[i] : cuts[i + 1]] if p else np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") for i, p in enumerate(plain)]
+        return [ids[cuts[i] : cuts[i + 1]] if x is not None else np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4") for i, x in enumerate(low)]
 
     def _numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each pre-token: its ids are self.ids[self.first[number] : self.first[number + 1]]."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, mixed, partitions_for, sample_below, slices, utf8, with_id, words, written
+from .common import keyed_grams, new_keys, partitions_for, sample_below, slices, utf8, with_id, words, written
 from .components import components
 
 IS_WORD = np.ones(256, bool)
@@ -48,17 +48,19 @@ SAMPLE_DOCS, COMMON_HASHES = 32_000, 250_000
 HOT = 8
 
 
-def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted set of shingle hashes of each text; fewer than k words are one shingle."""
+def shingles(texts: pa.Array, keys: tuple[int, ...]) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text, under the job's keys, one for each word of a shingle;
+    texts of fewer words are one shingle."""
+    k = len(keys)
     word, _, _, row = words(*utf8(texts), IS_WORD)
     first = np.searchsorted(row, np.arange(len(texts) + 1))
-    gram = grams(word, k)
+    gram = keyed_grams(word, k, keys)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(gram[a : b - k + 1]))
         else:
-            out.append(grams(word[a:b], b - a) if b > a else gram[:0])
+            out.append(keyed_grams(word[a:b], b - a, keys) if b > a else gram[:0])
     return out
 
 
@@ -99,15 +101,15 @@ class Forest:
         return new
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, common) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...], num: int, den: int, common) -> Iterator[pa.RecordBatch]:
     ranked, _ = common.value
     for batch in slices(batches, "text"):
-        sizes, digests, keys, bitmaps, prefixes = [], [], [], [], []
-        for hashes in shingles(batch.column("text"), k):
+        sizes, digests, short, bitmaps, prefixes = [], [], [], [], []
+        for hashes in shingles(batch.column("text"), keys):
             digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
             sizes.append(len(hashes))
             digests.append(digest)
-            keys.append(int.from_bytes(digest[:8], "little", signed=True))
+            short.append(int.from_bytes(digest[:8], "little", signed=True))
             bitmaps.append(bitmap(hashes).tobytes() if len(hashes) else b"")
             n = prefix_length(len(hashes), num, den) if len(hashes) else 0
             if len(ranked) and n:
@@ -116,19 +118,19 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, c
                 hashes = np.concatenate([hashes[~usual][:n], hashes[usual][: max(0, n - int((~usual).sum()))]])
             prefixes.append(hashes[:n].view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(bitmaps, pa.binary()), lists], ["id", "n", "digest", "key", "bits", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seal"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.int64()), pa.array(bitmaps, pa.binary()), lists], ["id", "seal", "n", "digest", "key", "bits", "prefix"])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column("text"), k)]).view(np.int64))], ["hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *shingles(batch.column("text"), keys)]).view(np.int64))], ["hash"])
 
 
-def common_hashes(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def common_hashes(docs: DataFrame, keys: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that several documents of a bounded sample share, sorted, and those that many share. Of more
     than COMMON_HASHES the rarer counts are left out, as they come."""
     sample = sample_below(docs, "id", SAMPLE_DOCS).select("text").distinct()
-    counts = written(sample.mapInArrow(partial(_shingle_rows, k=k), "hash long").groupBy("hash").count().filter("count > 1"), "common")
+    counts = written(sample.mapInArrow(partial(_shingle_rows, keys=keys), "hash long").groupBy("hash").count().filter("count > 1"), "common")
     least, held = HOT, 0
     for count, n in counts.groupBy(F.least("count", F.lit(HOT)).alias("c")).agg(F.count("*")).orderBy(F.desc("c")).collect():
         held += n
@@ -273,10 +275,10 @@ def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], keys: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """The sets of the texts that belong to the classes they were joined to."""
     for batch in slices(batches, "text"):
-        found = shingles(batch.column("text"), k)
+        found = shingles(batch.column("text"), keys)
         right = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d for x, d in zip(found, batch.column("digest").to_pylist(), strict=True)]
         out = pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("part"), batch.column("block"), pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "part", "block", "hashes"])
         yield out.filter(pa.array(right, pa.bool_()))
@@ -375,17 +377,21 @@ def _candidates(nodes: DataFrame, common, num: int, den: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """id, n_shingles (k-word shingles of the text, distinct) and component_id of every row: the smallest
     id that links lead to. Two rows link when their sets share num/den of their union, at least."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = spark.sparkContext.broadcast(common_hashes(texts, k))
-    rows = written(texts.mapInArrow(partial(_signatures, k=k, num=num, den=den, common=common), with_id(docs, id_col, "n long, digest binary, key long, bits binary, prefix array<long>")), "signatures")
-    nodes = written(rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "key", "bits", "prefix"))), "classes")
+    spark, keys = docs.sparkSession, new_keys(k)
+    # the seal tells rows of one id (or none) apart when a class's text is read again
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("seal"))
+    common = spark.sparkContext.broadcast(common_hashes(texts, keys))
+    rows = written(texts.mapInArrow(partial(_signatures, keys=keys, num=num, den=den, common=common), with_id(docs, id_col, "seal long, n long, digest binary, key long, bits binary, prefix array<long>")), "signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seal")).alias("rep")
+    nodes = rows.filter("n > 0").groupBy("digest").agg(least, *(F.first(c).alias(c) for c in ("n", "key", "bits", "prefix")))
+    nodes = written(nodes.select("digest", F.col("rep.id").alias("rep"), F.col("rep.seal").alias("seal"), "n", "key", "bits", "prefix"), "classes")
 
     parts = components(_candidates(nodes, common, num, den)).withColumnRenamed("node", "key").withColumnRenamed("label", "part")
     size = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = written(nodes.select("digest", "rep", "key").join(parts, "key").join(size, "part").select("digest", "rep", "part", "blocks", F.pmod(F.xxhash64("digest"), "blocks").alias("block")), "members")
-    wanted = texts.join(members.select("digest", "rep", "part", "block"), texts["id"].eqNullSafe(members["rep"])).select("text", "digest", "part", "block")
-    sets = written(wanted.mapInArrow(partial(_sets, k=k), "digest binary, part long, block long, hashes binary"), "sets")
+    members = written(nodes.select("digest", "rep", "seal", "key").join(parts, "key").join(size, "part").select("digest", "rep", "seal", "part", "blocks", F.pmod(F.xxhash64("digest"), "blocks").alias("block")), "members")
+    own = members.select("digest", "rep", "seal", "part", "block")
+    wanted = texts.join(own, texts["id"].eqNullSafe(own["rep"]) & (texts["seal"] == own["seal"])).select("text", "digest", "part", "block")
+    sets = written(wanted.mapInArrow(partial(_sets, keys=keys), "digest binary, part long, block long, hashes binary"), "sets")
     names = ["part", "block"]
     links = written(_linked(dealt(sets, names, "digest"), names, num, den), "links")
     labels = components(links)

@@ -1,29 +1,35 @@
 """Pre-tokens of the two public byte-level vocabularies, split as their library splits them.
 
-The library's own split is exact for every text, and slow. Texts of ASCII and Latin letters (PLAIN) are
-split here, many at a time, from the classes of their bytes; all others go through the library. Both
-give the same pieces. A pre-token's tokens depend on it alone, so each is encoded once and kept.
+The library's own split is exact and slow. Here many texts are split at a time, from the classes of their
+characters (letter, digit, blank, sign; the library's classes are Unicode's general categories). Texts
+that hold special strings are cut at them first. A pre-token's tokens depend on it alone, so each is
+encoded once and kept.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-from .common import hashed
-
-#: Texts that are split here: ASCII with the common blanks, and letters up to U+017F but the dotted I.
-PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]*")
 #: Encoded pre-tokens that one Python process keeps at the most.
 MAX_CACHED = 120_000
 BLANK, LETTER, DIGIT, SIGN = range(4)
-CLASSES = np.full(256, SIGN, np.uint8)
-CLASSES[[9, 10, 13, 32]] = BLANK
+CLASSES = np.full(128, SIGN, np.uint8)
+CLASSES[[9, 10, 11, 12, 13, 32]] = BLANK
 CLASSES[48:58] = DIGIT
-CLASSES[65:91] = CLASSES[97:123] = CLASSES[128:] = LETTER
+CLASSES[65:91] = CLASSES[97:123] = LETTER
+
+
+@lru_cache(1)
+def all_classes() -> np.ndarray:
+    """The class of every code point."""
+    kinds = {"L": LETTER, "N": DIGIT}
+    out = np.array([kinds.get(unicodedata.category(c)[0], SIGN) for c in map(chr, range(0x110000))], np.uint8)
+    out[[i for i in range(0x3001) if chr(i).isspace() and not 0x1C <= i <= 0x1F]] = BLANK
+    return out
 
 
 @lru_cache(4)
@@ -45,8 +51,23 @@ def specials(library) -> tuple[str, ...]:
     return tuple(x.content for x in library.get_added_tokens_decoder().values())
 
 
-def is_plain(text: str, special: tuple[str, ...]) -> bool:
-    return PLAIN.fullmatch(text) is not None and not any(x in text for x in special)
+def parts(text: str, special: tuple[str, ...]) -> list[str]:
+    """A text cut at special strings; one more part than there are of them."""
+    out = [text]
+    for x in special:
+        if x in text:
+            out = [y for part in out for y in part.split(x)]
+    return out
+
+
+def lowered(text: str, special: tuple[str, ...]) -> str | None:
+    """The text as the vocabulary of lower case has it; None if that takes the library: special strings, what
+    is not composed, and the letter whose lower case depends on its neighbours."""
+    if text.isascii():
+        return None if any(x in text for x in special) else text.lower()
+    if "\u03a3" in text or any(x in text for x in special) or not unicodedata.is_normalized("NFC", text):
+        return None
+    return text.lower()
 
 
 @lru_cache(1)
@@ -73,15 +94,18 @@ def _contractions(data: np.ndarray, kind: np.ndarray, start: np.ndarray, at: np.
     start[after[kind[after] == LETTER]] = True
 
 
-def split(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, end and row of the pre-tokens of plain texts, given as bytes and row offsets.
+def split(texts: list[str], spaced: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, and start, end and row of their pre-tokens in them.
 
     spaced: a blank belongs to the piece after it, digits stay together and every byte is in a piece;
     else blanks are dropped and every digit is a piece (such texts are lower-cased before).
     """
-    size = len(data)
-    data = np.concatenate([data, np.zeros(3, np.uint8)])
-    kind = CLASSES[data]
+    offsets = np.cumsum([0, *map(len, texts)])
+    joined = "".join(texts)
+    size, raw = len(joined), joined.encode()
+    codes = np.frombuffer(raw, np.uint8) if size == len(raw) else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    data = np.concatenate([codes, np.zeros(3, codes.dtype)])
+    kind = (CLASSES if size == len(raw) else all_classes())[data]
     kind[size:] = BLANK
     first = np.zeros(size + 3, bool)
     first[offsets[:-1]] = True
@@ -112,7 +136,10 @@ def split(data: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarr
         begin = np.flatnonzero(start[:size])
         end = np.append(begin[1:], size) if len(begin) else begin
     row = np.searchsorted(offsets, begin, "right") - 1
-    return hashed(data, begin, end), begin, end, row
+    if size < len(raw):
+        place = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))])
+        begin, end = place[begin], place[end]
+    return raw, begin, end, row
 
 
 def _guarded(data: np.ndarray, kind: np.ndarray, start: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:

@@ -4,15 +4,17 @@ rows, empty tables and clashing columns."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.llm import decontam, flac, langid, packing, pii, secrets, sharding, simjoin, tokencount, urlfilter
-from logweir.llm.common import crc_mod, new_path, sample_below
+from logweir.llm.common import LENGTH_BASE, crc_mod, distinct, hashed, mixed, new_path, sample_below, sorting_hash
 from logweir.llm.tokens import tokenizer, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -556,6 +558,116 @@ def test_words_that_break_polynomial_hashes(spark, monkeypatch, n):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_components(table).collect()} == plain_components(list(enumerate(texts)), 4, 85, 100)
 
 
+def colliding_words():
+    """Two words of 16 letters with one sorting_hash: first halves whose states differ in the low bits of each
+    byte alone, and second halves that differ by just these bits."""
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    halves = letters[rng.integers(0, 26, (60_000, 8))]
+    state = mixed(np.array([16], np.uint64) * np.uint64(LENGTH_BASE) ^ halves.copy().view("<u8")[:, 0])
+    order = np.argsort(state & np.uint64(0xE0E0E0E0E0E0E0E0))
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        apart = (state[a] ^ state[b]).tobytes()
+        ends = [next(((x, x ^ d) for x in range(97, 123) if 97 <= x ^ d < 123), None) for d in apart] if not any(d & 0xE0 for d in apart) else [None]
+        if all(ends):
+            return (halves[a].tobytes() + bytes(x for x, _ in ends)).decode(), (halves[b].tobytes() + bytes(y for _, y in ends)).decode()
+    raise AssertionError("no pair")
+
+
+def test_words_that_meet_in_a_hash(spark, monkeypatch):
+    """Bytes decide in op4 and op9, digests and keys of the job in op10, spelled words in op7."""
+    one, other = colliding_words()
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    start, end = np.array([0, 16]), np.array([16, 32])
+    assert one != other and len(np.unique(sorting_hash(data, start, end))) == 1 and len(np.unique(hashed(data, start, end))) == 2
+    assert distinct(data, np.repeat(start, 3), np.repeat(end, 3))[1].tolist() == [0, 0, 0, 1, 1, 1]
+    texts = [f"{one} {other}", f"{one} {one}", f"{other} {other}", f"{other} {one}", f"one two {one} three four", f"one two {other} three four"] * 2 + [f"{one} {other} " * 30]
+    table = frame(spark, texts)
+    library = tokenizer(vocabulary(packing.VOCABULARY))
+    ids = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(table).collect()} == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in enumerate(ids)}
+    library = tokenizer(vocabulary(tokencount.VOCABULARY))
+    for most in (400_000, 3, 1):
+        monkeypatch.setattr(tokencount, "HEAD_TOKENS", most)
+        assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(table).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    head = tokencount.Head([one.encode(), other.encode(), b"x"], [1, 2, 3])
+    assert sorted(head.tokens_of((one + other).encode(), start, end).tolist()) in ([-1, 1], [-1, 2])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_components(table).collect()} == plain_components(list(enumerate(texts)), 4, 85, 100)
+    items = [(1, texts[0]), (2, texts[1]), (3, f"{one} {other} " * 8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+        assert {r.doc_id: (r.n_hit, r.n_items) for r in decontam.find_contamination(table, benchmark).collect()} == {i: (h, len(f)) for i, t in enumerate(texts) for _, h, f in [plain_hits(t, items)]}
+
+
+def test_spans_that_meet_in_a_hash(spark, monkeypatch):
+    """Spans are compared as spelled: with a hash of spans that says nothing, too."""
+    monkeypatch.setattr(decontam, "grams", lambda word, k: np.zeros(max(0, len(word) - k + 1), np.uint64))
+    random.seed(4)
+    texts = [" ".join(random.choice("abc") for _ in range(n)) for n in (40, 30, 13, 5)]
+    items = [(i, " ".join(random.choice("abc") for _ in range(n))) for i, n in enumerate([3, 3, 4, 40])] + [(9, texts[0][5:45])]
+    index, doc = decontam.Index([str(i) for i, _ in items], [t for _, t in items]), decontam.Text(pa.array(texts, pa.large_string()))
+    found = {i: set() for i in range(4)}
+    for at, m, which, spans in index.hits(doc):
+        for p, x in zip(at.tolist(), which.tolist(), strict=True):
+            found[int(doc.row[p])] |= {(p - int(doc.first[doc.row[p]]), m, items[i][0]) for i in spans.item[spans.first[x] : spans.first[x + 1]].tolist()}
+    for r, t in enumerate(texts):
+        own, expected = t.split(), set()
+        for i, x in items:
+            words, m = x.split(), min(13, len(x.split()))
+            windows = {tuple(words[a : a + m]) for a in range(len(words) - m + 1)}
+            expected |= {(p, m, i) for p in range(len(own) - m + 1) if tuple(own[p : p + m]) in windows}
+        assert found[r] == expected
+
+
+def test_join_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, are read again one by one, not with each other's texts."""
+    random.seed(12)
+    pool = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(600):
+        own = [random.choice(pool) for _ in range(60)]
+        rows += [(None if i % 3 else 7, " ".join(own)), (None if i % 3 else 7, " ".join([*own, "end"]))]
+    began = time.time()
+    found = simjoin.jaccard_components(spark.createDataFrame([*rows, (3, rows[0][1]), (9, rows[2][1])], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter({(None, None): 798, (None, 9): 2, (7, 7): 398, (7, 3): 2, (3, 3): 1, (9, 9): 1})
+    assert time.time() - began < 60
+
+
+def test_repeated_words_take_linear_time(spark, monkeypatch):
+    """A document and an item of 20,000 equal words, and of two words in random order, in both forms."""
+    random.seed(8)
+    pair = " ".join(random.choice(["a", "b"]) for _ in range(20_000))
+    texts = ["w " * 20_000, pair, "x " + "w " * 12, "w w " * 7]
+    benchmark = spark.createDataFrame([(1, "w " * 20_000), (2, pair), (3, "w " * 14)], "item_id long, text string")
+    table = frame(spark, texts)
+    for most in (1 << 24, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+        began = time.time()
+        rows = {r.doc_id: (r.n_hit, r.item_ids) for r in decontam.find_contamination(table, benchmark).collect()}
+        assert rows == {0: (20_000, ["1", "3"]), 1: (20_000, ["2"]), 2: (0, []), 3: (14, ["1", "3"])}
+        assert time.time() - began < 30
+
+
+def test_tokens_of_all_scripts(spark):
+    """Texts of many scripts, signs and blanks are split as the library splits them, and their common
+    pre-tokens are in the head."""
+    random.seed(3)
+    pools = ["abcXYZ 'sltmdrev\n\t 019.,!?", "привет Мир ЖЩ 123 ", "你好世界。，「」 ", "“”‘’—–… it's don’t I'll", "ΣσςάΑ ", "é ö ü ñ ß İ ı ſ", "é a\u0308 \u0300", "\xa0\u2003\u3000 \x0b\x0c\x1c\x1f\x85 ", "😀👍🏽 ½ ² ٣ Ⅷ", "<|endoftext|>", "हिन्दी ไทย", "\u0378\ufffe"]
+    texts = ["".join(random.choice(p) for p in ["".join(random.sample(pools, random.randrange(1, 4)))] for _ in range(random.randrange(40))) for _ in range(1500)]
+    table = frame(spark, texts)
+    library = tokenizer(vocabulary(tokencount.VOCABULARY))
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(table).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    library = tokenizer(vocabulary(packing.VOCABULARY))
+    encoder = packing.Encoder(packing.VOCABULARY)
+    assert all(library.encode(t, add_special_tokens=False).ids == x.tolist() for t, x in zip(texts, encoder.encode(texts), strict=True))
+    rows = [r.asDict() for r in spark.createDataFrame([("“Привет, мир” — сказал он. " * 20 + "“你好”",)], "text string").collect()]
+    splitter = tokencount.Splitter(tokencount.VOCABULARY)
+    joined, start, end, *_ = splitter.split([rows[0]["text"]])
+    head = tokencount.Head([" сказал".encode()], [2])
+    assert head.tokens_of(joined, start, end).tolist().count(2) == 1
+
+
 def test_winnowing_keeps_its_promise():
     rng = np.random.default_rng(7)
     for _ in range(100):
