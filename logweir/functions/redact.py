@@ -2,7 +2,8 @@
 
 An IPv4 address is four numbers up to 255, of at most three digits each, with dots between and neither
 letter, digit nor underscore beside them. An IPv6 address stands between blanks: eight groups of one to
-four hexadecimal digits, or fewer with one `::` for those left out; one of a link may have a zone.
+four hexadecimal digits, or fewer with one `::` for those left out; one of a link may have a zone. So an
+IPv6 address in brackets, after a sign or before a comma stays.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 from ..paths import rebuild, strings
 
 MARK = "REDACTED"
+#: One to three digits that are no more than 255, and four of them in a row.
+NUMBER = "(?!25[6-9]|(?:2[6-9]|[3-9][0-9])[0-9])[0-9]{1,3}"
+FOUR = rf"(?<![0-9A-Za-z_])(?:{NUMBER}\.){{3}}{NUMBER}(?![0-9A-Za-z_])"
+#: What a word that can be an IPv6 address begins with.
+SIX = r"(?<!\S)[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"
 
 
 def _pieces(text: Column, inside: str, change) -> Column:
@@ -21,20 +27,6 @@ def _pieces(text: Column, inside: str, change) -> Column:
     return F.array_join(F.transform(cut, change), "")
 
 
-def _four(piece: Column) -> Column:
-    """A dotted piece, its labels taken from the left: the fourth number in a row ends an address."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("run"))
-
-    def step(state, label):
-        number = F.length(label).between(1, 3) & F.coalesce(F.translate(label, "0123456789", "") == "", F.lit(False)) & (label.try_cast("int") <= 255)
-        full = number & (state["run"] == 3)
-        done = F.when(full, F.concat(F.slice(state["done"], 1, F.size(state["done"]) - 3), F.array(F.lit(MARK)))).otherwise(F.concat(state["done"], F.array(label)))
-        return F.struct(done.alias("done"), F.when(number & ~full, state["run"] + 1).otherwise(0).alias("run"))
-
-    dots = F.length(piece) - F.length(F.replace(piece, F.lit("."), F.lit("")))
-    return F.when(dots >= 3, F.aggregate(F.split(piece, r"\."), start, step, lambda s: F.array_join(s["done"], "."))).otherwise(piece)
-
-
 def _groups(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
@@ -49,13 +41,13 @@ def _is_six(word: Column) -> Column:
 
 
 def _six(word: Column) -> Column:
-    return F.when(F.rlike(word, F.lit("^[0-9A-Fa-f]*:[0-9A-Fa-f]*:")), F.when(_is_six(word), F.lit(MARK)).otherwise(word)).otherwise(word)
+    return F.when(F.rlike(word, F.lit(SIX)), F.when(_is_six(word), F.lit(MARK)).otherwise(word)).otherwise(word)
 
 
 def redact_text(column: Column) -> Column:
     """A text without its IPv4 and IPv6 addresses; texts that can hold none are left as they are."""
-    four = F.when(F.rlike(column, F.lit(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]")), _pieces(column, "[0-9A-Za-z_.]", _four)).otherwise(column)
-    return F.when(F.rlike(four, F.lit(":[0-9A-Fa-f]*:")), _pieces(four, r"\S", _six)).otherwise(four)
+    four = F.regexp_replace(column, FOUR, MARK)
+    return F.when(F.rlike(four, F.lit(SIX)), _pieces(four, r"\S", _six)).otherwise(four)
 
 
 def redact_ip(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Mapping of events to fixed tables: one select, with an expression for each field.
 
 Events are a table with a VARIANT column (see as_variant), so that a path may be missing, or hold other
-types, from row to row. Every option is a Column expression; flat maps, which follow any depth, are made in
-Arrow batches (see nested.py).
+types, from row to row. Every option is a Column expression; flat maps are made level by level, in selects
+of their own (see nested.py).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nested import each_flat, flat_entries
+from .nested import LEVELS, each_flat, entries_map, flat_entries, top_entries
 
 #: Bounds of the unsigned and small types.
 BOUNDS = {"uint8": (0, 2**8 - 1), "uint32": (0, 2**32 - 1), "uint64": (0, 2**64 - 1), "int32": (-(2**31), 2**31 - 1)}
@@ -202,7 +202,9 @@ def _source(event: Column, f: Field) -> Column:
     column and no struct, since Catalyst would put what a struct holds in the place of each of its fields."""
     if f.pick:
         return F.array(*(_first(event, ps, "string" if f.kind == "flat_map" else "variant") for _, ps in f.pick))
-    if f.kind == "flat_map" or f.kind == "json":
+    if f.kind == "flat_map":
+        return top_entries(_first(event, f.paths), f.exclude, f.elevate)
+    if f.kind == "json":
         return F.to_json(_first(event, f.paths))
     if f.kind.startswith("array_"):
         return F.coalesce(*(_many(event, p) for p in f.paths))
@@ -217,12 +219,9 @@ def _picked(source: Column, f: Field) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
 
 
-def _flat(event: Column, source: Column, f: Field) -> Column:
-    if not f.pick:
-        return flat_entries(source, f.exclude, f.elevate)
-    some = F.exists(source, lambda x: x.isNotNull())
-    whole = F.when(~some, F.to_json(_first(event, f.paths)))
-    return F.when(some, _picked(source, f)).otherwise(flat_entries(whole, f.exclude, f.elevate))
+def _some(source: Column, f: Field) -> Column:
+    """The map of the picked values; null if none of them is there."""
+    return F.when(F.exists(source, lambda x: x.isNotNull()), _picked(source, f))
 
 
 def _array(items: Column, f: Field) -> Column:
@@ -230,7 +229,7 @@ def _array(items: Column, f: Field) -> Column:
     if kind in ("json", "map", "flat_map"):
         if kind == "json":
             return F.coalesce(F.transform(items, lambda x: F.to_json(x)), F.array().cast("array<string>"))
-        return each_flat(F.transform(F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))), lambda x: F.to_json(x)))
+        return each_flat(items)
     make = (lambda x: coerce_time(_get(x, "$", "string"), f.precision)) if kind == "datetime64" else (lambda x: coerce(_get(x, "$", "string"), kind))
     if f.filter_nil:
         items = F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))
@@ -240,7 +239,7 @@ def _array(items: Column, f: Field) -> Column:
 def expression(event: Column, source: Column, f: Field) -> Column:
     """A field's value, from what _source() gives."""
     if f.kind == "flat_map":
-        return _flat(event, source, f)
+        return entries_map(source)
     if f.kind.startswith("array_"):
         return _array(source, f)
     if f.kind == "json":
@@ -264,13 +263,19 @@ def expression(event: Column, source: Column, f: Field) -> Column:
     return F.coalesce(coerce(text, f.kind), default)
 
 
-def map_events(df: DataFrame, fields: Iterable[Field], event: str = "event", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The mapped table of events in a VARIANT column; fields that read mapped ones come in a second select."""
+def map_events(df: DataFrame, fields: Iterable[Field], event: str = "event", keep: tuple[str, ...] = (), levels: int = LEVELS) -> DataFrame:
+    """The mapped table of events in a VARIANT column; fields that read mapped ones come in a second select.
+    Flat maps follow so many levels of objects; what lies deeper is JSON text."""
     fields = list(fields)
-    column = F.col(event)
+    column, source = F.col(event), lambda f: F.col(f"`source:{f.name}`")
+    own = [f for f in fields if not f.from_output]
     # first what the event has at the paths, each once; then what the options make of it
-    found = df.select(*keep, event, *(_source(column, f).alias(f"source:{f.name}") for f in fields if not f.from_output))
-    first = found.select(*keep, *(expression(column, F.col(f"`source:{f.name}`"), f).alias(f.name) for f in fields if not f.from_output))
-    if any(f.from_output for f in fields):
+    found = df.select(*keep, event, *(_source(column, f).alias(f"source:{f.name}") for f in own))
+    picked = [f for f in own if f.kind == "flat_map" and f.pick]
+    whole = {f"whole:{f.name}": F.when(~F.exists(source(f), lambda x: x.isNotNull()), top_entries(_first(column, f.paths), f.exclude, f.elevate)) for f in picked}
+    found = flat_entries(found.withColumns(whole) if whole else found, [f"source:{f.name}" for f in own if f.kind == "flat_map" and not f.pick] + list(whole), levels)
+    value = lambda f: F.coalesce(_some(source(f), f), entries_map(F.col(f"`whole:{f.name}`"))) if f in picked else expression(column, source(f), f)
+    first = found.select(*keep, *(value(f).alias(f.name) for f in own))
+    if len(own) < len(fields):
         first = first.select("*", *(expression(column, F.col(f"`{f.from_output}`").cast("string"), f).alias(f.name) for f in fields if f.from_output))
     return first.select(*keep, *(F.col(f"`{f.name}`") for f in fields))

@@ -1,136 +1,173 @@
-"""Nested JSON of any depth as flat entries and as paths with types.
+"""Nested values of any shape as flat entries, and as paths with types: built-in functions over VARIANTs.
 
-Built-in functions follow a fixed number of levels only, so these few walk the parsed text in Python, in
-Arrow batches: what they need of an event is its JSON text, what they give is an array or a map.
+Each level is a select. It takes the entries whose values are objects apart from those that are flat, and
+goes on with the children of the former alone; so an event of three levels costs the other selects nothing.
+LEVELS are followed unless others are asked for, and object_depth() finds by one aggregate how many a
+table needs. Objects that lie deeper stay what they are: an entry with JSON text, a node of type map.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTRIES = pa.map_(pa.string(), pa.string())
-
-
-#: A fraction is kept as it is written: as a text after this mark, which no other text then begins with.
-MARK = "\x02"
-_MARKED = re.compile(r'"\\u0002([^"]*)"')
-_ENCODED = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
-_EXACT, _PLAIN = json.JSONDecoder(parse_float=lambda x: MARK + x, parse_constant=lambda x: MARK + x), json.JSONDecoder()
-
-
-def parsed(text: str | None):
-    """The value of a JSON text, fractions as they are written; None where it is none."""
-    try:
-        return None if text is None else (_PLAIN if "\\u0002" in text else _EXACT).decode(text)
-    except (ValueError, RecursionError):
-        return None
-
-
-def as_text(value) -> str | None:
-    """A value as text: scalars plain, lists and objects as JSON."""
-    if isinstance(value, str):
-        return value[1:] if value.startswith(MARK) else value
-    if isinstance(value, (list, dict)):
-        shown = _ENCODED(value)
-        return _MARKED.sub(r"\1", shown) if "\\u0002" in shown else shown
-    return None if value is None else ("true" if value else "false") if isinstance(value, bool) else str(value)
-
-
-def entries(value, exclude: tuple[str, ...] = (), elevate: tuple[str, ...] = ()) -> dict[str, str]:
-    """Dotted keys with texts: nulls are left out, lists are JSON. Of an object's keys some are excluded, and
-    the children of some come in their place, unless the object has the child's key itself."""
-    if not isinstance(value, dict):
-        return {}
-    top = {k: v for k, v in value.items() if k not in exclude}
-    lifted = [top.pop(k) for k in elevate if isinstance(top.get(k), dict)]
-    for inner in lifted:
-        top |= {k: v for k, v in inner.items() if k not in top}
-    out: dict[str, str] = {}
-    waiting = [("", top)]
-    while waiting:
-        prefix, level = waiting.pop()
-        for k, v in level.items():
-            if isinstance(v, dict):
-                waiting.append((f"{prefix}{k}.", v))
-            elif v is not None:
-                out.setdefault(prefix + k, as_text(v))
-    return out
-
-
-def typed(value) -> str | None:
-    """The type of a value, as schemas name it; None for null, empty lists and lists of lists."""
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer" if -(2**63) <= value < 2**63 else "float"
-    if isinstance(value, float) or isinstance(value, str) and value.startswith(MARK):
-        return "float"
-    if isinstance(value, list):
-        kinds = {typed(x) for x in value if x is not None}
-        if not kinds or None in kinds or any(isinstance(x, list) for x in value):
-            return None
-        kind = kinds.pop() if len(kinds) == 1 else "float" if kinds == {"integer", "float"} else "variant"
-        return "map" if kind == "map" else f"list<{kind}>"
-    return "map" if isinstance(value, dict) else None if value is None else "string"
-
-
-def paths(value) -> dict[tuple[str, str], None]:
-    """(path, type) of every node of an object, through the objects of lists too."""
-    found: dict[tuple[str, str], None] = {}
-    waiting = [("", value)] if isinstance(value, dict) else []
-    while waiting:
-        prefix, level = waiting.pop()
-        for k, v in level.items():
-            if kind := typed(v):
-                found[prefix + k, kind] = None
-            waiting += [(f"{prefix}{k}.", x) for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)]
-    return found
-
-
-def _maps(rows: Iterator[dict[str, str]]) -> pa.Array:
-    rows = list(rows)
-    offsets = [0]
-    for x in rows:
-        offsets.append(offsets[-1] + len(x))
-    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([k for x in rows for k in x], pa.string()), pa.array([v for x in rows for v in x.values()], pa.string()))
-
-
-def flat_entries(text: Column, exclude: tuple[str, ...] = (), elevate: tuple[str, ...] = ()) -> Column:
-    """The map of an object's entries, from its JSON text; empty where it is none."""
-
-    @F.arrow_udf("map<string,string>")
-    def flat(texts: pa.Array) -> pa.Array:
-        return _maps(entries(parsed(x), exclude, elevate) for x in texts.to_pylist())
-
-    return flat(text)
-
-
-def each_flat(texts: Column) -> Column:
-    """The maps of an array of JSON texts."""
-
-    @F.arrow_udf("array<map<string,string>>")
-    def flat(lists: pa.Array) -> pa.Array:
-        rows = [x or [] for x in lists.to_pylist()]
-        offsets = [0]
-        for x in rows:
-            offsets.append(offsets[-1] + len(x))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _maps(entries(parsed(t)) for x in rows for t in x))
-
-    return flat(texts)
-
-
-def node_types(text: Column) -> Column:
-    """(path, type) of the nodes of a JSON text."""
-    found: Callable[[str | None], list] = lambda x: [{"path": p, "type": t} for p, t in paths(parsed(x))]
-
-    @F.arrow_udf("array<struct<path:string,type:string>>")
-    def nodes(texts: pa.Array) -> pa.Array:
-        return pa.array([found(x) for x in texts.to_pylist()], pa.list_(pa.struct([("path", pa.string()), ("type", pa.string())])))
-
-    return nodes(text)
+#: Levels of objects that are followed, and those in the objects of lists.
+LEVELS, LIST_LEVELS = 12, 8
+OBJECT = "map<string,variant>"
+ENTRIES = "array<struct<key:string,value:variant>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's value, with `value` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def children(value: Column) -> Column:
+    """An object's values by key; null for what is no object."""
+    return F.try_variant_get(value, "$", OBJECT)
+
+
+def _is_object(e: Column) -> Column:
+    return children(e["value"]).isNotNull()
+
+
+def _is_flat(e: Column) -> Column:
+    return children(e["value"]).isNull()
+
+
+def object_depth(df: DataFrame, column: str) -> int:
+    """The most objects that lie within each other in the column (VARIANT): one aggregate over its texts."""
+    bare = F.regexp_replace(F.to_json(F.col(column)), r'"(?:[^"\\]|\\.)*"|[^{}]', "")
+    steps = F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), _opened, lambda s: s["most"])
+    return df.agg(F.max(steps)).first()[0] or 0
+
+
+def _opened(state: Column, sign: Column) -> Column:
+    now = state["now"] + F.when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+    return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+
+# flat entries
+
+
+def top_entries(value: Column, exclude: tuple[str, ...] = (), elevate: tuple[str, ...] = ()) -> Column:
+    """The entries of an object's keys; empty for what is none. Some keys are excluded, and the children of
+    some come in their place, unless the object has the child's key itself."""
+    top = F.coalesce(F.map_entries(children(value)), F.array().cast(ENTRIES))
+    top = F.filter(top, lambda e: ~e["key"].isin(*exclude)) if exclude else top
+    for name in elevate:
+        top = _elevated(top, name)
+    return top
+
+
+def _elevated(top: Column, name: str) -> Column:
+    """The entries with those of one entry's object in its place. (A lambda's second parameter would be a place.)"""
+
+    def lifted(entries: Column) -> Column:
+        goes = lambda e: (e["key"] == name) & _is_object(e)
+        kept = F.filter(entries, lambda e: ~goes(e))
+        below = F.flatten(F.transform(F.filter(entries, goes), lambda e: F.map_entries(children(e["value"]))))
+        return F.concat(kept, let(F.transform(kept, lambda e: e["key"]), lambda keys: F.filter(below, lambda e: ~F.array_contains(keys, e["key"]))))
+
+    return let(top, lifted)
+
+
+def _below(entries: Column) -> Column:
+    """The children of entries that are objects, under dotted keys."""
+    return F.flatten(F.transform(entries, lambda e: F.transform(F.map_entries(children(e["value"])), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))))
+
+
+def flat_entries(df: DataFrame, columns: list[str], levels: int = LEVELS) -> DataFrame:
+    """df with arrays of entries (from top_entries) made flat; the less deep come first."""
+    if not columns:
+        return df
+    name = lambda kind, c: F.col(f"`{kind}:{c}`")
+    df = df.withColumns({f"{kind}:{c}": F.filter(F.col(f"`{c}`"), test) for c in columns for kind, test in (("flat", _is_flat), ("deep", _is_object))})
+    for _ in range(1, levels):
+        df = df.withColumns({f"next:{c}": _below(name("deep", c)) for c in columns})
+        df = df.withColumns({f"flat:{c}": F.concat(name("flat", c), F.filter(name("next", c), _is_flat)) for c in columns} | {f"deep:{c}": F.filter(name("next", c), _is_object) for c in columns})
+    df = df.withColumns({c: F.concat(name("flat", c), name("deep", c)) for c in columns})
+    return df.drop(*(f"{kind}:{c}" for c in columns for kind in ("flat", "deep", "next")))
+
+
+def entries_map(entries: Column) -> Column:
+    """The map of keys and texts (scalars plain, lists and objects as JSON). Nulls are left out; of entries that
+    come to one key the first stays."""
+
+    def once(x: Column) -> Column:
+        def firsts(keys: Column) -> Column:
+            return F.when(F.size(F.array_distinct(keys)) == F.size(keys), x).otherwise(F.filter(x, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+
+        return let(F.transform(x, lambda e: e["key"]), firsts)
+
+    kept = let(F.filter(entries, lambda e: ~F.is_variant_null(e["value"])), once)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value"))))
+
+
+def each_flat(objects: Column, levels: int = LIST_LEVELS) -> Column:
+    """The maps of an array of variants, those of objects alone."""
+
+    def flat(x: Column) -> Column:
+        entries = top_entries(x)
+        for _ in range(1, levels):
+            entries = let(entries, lambda y: F.concat(F.filter(y, _is_flat), _below(F.filter(y, _is_object))))
+        return entries_map(entries)
+
+    return F.transform(F.filter(objects, lambda x: children(x).isNotNull()), flat)
+
+
+# paths and types
+
+
+def _scalar(value: Column) -> Column:
+    def named(kind: Column) -> Column:
+        whole = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+        return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(whole, "integer").when(F.rlike(kind, F.lit("^(DECIMAL|DOUBLE|FLOAT)")), "float").when(kind == "VOID", None).otherwise("string")
+
+    return let(F.schema_of_variant(value), named)
+
+
+def _items(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _type(value: Column) -> Column:
+    """As schemas name it; null for null, empty lists and lists of lists."""
+
+    def of_list(items: Column) -> Column:
+        def named(kinds: Column) -> Column:
+            numbers = F.array_contains(kinds, "integer") & F.array_contains(kinds, "float") & (F.size(kinds) == 2)
+            one = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).when(numbers, "float").otherwise("variant")
+            return F.when(F.get(kinds, F.lit(0)).eqNullSafe("map") & (F.size(kinds) == 1), "map").otherwise(F.concat(F.lit("list<"), one, F.lit(">")))
+
+        kinds = F.array_distinct(F.transform(items, lambda x: F.when(children(x).isNotNull(), "map").otherwise(_scalar(x))))
+        return F.when((F.size(items) == 0) | F.exists(items, lambda x: _items(x).isNotNull()), None).otherwise(let(kinds, named))
+
+    there = let(_items(value), lambda items: F.filter(items, lambda x: ~F.is_variant_null(x)))
+    return F.when(children(value).isNotNull(), "map").otherwise(let(there, lambda items: F.when(items.isNull(), _scalar(value)).otherwise(of_list(items))))
+
+
+def _holds(node: Column) -> Column:
+    """Whether nodes may lie below: of an object, or of the objects of a list."""
+    return _is_object(node) | F.coalesce(F.exists(_items(node["value"]), lambda x: children(x).isNotNull()), F.lit(False))
+
+
+def _nodes_below(nodes: Column) -> Column:
+    def below(n: Column) -> Column:
+        lists = F.flatten(F.transform(F.filter(_items(n["value"]), lambda x: children(x).isNotNull()), lambda x: F.map_entries(children(x))))
+        return F.transform(F.coalesce(F.map_entries(children(n["value"])), lists), lambda c: F.struct(F.concat(n["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
+
+    return F.flatten(F.transform(nodes, below))
+
+
+def node_types(df: DataFrame, column: str, levels: int = LEVELS) -> DataFrame:
+    """df with the column (VARIANT) as an array of (path, type) of the nodes of an object, each once."""
+    typed = lambda c: F.transform(F.col(f"`{c}`"), lambda n: F.struct(n["key"].alias("path"), _type(n["value"]).alias("type")))
+    df = df.withColumn("next:", top_entries(F.col(f"`{column}`"))).withColumns({"deep:": F.filter("`next:`", _holds), "all:": typed("next:")})
+    for _ in range(1, levels):
+        df = df.withColumn("next:", _nodes_below(F.col("`deep:`")))
+        df = df.withColumns({"deep:": F.filter("`next:`", _holds), "all:": F.concat("`all:`", typed("next:"))})
+    found = F.array_distinct(F.filter("`all:`", lambda x: x["type"].isNotNull()))
+    return df.withColumn(column, found).drop("next:", "deep:", "all:")

@@ -21,30 +21,44 @@ def rate_per_second(df: DataFrame, source: str = "source", time: str = "timestam
 BLOCK_SECONDS = 86_400
 
 
-def rolling_rate(df: DataFrame, seconds: int = 60, source: str = "source", time: str = "timestamp") -> DataFrame:
-    """Each second between a source's first and last: its rate, sum and average (rounded up) of the last
-    seconds, quiet ones included, and the highest rate so far.
-
-    A source is cut into blocks of a day. The seconds before a block that its sums reach back to go with
-    it, and so does the highest rate of the blocks before, so that no source is one task."""
-    span, back = max(BLOCK_SECONDS, seconds), seconds - 1
-    start = F.col("block") * span
-    rates = rate_per_second(df, source, time).filter("timestamp is not null")
-    rates = rates.select(F.col(source).alias("source"), F.unix_seconds("timestamp").alias("second"), "rate").withColumn("block", F.floor(F.col("second") / span))
-    ends = rates.groupBy("source").agg(F.min("second").alias("low"), F.max("second").alias("high"))
-    every = ends.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / span), F.floor(F.col("high") / span))))
-    tops = every.withColumn("top", F.lit(0).cast("long")).unionByName(rates.select("source", F.col("rate").alias("top"), "block"), allowMissingColumns=True)
-    blocks = tops.groupBy("source", "block").agg(*(F.max(x).alias(x) for x in ("low", "high", "top")))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
-    blocks = blocks.withColumn("before", F.coalesce(F.max("top").over(earlier), F.lit(0)))
-    grid = blocks.withColumn("second", F.explode(F.sequence(F.greatest(F.col("low"), start - back), F.least(F.col("high"), start + span - 1))))
-    near = F.when(F.col("second") + back >= start + span, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))
-    rows = grid.select("source", "block", "second", F.lit(0).cast("long").alias("rate"), "before").unionByName(rates.withColumn("block", F.explode(near)).withColumn("before", F.lit(0).cast("long")))
-    filled = rows.repartition("source", "block").groupBy("source", "block", "second").agg(F.sum("rate").alias("rate"), F.max("before").alias("before"))
-    order = Window.partitionBy("source", "block").orderBy("second")
-    total, top = F.sum("rate").over(order.rowsBetween(-back, 0)), F.max("rate").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rolled = filled.withColumn("sum", total).withColumn("max", F.greatest(top, "before")).filter(F.col("second") >= start)
-    return rolled.select(F.col("source").alias(source), F.timestamp_seconds("second").alias("timestamp"), "rate", "sum", F.ceil(F.col("sum") / F.lit(seconds)).alias("average"), "max")
+def rolling_intervals(df: DataFrame, seconds: int = 60, source: str = "source", time: str = "timestamp") -> DataFrame:
+    """The rolling rate of each source as intervals of seconds, `start` to `end` (excluded), in which nothing
+    changes, from its first second to its last: rate, sum and average (rounded up) of the last seconds, and
+    the highest rate so far.
+
+    A sweep over changes: a second with events raises the rate and the sum, the next one lowers the rate, and
+    the one `seconds` later the sum. So the work follows the events, however far apart they lie. A source is
+    cut into blocks of a day, which take over the sums and the highest rate from those before (a row for each
+    day with a change), so that no source is one task."""
+    span = max(BLOCK_SECONDS, seconds)
+    rates = rate_per_second(df, source, time).filter("timestamp is not null").select(F.col(source).alias("source"), F.unix_seconds("timestamp").alias("second"), "rate")
+    none, rate = F.lit(0).cast("long"), F.col("rate")
+    change = lambda after, now, total, top: F.struct((F.col("second") + after).alias("second"), now.alias("now"), total.alias("total"), top.alias("top"))
+    changes = rates.select("source", F.explode(F.array(change(0, rate, rate, rate), change(1, -rate, none, none), change(seconds, none, -rate, none))).alias("x")).select("source", "x.*")
+    changes = changes.groupBy("source", "second").agg(*(F.sum(x).alias(x) for x in ("now", "total")), F.max("top").alias("top"), F.max(F.col("top") > 0).alias("own"))
+    changes = changes.withColumn("block", F.floor(F.col("second") / span)).withColumn("new", F.expr("now != 0 or total != 0"))
+    blocks = changes.groupBy("source", "block").agg(*(F.sum(x).alias(x) for x in ("now", "total")), F.max("top").alias("top"), F.min(F.when(F.col("new"), F.col("second"))).alias("first"), F.max(F.when(F.col("own"), F.col("second"))).alias("last"))
+    by_block = Window.partitionBy("source").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(how(x).over(earlier), none).alias(f"{x}_before") for x, how in (("now", F.sum), ("total", F.sum), ("top", F.max))]
+    blocks = blocks.select(F.col("source").alias("of"), F.col("block").alias("day"), *before, F.first("first", True).over(by_block.rowsBetween(1, Window.unboundedFollowing)).alias("next"), (F.max("last").over(Window.partitionBy("source")) + 1).alias("stop"))
+    within = Window.partitionBy("source", "block").orderBy("second")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    rolled = changes.filter("new").join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("day"))).select(
+        "source", F.col("second").alias("start"), F.least(F.coalesce(F.lead("second").over(within), "next", "stop"), "stop").alias("end"),
+        (F.sum("now").over(so_far) + F.col("now_before")).alias("rate"), (F.sum("total").over(so_far) + F.col("total_before")).alias("sum"), F.greatest(F.max("top").over(so_far), "top_before").alias("max"),
+    )
+    kept = rolled.filter(F.col("start") < F.col("end"))
+    return kept.select(F.col("source").alias(source), "start", "end", "rate", "sum", F.ceil(F.col("sum") / F.lit(seconds)).alias("average"), "max")
+
+
+def rolling_rate(df: DataFrame, seconds: int = 60, source: str = "source", time: str = "timestamp", low: str | None = None, high: str | None = None) -> DataFrame:
+    """Each second of the rolling intervals, quiet ones included; those from `low` to `high` if times are given."""
+    found = rolling_intervals(df, seconds, source, time)
+    first = F.greatest("start", F.unix_seconds(F.lit(low).cast("timestamp"))) if low else F.col("start")
+    last = F.least(F.col("end") - 1, F.unix_seconds(F.lit(high).cast("timestamp"))) if high else F.col("end") - 1
+    each = found.withColumn("first_", first).withColumn("last_", last).filter("first_ <= last_").withColumn("second_", F.explode(F.sequence("first_", "last_")))
+    return each.select(source, F.timestamp_seconds("second_").alias("timestamp"), "rate", "sum", "average", "max")
 
 
 def quota_status(counts: DataFrame, source_limits: DataFrame, user_limits: DataFrame, window: int = 60) -> DataFrame:

@@ -86,7 +86,8 @@ def flatten_schema(spark: SparkSession, schema: StructType) -> DataFrame:
 def variant_paths(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, type) of every node of JSON events, at any depth and in the objects of lists; values that
     are null, and lists that are empty or of lists, have no type and are left out."""
-    return df.select(F.col(key).alias("key"), F.explode(node_types(F.col(column))).alias("n")).select("key", "n.path", "n.type")
+    nodes = node_types(df.select(F.col(key).alias("key"), F.explode(F.array(F.try_parse_json(column))).alias("nodes")), "nodes")
+    return nodes.select("key", F.explode("nodes").alias("n")).select("key", "n.path", "n.type")
 
 
 def schema_conflicts(df: DataFrame, schema: StructType, key: str, column: str) -> DataFrame:
@@ -95,7 +96,8 @@ def schema_conflicts(df: DataFrame, schema: StructType, key: str, column: str) -
     wanted = flatten_schema(df.sparkSession, schema).withColumnRenamed("type", "expected")
     found = variant_paths(df, key, column).filter(~F.col("path").isin(*UNCHECKED))
     widened = (F.col("type") == "integer") & (F.col("expected") == "float") | (F.col("type") == "list<integer>") & (F.col("expected") == "list<float>")
-    met = found.join(F.broadcast(wanted), "path").filter((F.col("type") != F.col("expected")) & ~widened)  # a schema has MAX_FIELDS at the most
+    wanted = F.broadcast(wanted) if len(flat_types(schema)) <= MAX_FIELDS else wanted
+    met = found.join(wanted, "path").filter((F.col("type") != F.col("expected")) & ~widened)
     return met.select(F.col("key").alias(key), "path", "type", "expected")
 
 

@@ -12,6 +12,7 @@ from ..operators import filters as f
 from ..operators import keyvalues as k
 from ..operators import rates as n
 from ..operators import routing as r
+from ..operators import rule_index
 from ..plans import stored as z
 from ..rules import ChartRule, RoutingRule
 from ..rules import FilterRule as R
@@ -265,6 +266,37 @@ def by_join(spark, sf_dir):
 
 
 register("r02_match_join", by_join, f"SELECT id, user_id + 100 AS rule_id FROM {LOGS} WHERE level IN ('error', 'info') AND user_id < 200")
+
+
+def mixed_rule(i: int) -> RoutingRule:
+    """One of ten kinds of rules, of one to three conditions of all operators."""
+    user, value, status, message, level = "metadata.user_id", "metadata.value", "metadata.status_code", "event_message", "metadata.level"
+    return RoutingRule(i, {
+        0: (R(user, "=", i), R(value, ">", i % 90)),
+        1: (R(message, "contains", f"user {i}"), R(level, "=", "info", negate=True)),
+        2: (R(value, "range", values=(i % 97, i % 97 + 0.5)), R(user, "<", 300)),
+        3: (R(status, ">=", 100 + i % 500), R(status, "<", 103 + i % 500), R(message, "contains", str(i % 10), negate=True)),
+        4: (R(message, "~", f"^[a-m].* {i % 300}$"), R(value, "<=", 50.0)),
+        5: (R(user, "in", values=(i, i + 1, i + 2)), R(status, ">", 300, negate=True)),
+        6: (R(level, "=", "error"), R(value, ">=", 99 - i % 3 + i / 10_000)),
+        7: (R("metadata.none", "=", "x"),),
+        8: (R(user, "range", values=(i % 900, i % 900 + 2), negate=True), R(user, "range", values=(i % 900 - 1, i % 900 + 3)), R(message, "contains", "e")),
+        9: (R(message, "contains", f"click user {i % 700}"), R(value, "=", None, negate=True), R(user, "<=", 40)),
+    }[i % 10])
+
+
+_MIXED = """CASE i % 10 WHEN 0 THEN user_id = i AND value > i % 90 WHEN 1 THEN contains(event_message, 'user ' || i) AND level <> 'info' WHEN 2 THEN value BETWEEN i % 97 AND i % 97 + 0.5 AND user_id < 300
+WHEN 3 THEN status_code >= 100 + i % 500 AND status_code < 103 + i % 500 AND NOT contains(event_message, CAST(i % 10 AS VARCHAR)) WHEN 4 THEN event_message < 'n' AND ends_with(event_message, ' ' || i % 300) AND value <= 50
+WHEN 5 THEN user_id BETWEEN i AND i + 2 AND NOT status_code > 300 WHEN 6 THEN level = 'error' AND value >= 99 - i % 3 + CAST(i AS DOUBLE) / 10000 WHEN 8 THEN user_id IN (i % 900 - 1, i % 900 + 3) AND contains(event_message, 'e')
+WHEN 9 THEN contains(event_message, 'click user ' || i % 700) AND value IS NOT NULL AND user_id <= 40 ELSE FALSE END"""
+
+
+def by_index(df: DataFrame) -> DataFrame:
+    rows = rule_index.match_rules_index(df, [mixed_rule(i) for i in range(5000)])
+    return rows.select("id", F.size("rule_ids").cast("long").alias("n"), F.array_join("rule_ids", ",").alias("rule_ids"))
+
+
+register("r06_rule_index", on_logs(by_index), f"SELECT id, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS rule_ids FROM {LOGS} JOIN (SELECT unnest(range(5000)) AS i) AS r ON {_MIXED} GROUP BY 1")
 register("r03_route", on_logs(lambda df: r.route(df.withColumn("via_rule_id", F.lit(None).cast("long")), RULES).select("id", "via_rule_id", "target")), f"SELECT id, via_rule_id, CASE via_rule_id {_names} END AS target FROM ({_hits})")
 register("r05_hits", on_logs(lambda df: r.rule_hits(df, RULES)), f"SELECT via_rule_id AS rule_id, count(*) AS hits FROM ({_hits}) GROUP BY 1")
 
@@ -275,7 +307,13 @@ register("n01_rate", on_logs(n.rate_per_second), f"SELECT source, date_trunc('se
 
 
 #: A row for every second of a month and source: too many for an oracle; tests hold it against a plain version.
-register("n02_rolling", on_logs(n.rolling_rate), None)
+_SECONDS = f"""WITH r AS (SELECT source, CAST(floor(epoch("timestamp")) AS BIGINT) AS s, count(*) AS rate FROM {LOGS} GROUP BY 1, 2),
+e AS (SELECT source, unnest(range(min(s), max(s) + 1)) AS s FROM r GROUP BY 1),
+g AS (SELECT e.source, e.s, COALESCE(rate, 0) AS rate FROM e LEFT JOIN r ON r.source = e.source AND r.s = e.s),
+w AS (SELECT source, s, rate, sum(rate) OVER (PARTITION BY source ORDER BY s ROWS 59 PRECEDING) AS total, max(rate) OVER (PARTITION BY source ORDER BY s) AS top FROM g),
+c AS (SELECT *, CASE WHEN rate IS DISTINCT FROM lag(rate) OVER o OR total IS DISTINCT FROM lag(total) OVER o THEN 1 ELSE 0 END AS new FROM w WINDOW o AS (PARTITION BY source ORDER BY s)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY s) AS n FROM c)"""
+register("n02_rolling", on_logs(n.rolling_intervals), f"""{_SECONDS} SELECT source, min(s) AS start, max(s) + 1 AS "end", max(rate) AS rate, CAST(max(total) AS BIGINT) AS sum, CAST(ceil(max(total) / 60) AS BIGINT) AS average, max(top) AS max FROM i GROUP BY source, n""")
 
 
 def quota(spark, sf_dir):

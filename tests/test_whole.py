@@ -98,10 +98,21 @@ def few_events(spark, tmp_path_factory):
 def test_rolling_rate_sees_all_events(spark, few_events):
     path, events = few_events
     rows = analytics.QUERIES["n02_rolling"](spark, path)
-    by = {r["source"]: (r["n"], r["events"], r["top"]) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("rate").alias("events"), F.max("max").alias("top")).collect()}
+    span = F.col("end") - F.col("start")
+    by = {r["source"]: (r["n"], r["events"], r["top"]) for r in rows.groupBy("source").agg(F.sum(span).alias("n"), F.sum(F.col("rate") * span).alias("events"), F.max("max").alias("top")).collect()}
     assert by == {"click": (86_401, 2, 1), "error": (1, 1, 1), "view": (int((dt.datetime(2024, 1, 10, 1, 0, 2) - dt.datetime(2024, 1, 1, 2)).total_seconds()) + 1, 2, 1), "purchase": (1, 1, 1), "signup": (1, 1, 1)}
 
 
+def test_a_wrong_clock_costs_nothing(spark):
+    """An event of 1970 is one more interval; seconds are made for the times asked for."""
+    df = spark.createDataFrame([("a", dt.datetime(1970, 1, 1)), ("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 1, 0, 0, 30))], "source string, timestamp timestamp_ntz")
+    rows = sorted(map(tuple, rates.rolling_intervals(df).collect()), key=lambda r: r[1])
+    new = int((dt.datetime(2024, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds())
+    assert rows == [("a", 0, 1, 1, 1, 1, 1), ("a", 1, 60, 0, 1, 1, 1), ("a", 60, new, 0, 0, 0, 1), ("a", new, new + 1, 1, 1, 1, 1), ("a", new + 1, new + 30, 0, 1, 1, 1), ("a", new + 30, new + 31, 1, 2, 1, 1)]
+    seconds = rates.rolling_rate(df, low="2023-12-31 23:59:59", high="2024-01-01 00:00:01").collect()
+    assert [(r["rate"], r["sum"]) for r in sorted(seconds, key=lambda r: r["timestamp"])] == [(0, 0), (1, 1), (0, 1)]
+
+
 def test_stream_averages_see_all_events(spark, few_events):
     path, events = few_events
     rows = {(r["source"], r["timestamp"], r["sum"], r["average"]) for r in ingest.QUERIES["t05_averages"](spark, path).collect()}
