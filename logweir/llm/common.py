@@ -46,6 +46,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, or the first of its numbered forms that no column has (in any case of letters)."""
+    taken = {x.lower() for x in columns}
+    return next(x for x in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def with_id(df: DataFrame, id_col: str, more: str) -> StructType:
     """A schema: the type of df's column as `id`, then the columns that `more` declares."""
     return StructType([StructField("id", df.schema[id_col].dataType), *DataType.fromDDL(more).fields])

@@ -154,6 +154,28 @@ n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    # crc32 from its table; costs backwards and letters forwards, a row a step; states and lists count from 1
+    "op12_conversation_repair": """WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) AS r(i))),
+k AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE COALESCE(role, ' ') END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(COALESCE(text, ' '), '.!?', '') ELSE COALESCE(text, ' ') END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, substr(role, 1, 1) AS c FROM d),
+f AS (SELECT conv_id, turn, role, text, i, c, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  COALESCE(lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au'), FALSE) AS illegal FROM o),
+g AS (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS x, fault NOT IN ('b', 'd') AS ok FROM f),
+a AS (SELECT conv_id, count(*) AS n, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal FROM g GROUP BY 1),
+v(conv_id, i, c) AS (SELECT conv_id, n + 1, [0, 6, 3, 0] FROM a UNION ALL SELECT conv_id, i, [least(b[1], 3 + b[3], 6 + b[4]), least(b[2], 3 + b[3], 6 + b[4]), least(b[3], 3 + b[4]), least(b[4], 3 + b[3])] FROM (SELECT g.conv_id, g.i, [
+  least(4 + v.c[1], CASE WHEN ok THEN 3 + x + v.c[3] END, CASE WHEN ok AND g.c = 's' THEN x + v.c[2] WHEN ok AND g.c = 'u' THEN x + v.c[3] END), least(4 + v.c[2], CASE WHEN ok THEN 3 + x + v.c[3] END, CASE WHEN ok AND g.c = 'u' THEN x + v.c[3] END),
+  least(4 + v.c[3], CASE WHEN ok THEN 3 + x + v.c[4] END, CASE WHEN ok AND g.c = 'a' THEN x + v.c[4] END), least(4 + v.c[4], CASE WHEN ok THEN 3 + x + v.c[3] END, CASE WHEN ok AND g.c = 'u' THEN x + v.c[3] END)] AS b
+  FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i - 1)),
+w(conv_id, i, q, audit, repaired) AS (SELECT conv_id, CAST(1 AS BIGINT), 1, '', CAST([] AS VARCHAR[]) FROM a UNION ALL SELECT conv_id, i + CASE e WHEN 'I' THEN 0 ELSE 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE turned END, audit || e,
+  CASE e WHEN 'D' THEN repaired ELSE list_append(repaired, CASE WHEN e = 'K' THEN role ELSE CASE turned WHEN 3 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE text END) END
+  FROM (SELECT s.*, CASE WHEN after IS NOT NULL AND here[q] = 4 + after[q] THEN 'D' WHEN here[q] = 3 + here[turned] THEN 'I' WHEN kept IS NOT NULL AND here[q] = x + after[kept] THEN 'K' ELSE 'R' END AS e
+  FROM (SELECT w.*, h.c AS here, n.c AS after, g.role, g.text, g.x, CASE WHEN q = 3 THEN 4 ELSE 3 END AS turned, CASE WHEN NOT ok THEN NULL WHEN q = 1 AND g.c = 's' THEN 2 WHEN q <> 3 AND g.c = 'u' THEN 3 WHEN q = 3 AND g.c = 'a' THEN 4 END AS kept
+  FROM w JOIN v AS h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i LEFT JOIN v AS n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.i + 1 LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i) AS s WHERE after IS NOT NULL OR here[q] > 0)),
+z AS (SELECT w.conv_id, audit, repaired FROM w JOIN a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = n + 1 AND q IN (1, 4))
+SELECT c.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, CAST(COALESCE(v.c[1], 0) AS BIGINT) AS cost, COALESCE(audit, '') AS audit, sha256(COALESCE(array_to_string(repaired, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1 LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
     # the article of pages that have one, its blocks at the ends of p and h1; by expressions alone
     "op11_html_text": """WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda t: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),

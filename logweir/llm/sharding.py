@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import unused
+
 TARGET_BYTES, SMALLEST_BYTES, FANOUT = 128 << 20, 64 << 10, 4
 TRIES = 20
 
@@ -126,7 +128,8 @@ class ShardStore:
             df.select(*self.schema.names).write.parquet(staged)
             parts = [("", staged)]
         else:
-            df.select(*self.schema.names, F.col(arrival).alias("arrival_")).write.partitionBy("arrival_").parquet(staged)
+            own = unused("arrival_", self.schema.names)
+            df.select(*self.schema.names, F.col(arrival).alias(own)).write.partitionBy(own).parquet(staged)
             found = [x.getPath() for x in self._fs.listStatus(self._path(staged)) if x.isDirectory()]
             parts = sorted((x.getName().split("=", 1)[1].zfill(20), x.toString()) for x in found if "=" in x.getName())
         for _, part in parts:

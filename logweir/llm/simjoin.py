@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_grams, new_keys, partitions_for, sample_below, slices, utf8, with_id, words, written
+from .common import keyed_grams, new_keys, partitions_for, sample_below, slices, unused, utf8, with_id, words, written
 from .components import components
 
 IS_WORD = np.ones(256, bool)
@@ -422,8 +422,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     five-word shingles by default.
 
     The join runs on keys of the rows of a written table, so repeated and null ids are rows like others."""
-    names = {x.lower() for x in docs.columns}
-    row = next(x for x in ("row_", *(f"row_{i}" for i in range(len(names)))) if x not in names)
+    row = unused("row_", docs.columns)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     found = jaccard_components(rows.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", k, num, den)
