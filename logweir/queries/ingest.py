@@ -427,6 +427,19 @@ register("w11_iso", on_logs(lambda df: w.to_iso_time_rows(df.select("id", "times
 register("w12_batches", on_logs(lambda df: t.batch_by_size(df, "source", 3, 60).groupBy("source", F.date_trunc("hour", "timestamp").alias("hour"), "batch").agg(F.count("*").alias("n"), F.sum(F.octet_length("event_message")).alias("bytes"))), f"""WITH r AS (SELECT source, date_trunc('hour', "timestamp") AS hour, "timestamp" AS t, id, strlen(event_message) AS size, row_number() OVER w - 1 AS r, COALESCE(sum(strlen(event_message)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {LOGS} WINDOW w AS (PARTITION BY source, date_trunc('hour', "timestamp") ORDER BY "timestamp", id)),
 c AS (SELECT *, CASE WHEN lag(r // 3) OVER w <> r // 3 OR lag(CAST(b AS BIGINT) // 60) OVER w <> CAST(b AS BIGINT) // 60 THEN 1 ELSE 0 END AS change FROM r WINDOW w AS (PARTITION BY source, hour ORDER BY t, id)),
 d AS (SELECT *, CAST(sum(change) OVER (PARTITION BY source, hour ORDER BY t, id) AS BIGINT) AS batch FROM c) SELECT source, hour, batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY 1, 2, 3""")
+
+
+def expired(spark, sf_dir):
+    """A table whose old days are given up by one call and deleted by the next."""
+    path = scratch(spark, "events")
+    t.write_events(s.logs_view(spark, sf_dir), path)
+    today = dt.date(2024, 1, 31)
+    t.remove_expired(spark, path, 7, today, now=0)
+    t.remove_expired(spark, path, 7, today, now=t.GRACE_SECONDS)
+    return naive(flat(t.read_live(spark, path)))
+
+
+register("w15_expired", expired, f"SELECT {FLAT} FROM {LOGS} WHERE CAST(\"timestamp\" AS DATE) > DATE '2024-01-24'")
 register("w13_batch_key", on_logs(lambda df: t.batch_key(df.select("id", F.col("source").alias("event_type"), "timestamp"), F.unix_micros(F.col("timestamp").cast("timestamp"))).select("id", "event_type", "day_bucket")), f"SELECT id, source AS event_type, epoch_us(\"timestamp\") // 86400000000 AS day_bucket FROM {LOGS}")
 
 

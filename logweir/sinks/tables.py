@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +72,61 @@ def apply_retention(df: DataFrame, days: int, today: dt.date, date_column: str =
     return df.filter(F.col(date_column) > F.lit(today - dt.timedelta(days=days)))
 
 
+#: The list of days that are given up, beside a table's partitions, and seconds until their folders go.
+EXPIRED, GRACE_SECONDS = "_expired.json", 3600
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a maker of its paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def expired_days(spark: SparkSession, path: str) -> dict[str, float]:
+    """The days that a table has given up, with the time of it (unix seconds)."""
+    fs, hadoop = _files(spark, path)
+    name = hadoop(f"{path}/{EXPIRED}")
+    if not fs.exists(name):
+        return {}
+    stream = fs.open(name)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def remove_expired(spark: SparkSession, path: str, days: int, today: dt.date, now: float, grace: float = GRACE_SECONDS) -> tuple[list[str], list[str]]:
+    """Removes the days before the limit from a table partitioned by `date`; returns the days given up now and
+    those whose folders are gone now.
+
+    In two steps, so that a reader that has listed files is not broken: first a day is put on the list
+    beside the partitions (replaced by one rename), and readers by read_live() leave it out; a call after the grace
+    period deletes its folder. Folders are listed and deleted, no row is read. A call that is cut short is
+    made good by the next one."""
+    fs, hadoop = _files(spark, path)
+    listed, limit = expired_days(spark, path), str(today - dt.timedelta(days=days))
+    held = sorted(x.getPath().getName().removeprefix("date=") for x in fs.listStatus(hadoop(path)) if x.getPath().getName().startswith("date="))
+    given_up = [d for d in held if d <= limit and d != "__HIVE_DEFAULT_PARTITION__" and d not in listed]
+    gone = [d for d, since in listed.items() if now - since >= grace]
+    for day in gone:
+        fs.delete(hadoop(f"{path}/date={day}"), True)
+    kept = {d: since for d, since in listed.items() if d not in gone} | dict.fromkeys(given_up, now)
+    if kept != listed:
+        out = fs.create(hadoop(f"{path}/{EXPIRED}.new"), True)
+        out.write(bytearray(json.dumps(kept).encode()))
+        out.close()
+        fs.delete(hadoop(f"{path}/{EXPIRED}"), False)
+        fs.rename(hadoop(f"{path}/{EXPIRED}.new"), hadoop(f"{path}/{EXPIRED}"))
+    return given_up, gone
+
+
+def read_live(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by date without the days that it has given up; their partitions are not read."""
+    listed = [F.lit(dt.date.fromisoformat(d)) for d in expired_days(spark, path)]
+    table = spark.read.parquet(path)
+    return table.filter(F.col("date").isNull() | ~F.col("date").isin(*listed)) if listed else table
+
+
 def batch_by_size(df: DataFrame, by: str, max_rows: int, max_bytes: int, body: str = "event_message", order: tuple[str, ...] = ("timestamp", "id"), stretch: str = "hour") -> DataFrame:
     """df with `batch`, a number for each stretch of time of a source: no batch has more rows than max_rows, nor
     more bytes than max_bytes beyond its largest event. Batches are cut at multiples of the running
@@ -85,9 +141,10 @@ def batch_by_size(df: DataFrame, by: str, max_rows: int, max_bytes: int, body: s
 
 
 def batch_key(df: DataFrame, time_us: Column) -> DataFrame:
-    """df with event_type's day_bucket, dealt so that a batch hits one partition of a table."""
-    keyed = df.withColumn("day_bucket", F.call_function("div", time_us, F.lit(86_400_000_000)))
-    return keyed.repartition("event_type", "day_bucket")
+    """df with event_type's day_bucket, dealt by ranges of the two and the time, so that a batch hits one partition
+    of a table and a busy day of a type is several tasks'."""
+    keyed = df.withColumn("day_bucket", F.call_function("div", time_us, F.lit(86_400_000_000))).withColumn("time_", time_us)
+    return keyed.repartitionByRange("event_type", "day_bucket", "time_").drop("time_")
 
 
 def retry_failed(df: DataFrame, max_retries: int) -> tuple[DataFrame, DataFrame]:

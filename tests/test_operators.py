@@ -245,3 +245,22 @@ def test_paths_of_many_levels(spark):
         found.setdefault(r.key, set()).add((r.path, r.type))
     assert found["0"] == {("a", "map"), ("a.b", "map"), ("a.b.c", "integer"), ("a.b.c", "string"), ("a.b.d", "list<float>"), ("h", "list<variant>"), ("i", "list<boolean>"), ("j", "float"), ("k", "list<variant>"), ("k.l", "map"), ("k.l.m", "map"), ("k.l.m.n", "integer")}
     assert found["1"] == {(".".join("a" * n), "map") for n in range(1, 13)} and set(found) == {"0", "1"}
+
+
+def test_expired_days_go(spark, tmp_path):
+    """A day is first left out by readers, then its folder goes; a reader that has listed files reads on."""
+    from logweir.sinks import tables
+
+    path = str(tmp_path / "events")
+    rows = [(str(i), dt.datetime(2024, 1, 1 + i % 10, 5)) for i in range(40)] + [("none", None)]
+    tables.write_events(spark.createDataFrame(rows, "id string, timestamp timestamp_ntz"), path)
+    reader = spark.read.parquet(path)
+    days = lambda df: sorted({str(r.date) for r in df.select("date").collect()})
+    folders = lambda: sorted(x.name for x in (tmp_path / "events").iterdir() if x.name.startswith("date="))
+    today = dt.date(2024, 1, 11)
+    assert tables.remove_expired(spark, path, 5, today, now=1000.0) == ([f"2024-01-0{d}" for d in range(1, 7)], [])
+    assert days(tables.read_live(spark, path)) == ["2024-01-07", "2024-01-08", "2024-01-09", "2024-01-10", "None"] and len(folders()) == 11 and reader.count() == 41
+    assert tables.remove_expired(spark, path, 5, today, now=1001.0) == ([], []) and len(folders()) == 11
+    assert tables.remove_expired(spark, path, 4, today, now=1000.0 + tables.GRACE_SECONDS) == (["2024-01-07"], [f"2024-01-0{d}" for d in range(1, 7)])
+    assert len(folders()) == 5 and days(tables.read_live(spark, path)) == ["2024-01-08", "2024-01-09", "2024-01-10", "None"]
+    assert list(tables.expired_days(spark, path)) == ["2024-01-07"]
