@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import decontam, langid, packing, secrets, simjoin
-from logweir.llm.common import table, written
+from logweir.llm.common import table, unused, written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark; n_chars follows."""
-    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)), out="secrets_")
-    text = F.when(F.size("secrets_") > 0, secrets.redacted(F.col("text"), F.col("secrets_"))).otherwise(F.col("text"))
-    n_chars = F.when(F.size("secrets_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    out = unused("secrets_", docs.columns)
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)), out=out)
+    text = F.when(F.size(out) > 0, secrets.redacted(F.col("text"), F.col(out))).otherwise(F.col("text"))
+    n_chars = F.when(F.size(out) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("text", text).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
