@@ -16,7 +16,7 @@ from ..paths import rebuild, strings
 MARK = "REDACTED"
 #: One to three digits that are no more than 255, and four of them in a row.
 NUMBER = "(?!25[6-9]|(?:2[6-9]|[3-9][0-9])[0-9])[0-9]{1,3}"
-FOUR = rf"(?<![0-9A-Za-z_])(?:{NUMBER}\.){{3}}{NUMBER}(?![0-9A-Za-z_])"
+FOUR = rf"(?=[0-9])(?<![0-9A-Za-z_])(?:{NUMBER}\.){{3}}{NUMBER}(?![0-9A-Za-z_])"
 #: What a word that can be an IPv6 address begins with.
 SIX = r"(?<!\S)[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"
 
@@ -47,7 +47,9 @@ def _six(word: Column) -> Column:
 def redact_text(column: Column) -> Column:
     """A text without its IPv4 and IPv6 addresses; texts that can hold none are left as they are."""
     four = F.regexp_replace(column, FOUR, MARK)
-    return F.when(F.rlike(four, F.lit(SIX)), _pieces(four, r"\S", _six)).otherwise(four)
+    words = F.regexp_extract_all(four, F.lit(rf"{SIX}\S*"), F.lit(0))
+    some = F.rlike(four, F.lit(":[0-9A-Fa-f]{0,4}:")) & F.exists(words, _is_six)
+    return F.when(some, _pieces(four, r"\S", _six)).otherwise(four)
 
 
 def redact_ip(df: DataFrame) -> DataFrame:

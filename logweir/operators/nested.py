@@ -1,8 +1,7 @@
 """Nested values of any shape as flat entries, and as paths with types: built-in functions over VARIANTs.
 
-Each level is a select. It takes the entries whose values are objects apart from those that are flat, and
-goes on with the children of the former alone; so an event of three levels costs the other selects nothing.
-LEVELS are followed unless others are asked for, and object_depth() finds by one aggregate how many a
+Each level is a select that takes the entries whose values are objects apart from those that are
+flat, and goes on with the children of the former alone. LEVELS are followed unless others are asked for, and object_depth() finds by one aggregate how many a
 table needs. Objects that lie deeper stay what they are: an entry with JSON text, a node of type map.
 """
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels of objects that are followed, and those in the objects of lists.
-LEVELS, LIST_LEVELS = 12, 8
+LEVELS, LIST_LEVELS = 8, 8
 OBJECT = "map<string,variant>"
 ENTRIES = "array<struct<key:string,value:variant>>"
 
@@ -74,22 +73,35 @@ def _elevated(top: Column, name: str) -> Column:
     return let(top, lifted)
 
 
-def _below(entries: Column) -> Column:
-    """The children of entries that are objects, under dotted keys."""
-    return F.flatten(F.transform(entries, lambda e: F.transform(F.map_entries(children(e["value"])), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))))
+def _object(value: str) -> str:
+    return f"try_variant_get({value}, '$', '{OBJECT}')"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _below(found: str) -> str:
+    """The children of the entries s.deep, found in each entry e, under dotted keys."""
+    return f"flatten(transform(s.deep, e -> transform({found}, c -> struct(concat(e.key, '.', c.key) AS key, c.value AS value))))"
 
 
 def flat_entries(df: DataFrame, columns: list[str], levels: int = LEVELS) -> DataFrame:
     """df with arrays of entries (from top_entries) made flat; the less deep come first."""
-    if not columns:
-        return df
-    name = lambda kind, c: F.col(f"`{kind}:{c}`")
-    df = df.withColumns({f"{kind}:{c}": F.filter(F.col(f"`{c}`"), test) for c in columns for kind, test in (("flat", _is_flat), ("deep", _is_object))})
-    for _ in range(1, levels):
-        df = df.withColumns({f"next:{c}": _below(name("deep", c)) for c in columns})
-        df = df.withColumns({f"flat:{c}": F.concat(name("flat", c), F.filter(name("next", c), _is_flat)) for c in columns} | {f"deep:{c}": F.filter(name("next", c), _is_object) for c in columns})
-    df = df.withColumns({c: F.concat(name("flat", c), name("deep", c)) for c in columns})
-    return df.drop(*(f"{kind}:{c}" for c in columns for kind in ("flat", "deep", "next")))
+
+    is_flat, is_deep = (f"e -> {_object('e.value')} IS {x} NULL" for x in ("", "NOT"))
+    split = f"struct(concat(s.flat, filter(n, {is_flat})) AS flat, filter(n, {is_deep}) AS deep)"
+    below = _let(_below(f"map_entries({_object('e.value')})"), "n", split)
+
+    def each(expression: str) -> dict[str, Column]:
+        return {c: F.expr(expression.replace("`", f"`{c}`")) for c in columns}
+
+    if columns:
+        df = df.withColumns(each(_let("`", "n", f"struct(filter(n, {is_flat}) AS flat, filter(n, {is_deep}) AS deep)")))
+        for _ in range(1, levels):
+            df = df.withColumns(each(_let("`", "s", f"CASE WHEN size(s.deep) = 0 THEN s ELSE {below} END")))
+        df = df.withColumns(each(_let("`", "s", "concat(s.flat, s.deep)")))
+    return df
 
 
 def entries_map(entries: Column) -> Column:
@@ -109,10 +121,14 @@ def entries_map(entries: Column) -> Column:
 def each_flat(objects: Column, levels: int = LIST_LEVELS) -> Column:
     """The maps of an array of variants, those of objects alone."""
 
+    def deeper(entries: Column) -> Column:
+        below = lambda e: F.transform(F.map_entries(children(e["value"])), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
+        return F.concat(F.filter(entries, _is_flat), F.flatten(F.transform(F.filter(entries, _is_object), below)))
+
     def flat(x: Column) -> Column:
         entries = top_entries(x)
         for _ in range(1, levels):
-            entries = let(entries, lambda y: F.concat(F.filter(y, _is_flat), _below(F.filter(y, _is_object))))
+            entries = let(entries, deeper)
         return entries_map(entries)
 
     return F.transform(F.filter(objects, lambda x: children(x).isNotNull()), flat)
@@ -149,25 +165,16 @@ def _type(value: Column) -> Column:
     return F.when(children(value).isNotNull(), "map").otherwise(let(there, lambda items: F.when(items.isNull(), _scalar(value)).otherwise(of_list(items))))
 
 
-def _holds(node: Column) -> Column:
-    """Whether nodes may lie below: of an object, or of the objects of a list."""
-    return _is_object(node) | F.coalesce(F.exists(_items(node["value"]), lambda x: children(x).isNotNull()), F.lit(False))
-
-
-def _nodes_below(nodes: Column) -> Column:
-    def below(n: Column) -> Column:
-        lists = F.flatten(F.transform(F.filter(_items(n["value"]), lambda x: children(x).isNotNull()), lambda x: F.map_entries(children(x))))
-        return F.transform(F.coalesce(F.map_entries(children(n["value"])), lists), lambda c: F.struct(F.concat(n["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
-
-    return F.flatten(F.transform(nodes, below))
-
-
 def node_types(df: DataFrame, column: str, levels: int = LEVELS) -> DataFrame:
-    """df with the column (VARIANT) as an array of (path, type) of the nodes of an object, each once."""
-    typed = lambda c: F.transform(F.col(f"`{c}`"), lambda n: F.struct(n["key"].alias("path"), _type(n["value"]).alias("type")))
-    df = df.withColumn("next:", top_entries(F.col(f"`{column}`"))).withColumns({"deep:": F.filter("`next:`", _holds), "all:": typed("next:")})
+    """df with the column (VARIANT) as an array of (path, type) of the nodes of an object, each once: through
+    the objects of lists, too."""
+    items = "filter(try_variant_get(e.value, '$', 'array<variant>'), x -> " + _object("x") + " IS NOT NULL)"
+    holds = f"filter(n, e -> {_object('e.value')} IS NOT NULL OR coalesce(size({items}), 0) > 0)"
+    found = f"coalesce(map_entries({_object('e.value')}), flatten(transform({items}, x -> map_entries({_object('x')}))))"
+    below = _let(_below(found), "n", f"struct(concat(s.nodes, n) AS nodes, {holds} AS deep)")
+    df = df.withColumn("nodes:", top_entries(F.col(f"`{column}`"))).withColumn("nodes:", F.expr(_let("`nodes:`", "n", f"struct(n AS nodes, {holds} AS deep)")))
     for _ in range(1, levels):
-        df = df.withColumn("next:", _nodes_below(F.col("`deep:`")))
-        df = df.withColumns({"deep:": F.filter("`next:`", _holds), "all:": F.concat("`all:`", typed("next:"))})
-    found = F.array_distinct(F.filter("`all:`", lambda x: x["type"].isNotNull()))
-    return df.withColumn(column, found).drop("next:", "deep:", "all:")
+        df = df.withColumn("nodes:", F.expr(_let("`nodes:`", "s", f"CASE WHEN size(s.deep) = 0 THEN s ELSE {below} END")))
+    df = df.withColumn("nodes:", F.col("`nodes:`.nodes"))
+    typed = F.transform(F.col("`nodes:`"), lambda n: F.struct(n["key"].alias("path"), _type(n["value"]).alias("type")))
+    return df.withColumn(column, F.array_distinct(F.filter(typed, lambda x: x["type"].isNotNull()))).drop("nodes:")

@@ -292,6 +292,7 @@ WHEN 9 THEN contains(event_message, 'click user ' || i % 700) AND value IS NOT N
 
 
 def by_index(df: DataFrame) -> DataFrame:
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # one small file, much work a row
     rows = rule_index.match_rules_index(df, [mixed_rule(i) for i in range(5000)])
     return rows.select("id", F.size("rule_ids").cast("long").alias("n"), F.array_join("rule_ids", ",").alias("rule_ids"))
 
