@@ -122,3 +122,14 @@ def test_stream_averages_see_all_events(spark, few_events):
 def test_updates_see_all_sources_and_paths(spark, few_events):
     rows = dict(map(tuple, ingest.QUERIES["h05_updates"](spark, few_events[0]).collect()))
     assert rows == {"event_message": "string", "id": "string", "timestamp": "datetime", "num": "string", "list": "list<float>", "metadata": "map", "metadata.level": "string", "metadata.code": "integer", "x": "float"}
+
+
+@pytest.mark.parametrize("name", ["variants", "telemetry", "bodies"])
+def test_a_file_of_one_row_group_is_dealt(spark, name):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # many partitions, of which one has all rows
+    try:
+        df = getattr(ingest, name)(spark, SF)
+        counts = [r["count"] for r in df.select("id").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(counts) == spark.read.parquet(f"{SF}/events.parquet").count() and max(counts) <= sum(counts) / 4
