@@ -223,6 +223,17 @@ def test_trie_patterns():
     assert found == ["abc", "ab", "b.c", "é(", "x", "b."]
 
 
+def test_paths_are_read_together(spark):
+    text = '{"level":"low","Level":"up","a":{"b":{"c":5}},"s":3,"x y":{"k":"q"},"l":[{"n":1}]}'
+    df = mapping.as_variant(spark.createDataFrame([(1, text), (2, '{"a":{"b":7},"s":{"t":"u"},"l":{"n":4}}'), (3, None)], "id int, json string"), "json")
+    paths = {"low": "$.level", "up": "$.Level", "whole": "$.a.b", "leaf": "$.a.b.c", "s": "$.s", "t": "$.s.t", "q": "$['x y'].k", "n": "$.l[0].n"}
+    got = {r.id: r for r in mapping.map_events(df, [mapping.Field(k, "string", (v,)) for k, v in paths.items()], keep=("id",)).collect()}
+    assert tuple(got[1]) == (1, "low", "up", '{"c":5}', "5", "3", "", "q", "1")
+    assert tuple(got[2]) == (2, "", "", "7", "", '{"t":"u"}', "u", "", "") and set(got[3][1:]) == {""}
+    plan = presets.map_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"variant_get\(event#", plan)) < 10  # not one for each of more than a hundred paths
+
+
 def test_flat_maps_of_many_levels(spark):
     deep = lambda n: '{"k":' * n + "1" + "}" * n
     texts = [deep(12), deep(20), '{"a":{"b":1.50,"c":[{"x":1}],"d":null,"e":{}},"a.b":"top","t":"{\\"q\\":1}","big":123456789012345678901234567890,"f":1e300,"u":true}', "[1]", "x", None]
