@@ -1,6 +1,7 @@
 """Operators on small frames with known rows."""
 
 import datetime as dt
+import json
 import random
 import re
 
@@ -276,3 +277,14 @@ def test_expired_days_go(spark, tmp_path):
     assert tables.remove_expired(spark, path, 4, today, now=1000.0 + tables.GRACE_SECONDS) == (["2024-01-07"], [f"2024-01-0{d}" for d in range(1, 7)])
     assert len(folders()) == 5 and days(tables.read_live(spark, path)) == ["2024-01-08", "2024-01-09", "2024-01-10", "None"]
     assert list(tables.expired_days(spark, path)) == ["2024-01-07"]
+
+
+def test_mapping_computes_each_step_once(spark):
+    texts = [' 7 ', 'true', '-1', '1e3', 'x', None, '99999999999999999999', '2.9']
+    df = mapping.as_variant(spark.createDataFrame([(0, json.dumps({"list": texts, "n": " 300 ", "N": 4, "on": "yes"}))], "id long, json string"), "json")
+    fields = [mapping.Field("many", "array_uint64", ("$.list",)), mapping.Field("some", "array_int32", ("$.list",), filter_nil=True), mapping.Field("one", "uint8", ("$.n",)), mapping.Field("other", "uint8", ("$.N",)), mapping.Field("on", "bool", ("$.on",))]
+    out = mapping.map_events(df, fields, keep=("id",))
+    got = out.first()
+    assert [int(x) for x in got.many] == [7, 1, 0, 1000, 0, 0, 2**64 - 1, 2]
+    assert got.some == [7, 1, -1, 1000, 0, 2**31 - 1, 2] and (got.one, got.other, got.on) == (255, 4, True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(trim(") == len(fields)
