@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -51,3 +52,17 @@ def test_run(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
+
+
+def test_written_sends_small_batches(spark):
+    from logweir.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    held = spark.conf.get(common.BATCH_LIMIT)
+    df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text")).mapInArrow(sizes, "rows long, bytes long")
+    got = common.written(df, "sizes").collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 2 * common.BATCH_BYTES
+    assert spark.conf.get(common.BATCH_LIMIT) == held
