@@ -451,6 +451,28 @@ def test_flac_columns(spark, odd, none):
     assert [(r.sample_offset, r.samples, len(r.pcm)) for r in flac.pcm_blocks(media, "k").orderBy("sample_offset").collect()] == [(0, 4096, 4096), (4096, 4096, 4096), (8192, 1808, 1808)]
 
 
+def test_flac_tables_of_texts_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("logweir.llm.common.shared_dir", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert flac.text_features(docs).count() == docs.count()
+    docs.select("doc_id", "text").write.option("compression", "snappy").parquet(f"{tmp_path}/input")
+    sizes = {p.name.split("-")[0]: sum(x.stat().st_size for x in p.glob("*.parquet")) for p in tmp_path.iterdir()}
+    assert sorted(sizes) == ["input", "media", "pcm"] and sizes["media"] + sizes["pcm"] < 1.5 * sizes["input"]
+
+
+def test_flac_forms_follow_what_is_stored():
+    def kinds(stream):  # the first frame's subframe type: header of 6 or 8 bytes
+        at = flac._opened(stream)[2]
+        return stream[at + (8 if stream[at + 2] >> 4 == 7 else 6)] >> 1
+
+    random.seed(6)
+    text, sine = ("".join(random.choice("some words of a text ") for _ in range(8192)).encode(), bytes(int(128 + 100 * np.sin(i / 9)) for i in range(8192)))
+    assert kinds(flac.encode_many([text])[0]) == 1 and kinds(flac.encode_many([text], compressed=False)[0]) >= 8
+    assert kinds(flac.encode_many([sine])[0]) >= 8 and flac.encode_many([sine]) == flac.encode_many([sine], compressed=False)
+    short = [bytes(random.choice(b"abc ") for _ in range(64)) for _ in range(2500)]
+    assert [x for x, *_ in flac.decode_many(flac.encode_many(short))] == short and flac.encode_many(short)[2100:] == flac.encode_many(short[2100:])
+
+
 # 6
 
 
