@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_grams, new_keys, partitions_for, sample_below, slices, unused, utf8, with_id, words, written
+from .common import concluded, keyed_grams, new_keys, partitions_for, sample_below, slices, unused, utf8, with_id, words, written
 from .components import components
 
 IS_WORD = np.ones(256, bool)
@@ -421,10 +421,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     a null id comes after all others. Rows without shingles stay. Near-duplicates share 0.8 of their
     five-word shingles by default.
 
-    The join runs on keys of the rows of a written table, so repeated and null ids are rows like others."""
+    The join runs on keys of the rows of a written table, so repeated and null ids are rows like others. The rows to
+    leave out are written by their keys, and the join's tables deleted, before the texts are read once more."""
     row = unused("row_", docs.columns)
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    found = jaccard_components(rows.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", k, num, den)
-    copies = found.filter((F.col("n_shingles") > 0) & (F.col("id.row") != F.col("component_id.row"))).select(F.col("id.row").alias(row))
-    return rows.join(copies, row, "left_anti").drop(row)
+
+    def copies() -> DataFrame:
+        found = jaccard_components(rows.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", k, num, den)
+        return found.filter((F.col("n_shingles") > 0) & (F.col("id.row") != F.col("component_id.row"))).select(F.col("id.row").alias(row))
+
+    return rows.join(concluded(docs.sparkSession, copies, "copies"), row, "left_anti").drop(row)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from logweir.llm import simjoin
 from logweir.llm.queries import ORACLE, QUERIES
 from tests.llm.test_operators import SF, plain_components, plain_hits, plain_secrets
 
@@ -66,3 +67,13 @@ def test_written_sends_small_batches(spark):
     got = common.written(df, "sizes").collect()
     assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 2 * common.BATCH_BYTES
     assert spark.conf.get(common.BATCH_LIMIT) == held
+
+
+def test_join_leaves_no_tables_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("logweir.llm.common.shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"{'a b c d e f g h i j k l m n o p ' * 3}{i // 3}", "en") for i in range(9)] + [(9, None, "en"), (10, "x", "de")], "doc_id long, text string, lang string")
+    kept = simjoin.keep_one(docs)
+    assert sorted(x.name.split("-")[0] for x in tmp_path.iterdir()) == ["copies", "rows"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in plain_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).values()})
+    found = simjoin.jaccard_components(docs)
+    assert len([x for x in tmp_path.iterdir() if x.name.startswith("classes-")]) == 1 and found.count() == 11
